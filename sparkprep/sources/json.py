@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -52,7 +53,7 @@ def read_json(
         reader = reader.schema(schema)
     try:
         df = reader.json(path)
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise ValueError(f"invalid JSON in {path}") from error
     if lines or opening == "[":
         return df

@@ -26,7 +26,7 @@ def normalize_text_docs(df: DataFrame, column: str, lines: str | None = None) ->
 
 def read_text_docs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per file: path, normalised text, number of lines."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     docs = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return normalize_text_docs(docs, "text", "lines")
 
@@ -37,7 +37,7 @@ def read_markdown_tables(spark: SparkSession, path: str | Sequence[str]) -> Data
     ``table`` counts the tables of a file. A table is a header line, a line of dashes and the pipe lines
     that follow. Windows run inside one file.
     """
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(
         F.col("_metadata.file_path").alias("path"),
         F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
