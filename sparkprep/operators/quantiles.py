@@ -2,9 +2,9 @@
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer, which a column of
 10^12 different doubles does not survive. Here a Greenwald-Khanna sketch brackets each wanted rank
-within 2/ACCURACY of the rows, further rounds shrink the bracket, and only when the sketch's own
+within a few 1/ACCURACY of the rows, further rounds shrink the bracket, and only when the sketch's own
 guarantee says that at most ``COLLECT_LIMIT`` different values are left are they counted one by one.
-Every round is one fused aggregate over all wanted columns; up to about 16 million rows two are enough.
+Every round is one fused aggregate over all wanted columns; up to about 10 million rows two are enough.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .cells import quoted
 
 ACCURACY = 10_000
-MARGIN = 2 / ACCURACY
+MARGIN = 4 / ACCURACY
 COLLECT_LIMIT = 10_000
 GRID = 1_000
 
@@ -88,13 +88,15 @@ def _search(df, columns, probabilities, margin: float) -> dict[str, Quantiles]:
             continue
         for j, p in enumerate(wanted[key]):
             low, high = row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]
-            # A bracket at the edge starts at the extreme itself.
-            low = row[f"min{i}"] if p <= margin else low
-            high = row[f"max{i}"] if p >= 1 - margin else high
-            bracket = _Bracket(key, p, p * (n - 1), low, high, n * (2 * margin + 2 / ACCURACY))
-            _settle(bracket, result, brackets)
-    while any(b.inner_bound > COLLECT_LIMIT for b in brackets):
-        brackets = _refine(df, values, brackets, result, margin)
+            # Few values need no bracket, and one at the edge starts at the extreme itself.
+            few = n <= COLLECT_LIMIT
+            low = row[f"min{i}"] if few or p <= margin else low
+            high = row[f"max{i}"] if few or p >= 1 - margin else high
+            bound = n if few else n * (2 * margin + 2 / ACCURACY)
+            _settle(_Bracket(key, p, p * (n - 1), low, high, bound), result, brackets)
+    while wide := [b for b in brackets if b.inner_bound > COLLECT_LIMIT]:
+        narrow = [b for b in brackets if b.inner_bound <= COLLECT_LIMIT]
+        brackets = narrow + _refine(df, values, wide, result, margin)
     if brackets:
         _count_out(df, values, brackets, result)
     return result
@@ -129,19 +131,17 @@ def _refine(
     still_open: list[_Bracket] = []
     for i, b in enumerate(brackets):
         below, inside, grid = row[f"below{i}"], row[f"inside{i}"], row[f"q{i}"]
-        low, high = b.low, b.high
-        if inside:
+        low, high, bound = b.low, b.high, inside
+        if inside > COLLECT_LIMIT:
             # Relative position of both ranks among the inner values, moved outwards to a grid point
             # that lies further away than the sketch can err.
             start = (math.floor(b.rank) - below) / inside - margin
-            stop = (math.ceil(b.rank) - below) / inside + margin
+            stop = (math.ceil(b.rank) + 1 - below) / inside + margin
             left = max(0, math.floor(start * GRID))
             right = min(GRID, math.ceil(stop * GRID))
             low = grid[left] if left > 0 else low
             high = grid[right] if right < GRID else high
             bound = inside * ((right - left) / GRID + 2 / ACCURACY)
-        else:
-            bound = 0
         _settle(_Bracket(b.key, b.p, b.rank, low, high, bound), result, still_open)
     return still_open
 

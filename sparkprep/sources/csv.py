@@ -53,6 +53,7 @@ def read_csv(
     sep: str | None = ",",
     encoding: str = "UTF-8",
     multi_line: bool = False,
+    header: Sequence[str] | None = None,
     null_tokens: Sequence[str] = READER_NULL_TOKENS,
 ) -> DataFrame:
     """Read CSV files that share a header as text columns.
@@ -60,13 +61,14 @@ def read_csv(
     ``skip``: lines with more fields than the header are left out, shorter ones padded with NULL.
     ``strict``: any line whose number of fields differs is left out. Reader null tokens become NULL,
     fully empty rows disappear, cells are trimmed. ``sep=None`` looks for the separator in the header.
-    ``multi_line=True`` allows line breaks inside quotes, at the price of one task per file.
+    ``multi_line=True`` allows line breaks inside quotes, at the price of one task per file. Files
+    without a header line need their names in ``header``.
     """
     if on_bad_lines not in ("skip", "strict"):
         raise ValueError(f"unknown value for on_bad_lines: '{on_bad_lines}'")
     if sep is None:
         sep = sniff_separator(spark, path)
-    names = read_header(spark, path, sep, encoding)
+    names = list(header) if header else read_header(spark, path, sep, encoding)
     positions = [f"_c{i}" for i in range(len(names))]
     surplus = [f"_surplus{i}" for i in range(SURPLUS)]
     strict = on_bad_lines == "strict"
@@ -75,7 +77,7 @@ def read_csv(
     reader = spark.read.options(**_options(sep, encoding), multiLine=str(multi_line).lower()).schema(schema)
     if strict:
         reader = reader.option("columnNameOfCorruptRecord", "_damaged")
-    raw = reader.csv(path, header=True)
+    raw = reader.csv(path, header=header is None)
     # A line whose only surplus is one empty field at the end still fits.
     fits = F.col("_damaged").isNull() if strict else F.coalesce(*surplus).isNull()
     tokens = list(null_tokens)

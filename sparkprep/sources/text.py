@@ -32,16 +32,18 @@ def read_text_docs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_markdown_tables(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Rows of the pipe tables in Markdown files: path, table, row, header, cells.
+    """Rows of the pipe tables in Markdown files."""
+    files = spark.read.text(path, wholetext=True)
+    return markdown_rows(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+def markdown_rows(docs: DataFrame) -> DataFrame:
+    """Rows of the pipe tables in documents (path, text): path, table, row, header, cells.
 
-    ``table`` counts the tables of a file. A table is a header line, a line of dashes and the pipe lines
-    that follow. Windows run inside one file.
+    ``table`` counts the tables of a document. A table is a header line, a line of dashes and the pipe
+    lines that follow. Windows run inside one document, which is one text cell to begin with.
     """
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
-    )
+    lines = docs.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     in_file = Window.partitionBy("path").orderBy("line_no")
     line = F.trim("line")
     dashes = line.rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$") & F.contains(line, F.lit("|"))
