@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkprep.session import ensure_checkpoint_dir
+from sparkprep.session import shared_folder
 
 from . import views
 
@@ -36,9 +36,7 @@ class Tables:
     @cached_property
     def scratch(self) -> str:
         """A new folder next to the checkpoints, which all executors share."""
-        ensure_checkpoint_dir(self.spark)
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        return f"{base}/sparkprep-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/sparkprep-{uuid.uuid4().hex}"
 
 
 def query(sql: str | None = None, name: str | None = None):

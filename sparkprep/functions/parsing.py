@@ -32,6 +32,8 @@ FALSE_TOKENS_EXTENDED = ["false", "f", "no", "n", "0"]
 
 # Text that counts as a number. Spark's own cast also takes "1d", "1.0f" and "Infinity".
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# The usual case: no exponent and too short to overflow a double.
+PLAIN_NUMBER_PATTERN = r"^\s*[+-]?(\d{1,300}\.?\d*|\.\d+)\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
@@ -39,53 +41,42 @@ WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 @dataclass(frozen=True)
 class DateFormat:
-    """A layout: cells must match ``pattern``; ``iso`` rewrites the groups to ISO order."""
+    """A layout: cells must match ``pattern``; ``iso`` rewrites the groups where they are not in ISO order.
+
+    ``shape`` is what ``date_shape`` gives for its cells.
+    """
 
     name: str
+    shape: int
     pattern: str
-    iso: str
+    iso: str | None = None
+
 
+# Fields of the patterns. They leave out impossible months, days and times, so that hardly any cell
+# reaches the cast only to be refused there.
+YEAR = r"\d{4}"
+MONTH = r"(?:1[0-2]|0?[1-9])"
+DAY = r"(?:3[01]|[12]\d|0?[1-9])"
+MINUTES = r"(?:2[0-3]|[01]?\d):[0-5]?\d"
+SECONDS = MINUTES + r":[0-5]?\d"
+FRACTION = r"(?:\.\d{1,9})?"
 
 # Tried in this order; the first one that reads more than 70 % of a column is used for all of it.
 DATE_FORMATS = [
-    DateFormat("%Y-%m-%d", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
-    DateFormat("%m/%d/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
-    DateFormat("%d/%m/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
-    DateFormat("%Y/%m/%d", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
-    DateFormat(
-        "%Y-%m-%d %H:%M:%S",
-        r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$",
-        "$1-$2-$3 $4:$5:$6",
-    ),
-    DateFormat(
-        "%m/%d/%Y %H:%M",
-        r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2})$",
-        "$3-$1-$2 $4:$5:00",
-    ),
+    DateFormat("%Y-%m-%d", 0, f"^{YEAR}-{MONTH}-{DAY}$"),
+    DateFormat("%m/%d/%Y", 4, f"^({MONTH})/({DAY})/({YEAR})$", "$3-$1-$2"),
+    DateFormat("%d/%m/%Y", 4, f"^({DAY})/({MONTH})/({YEAR})$", "$3-$2-$1"),
+    DateFormat("%Y/%m/%d", 2, f"^({YEAR})/({MONTH})/({DAY})$", "$1-$2-$3"),
+    DateFormat("%Y-%m-%d %H:%M:%S", 1, f"^{YEAR}-{MONTH}-{DAY} {SECONDS}$"),
+    DateFormat("%m/%d/%Y %H:%M", 5, f"^({MONTH})/({DAY})/({YEAR}) ({MINUTES})$", "$3-$1-$2 $4:00"),
 ]
 # Further layouts, tried only when none of the above reads enough of the column.
 FALLBACK_FORMATS = [
-    DateFormat(
-        "iso",
-        r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?)$",
-        "$1-$2-$3 $4",
-    ),
-    DateFormat("iso minutes", r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}:\d{2})$", "$1-$2-$3 $4:00"),
-    DateFormat(
-        "iso utc",
-        r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?)(?:Z|\+00:?00)$",
-        "$1-$2-$3 $4",
-    ),
-    DateFormat(
-        "%m/%d/%Y %H:%M:%S",
-        r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2})$",
-        "$3-$1-$2 $4:$5:$6",
-    ),
-    DateFormat(
-        "%Y/%m/%d %H:%M:%S",
-        r"^(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$",
-        "$1-$2-$3 $4:$5:$6",
-    ),
+    DateFormat("iso", 1, f"^{YEAR}-{MONTH}-{DAY}[T ]{SECONDS}{FRACTION}$"),
+    DateFormat("iso minutes", 1, f"^({YEAR}-{MONTH}-{DAY})[T ]({MINUTES})$", "$1 $2:00"),
+    DateFormat("iso utc", 1, f"^({YEAR}-{MONTH}-{DAY})[T ]({SECONDS}{FRACTION})(?:Z|\\+00:?00)$", "$1 $2"),
+    DateFormat("%m/%d/%Y %H:%M:%S", 5, f"^({MONTH})/({DAY})/({YEAR}) ({SECONDS})$", "$3-$1-$2 $4"),
+    DateFormat("%Y/%m/%d %H:%M:%S", 3, f"^({YEAR})/({MONTH})/({DAY}) ({SECONDS})$", "$1-$2-$3 $4"),
 ]
 # ---- end of fixed values ----------------------------------------------------------------------
 
@@ -93,8 +84,12 @@ ALL_FORMATS = {fmt.name: fmt for fmt in DATE_FORMATS + FALLBACK_FORMATS}
 
 
 def trim_text(col: Column) -> Column:
-    """Remove all leading and trailing whitespace, not only blanks."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    """Remove all leading and trailing whitespace, not only blanks.
+
+    Cells that begin and end with printable ASCII characters, nearly all, are passed on as they are.
+    """
+    clean = F.ascii(col).between(33, 126) & F.ascii(F.right(col, F.lit(1))).between(33, 126)
+    return F.when(clean, col).otherwise(F.btrim(col, F.lit(WHITESPACE)))
 
 
 def null_if_token(
@@ -115,15 +110,22 @@ def parse_bool(col: Column, extended: bool = False) -> Column:
 
 
 def parse_number(col: Column) -> Column:
-    """The cell as a finite double, or NULL."""
-    number = F.when(col.rlike(NUMBER_PATTERN), trim_text(col).try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """The cell as a finite double, or NULL. Only numbers with an exponent can overflow.
+
+    Numbers begin with a digit, a sign, a point or whitespace, all below ':'; other cells are not
+    looked at any further. The cast ignores outer whitespace by itself.
+    """
+    number = col.try_cast("double")
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number)
+    return F.when(F.ascii(col) < ord(":"), F.when(col.rlike(PLAIN_NUMBER_PATTERN), number).when(
+        col.rlike(NUMBER_PATTERN), finite
+    ))
 
 
 def parse_integer(col: Column) -> Column:
     """The cell as a long, without going through a double when it is written as an integer."""
     number = parse_number(col)
-    return F.when(col.rlike(INTEGER_PATTERN), trim_text(col).try_cast("bigint")).otherwise(
+    return F.when(col.rlike(INTEGER_PATTERN), col.try_cast("bigint")).otherwise(
         F.when(is_integral(number), number.try_cast("bigint"))
     )
 
@@ -140,10 +142,22 @@ def parse_datetime(col: Column, fmt: str | DateFormat = DATE_FORMATS[0]) -> Colu
     checks the calendar. This neither throws per bad cell nor depends on the session time zone.
     """
     layout = ALL_FORMATS[fmt] if isinstance(fmt, str) else fmt
-    iso = F.regexp_replace(col, layout.pattern, layout.iso)
+    iso = F.regexp_replace(col, layout.pattern, layout.iso) if layout.iso else col
     return F.when(col.rlike(layout.pattern), iso.try_cast("timestamp_ntz"))
 
 
+def date_shape(col: Column) -> Column:
+    """Which layouts can fit at all, told from one separator and the length; NULL when none can.
+
+    0 year first with dashes, 2 year first with slashes, 4 year last; plus 1 when there is a time.
+    """
+    fifth = F.substring(col, 5, 1)
+    family = F.when(fifth == "-", 0).when((fifth == "/") & ~F.contains(F.substring(col, 1, 3), F.lit("/")), 2)
+    family = family.when(F.contains(F.substring(col, 2, 2), F.lit("/")), 4)
+    length = F.length(col)
+    return F.when(length.between(8, 40), family + F.when(length > 10, 1).otherwise(0))
+
+
 def format_datetime(col: Column, pattern: str = "yyyy-MM-dd") -> Column:
     return F.date_format(col, pattern)
 

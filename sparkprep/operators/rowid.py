@@ -4,46 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame
 
-from ..session import materialize
-from .cells import quoted
+from ..session import materialize_numbered
 
 ROW_ID = "_row_id"
 
 
 def with_row_id(
-    df: DataFrame,
-    name: str = ROW_ID,
-    order_by: Sequence[str | Column] | str | None = None,
-    scan: bool = False,
+    df: DataFrame, name: str = ROW_ID, order_by: Sequence[str | Column] | str | None = None
 ) -> DataFrame:
     """Number the rows 0 … n−1 without gaps and without bringing them together.
 
-    Each partition numbers its own rows; the offsets come from one count per partition, a table as
-    long as there are partitions, which is broadcast. ``order_by`` should identify rows: it range
-    partitions and sorts first, so equal leading values are spread over partitions by the rest of the
-    key. The rows are written out once in between because counting and numbering must see the very
-    same partitions; ``scan=True`` says that ``df`` only reads and filters files, which splits the
-    same way twice as long as ``spark.sql.files.minPartitionNum`` is pinned.
+    The rows are written once, and their place in the written files is their position: in the order of
+    the scan, or of ``order_by`` after range partitioning and sorting. ``order_by`` should identify rows:
+    equal leading values are then spread over partitions by the rest of the key.
     """
     if order_by is not None:
         keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    pinned = df.sparkSession.conf.get("spark.sql.files.minPartitionNum", None)
-    if order_by is not None or not (scan and pinned):
-        df = materialize(df)
-    # The identifier holds the partition in its upper 31 bits and the position in its lower 33.
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    part, position = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND((1 << 33) - 1)
-    sizes = tagged.groupBy(part.alias("_part")).agg((F.max(position) + 1).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return (
-        tagged.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .select(
-            *[quoted(c) for c in df.columns],
-            (F.col("_offset") + position).cast("bigint").alias(name),
-        )
-    )
+    return materialize_numbered(df, name)

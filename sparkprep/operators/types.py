@@ -16,7 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.parsing import (
     DATE_FORMATS,
     FALLBACK_FORMATS,
+    FALSE_TOKENS,
+    FALSE_TOKENS_EXTENDED,
     NULL_TOKENS,
+    TRUE_TOKENS,
+    TRUE_TOKENS_EXTENDED,
+    date_shape,
     is_integral,
     kind_of,
     null_if_token,
@@ -41,9 +46,6 @@ TYPE_ALIASES = {
     "string": "string", "str": "string", "text": "string",
     "auto": "auto",
 }
-# Column batches of one aggregate, so that very wide tables keep compilable plans.
-COLUMNS_PER_JOB = 50
-
 
 @dataclass(frozen=True)
 class CellCounts:
@@ -93,37 +95,40 @@ class TypePlan:
 def count_cells(
     df: DataFrame, columns: Sequence[str], tokens: Sequence[str] = NULL_TOKENS
 ) -> dict[str, CellCounts]:
-    """Counts for every text column in one aggregate per ``COLUMNS_PER_JOB`` columns."""
+    """Counts for all text columns in one job.
+
+    The columns are unpivoted to (column, cell) rows first: the tests are then compiled once instead of
+    once per column, however wide the table is, and combined per task before a shuffle of a few rows.
+    """
     layouts = DATE_FORMATS + FALLBACK_FORMATS
-    result: dict[str, CellCounts] = {}
-    for start in range(0, len(columns), COLUMNS_PER_JOB):
-        batch = list(columns[start : start + COLUMNS_PER_JOB])
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        for i, name in enumerate(batch):
-            cell = null_if_token(quoted(name), tokens) if tokens else quoted(name)
-            number = parse_number(cell)
-            aggregates += [
-                F.count(cell).alias(f"present_{i}"),
-                F.count(parse_bool(cell)).alias(f"bool_{i}"),
-                F.count(parse_bool(cell, extended=True)).alias(f"boolx_{i}"),
-                F.count(number).alias(f"number_{i}"),
-                F.count_if(is_integral(number)).alias(f"integer_{i}"),
-            ]
-            aggregates += [
-                F.count(parse_datetime(cell, layout)).alias(f"date{j}_{i}")
-                for j, layout in enumerate(layouts)
-            ]
-        row = df.agg(*aggregates).first()
-        for i, name in enumerate(batch):
-            result[name] = CellCounts(
-                rows=row["rows"],
-                present=row[f"present_{i}"],
-                bools=row[f"bool_{i}"],
-                bools_extended=row[f"boolx_{i}"],
-                numbers=row[f"number_{i}"],
-                integers=row[f"integer_{i}"],
-                dates={layout.name: row[f"date{j}_{i}"] for j, layout in enumerate(layouts)},
-            )
+    cells = df.select(F.posexplode(F.array(*map(quoted, columns))).alias("item", "raw"))
+    cell = null_if_token(F.col("raw"), tokens) if tokens else F.col("raw")
+    tested = cells.select("item", cell.alias("cell")).select(
+        "item",
+        "cell",
+        F.lower(trim_text(F.col("cell"))).alias("word"),
+        parse_number(F.col("cell")).alias("number"),
+        date_shape(F.col("cell")).alias("shape"),
+    )
+    counted = tested.groupBy("item").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("cell").alias("present"),
+        F.count_if(F.col("word").isin(TRUE_TOKENS + FALSE_TOKENS)).alias("bools"),
+        F.count_if(F.col("word").isin(TRUE_TOKENS_EXTENDED + FALSE_TOKENS_EXTENDED)).alias("bools_extended"),
+        F.count("number").alias("numbers"),
+        F.count_if(is_integral(F.col("number"))).alias("integers"),
+        *[
+            F.count(F.when(F.col("shape") == layout.shape, parse_datetime(F.col("cell"), layout))).alias(f"date{j}")
+            for j, layout in enumerate(layouts)
+        ],
+    )
+    empty = CellCounts(0, 0, 0, 0, 0, 0, {layout.name: 0 for layout in layouts})
+    result = dict.fromkeys(columns, empty)
+    for row in counted.collect():  # one row per column
+        result[columns[row["item"]]] = CellCounts(
+            row["rows"], row["present"], row["bools"], row["bools_extended"], row["numbers"], row["integers"],
+            {layout.name: row[f"date{j}"] for j, layout in enumerate(layouts)},
+        )
     return result
 
 

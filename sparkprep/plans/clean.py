@@ -94,7 +94,7 @@ def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | Non
     """Clean a table or a file.
 
     The type decisions need one aggregate over the raw data. The typed table is then written once to
-    the checkpoint folder; missing-data statistics, filters and duplicates start from that copy. Duplicate
+    the shared folder; missing-data statistics, filters and duplicates start from that copy. Duplicate
     removal writes its groups once, and outliers, scores and profiles start from those.
     """
     started = time.time()
@@ -117,10 +117,10 @@ def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | Non
         type_map=config.type_map,
         auto_detect=config.auto_detect_types,
     )
-    typed = materialize(apply_types(named, plan))
-    initial_rows = typed.count()
-    if config.order_by is None and ROW_ID not in typed.columns:
-        typed = with_row_id(typed, scan=True)  # the checkpointed copy has fixed partitions
+    typed = apply_types(named, plan)
+    positioned = config.order_by is not None or ROW_ID in typed.columns
+    typed = materialize(typed) if positioned else with_row_id(typed)
+    initial_rows = typed.count()  # from the footers of the written files
     order = config.order_by or ROW_ID
     if config.enforce_types:
         reports["types"] = type_report(named, typed, plan)

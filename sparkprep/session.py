@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def build_session(app_name: str = "sparkprep", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators rely on.
-
-    ``spark.sql.files.minPartitionNum`` is pinned so that two scans of the same files are split the
-    same way even while executors come and go; ``with_row_id`` depends on it.
-    """
+    """A session with the settings the operators rely on."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -21,7 +18,6 @@ def build_session(app_name: str = "sparkprep", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.minPartitionNum": "8",
         **conf,
     }
     for key, value in settings.items():
@@ -29,26 +25,59 @@ def build_session(app_name: str = "sparkprep", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; fall back only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkprep-checkpoint-"))
-    else:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkprep-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and continue from the written copy.
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    Used where a long plan would otherwise be run again for every following aggregate, or where later
+    steps must see the very same rows. The copy is columnar, so those steps read only their columns, and
+    losing executors does not lose it. It belongs to the run; whoever owns the folder clears it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/sparkprep-{uuid.uuid4().hex}"
+    return _written(df, path).toDF(*df.columns)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write under neutral names (any column name will do) and read back with a given schema."""
+    neutral = df.select(
+        *[
+            (col.cast("string") if isinstance(f.dataType, T.NullType) else col).alias(f"c{i}")
+            for i, (f, col) in enumerate(zip(df.schema, _columns(df)))
+        ]
+    )
+    neutral.write.parquet(path)
+    return df.sparkSession.read.schema(neutral.schema).parquet(path)
+
+
+def _columns(df: DataFrame) -> list:
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def materialize_numbered(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialize``, with the position of every row in the written table as column ``name``.
 
-    Used where a later step needs the very same rows in the very same partitions, or where a long
-    plan would otherwise be run again for every following aggregate. Reliable storage, so losing
-    executors does not lose the result.
+    A row's position is its place inside its file plus the rows of the files before it. The offsets are
+    one row per file, so broadcasting them is safe.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/sparkprep-{uuid.uuid4().hex}"
+    table = _written(df, path)
+    columns = table.columns
+    file, place = F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place")
+    sizes = table.select(file).groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
+    number = lambda pattern: F.regexp_extract("_file", pattern, 1).try_cast("int")
+    before = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    placed = table.select(*columns, file, place).join(F.broadcast(offsets), "_file")
+    position = (F.col("_offset") + F.col("_place")).cast("bigint")
+    return placed.select(*columns, position.alias("_position")).toDF(*df.columns, name)

@@ -76,7 +76,7 @@ def test_row_ids_have_no_gaps(spark, tmp_path):
     numbered = with_row_id(shuffled, order_by="v").orderBy("v")
     assert [r[0] for r in numbered.select("_row_id").collect()] == list(range(1000))
     path = put(tmp_path, "a.csv", "v\n" + "\n".join(map(str, range(50))) + "\n")
-    scanned = with_row_id(read_csv(spark, path), scan=True)
+    scanned = with_row_id(read_csv(spark, path))
     assert [(r[0], r[1]) for r in scanned.orderBy("_row_id").collect()] == [(str(i), i) for i in range(50)]
 
 
