@@ -10,10 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..functions.parsing import trim_text
 from .cells import quoted
 from .rowid import ROW_ID
-from ..functions.parsing import trim_text
+
+SUSPECTS = 1_000
 
 
 def remove_duplicates(
@@ -82,20 +83,29 @@ def _keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) ->
 
 
 def _auto(df: DataFrame, keys: list[str], order: list[str], chosen: bool) -> DataFrame:
-    """The exact groups are written once; their counts decide, and either way they are the input."""
-    if chosen:
-        exact = materialize(_exact(df, keys, order, True))
-        removed = exact.count() < df.count()
-        return exact if removed else _keep_first(exact, [normalized_key(keys)], order)
-    others = [c for c in order if c not in keys]
-    groups = materialize(
-        df.groupBy(*map(quoted, keys)).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.min(quoted(c)).alias(c) for c in others]
-        )
-    )
-    removed = not groups.where(F.col("_n") > 1).isEmpty()
-    exact = groups.select(*map(quoted, df.columns))
-    return exact if removed else _keep_first(exact, [normalized_key(keys)], order)
+    if has_duplicates(df, keys):
+        return _exact(df, keys, order, chosen)
+    return _keep_first(df, [normalized_key(keys)], order)
+
+
+def has_duplicates(df: DataFrame, keys: Sequence[str] | None = None) -> bool:
+    """Whether two rows agree on all keys, without shuffling the rows.
+
+    Equal rows have equal hashes, so only the 8-byte hashes are grouped. Hashes that occur twice are
+    suspects; one pair of equal rows among some of them settles the question. Only if all of those were
+    mere collisions are the rows themselves grouped.
+    """
+    keys = list(keys) if keys is not None else _data_columns(df)
+    columns = [quoted(k) for k in keys]
+    digest = F.xxhash64(*columns)
+    repeated = df.groupBy(digest.alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    suspects = [row["_hash"] for row in repeated.limit(SUSPECTS).collect()]
+    if not suspects:
+        return False
+    twice = lambda rows: not rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+    if twice(df.where(digest.isin(suspects))):
+        return True
+    return len(suspects) == SUSPECTS and twice(df)
 
 
 def count_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -55,7 +55,8 @@ def _iqr_bounds(df: DataFrame, names: Sequence[str], k: float) -> dict[str, Boun
         if stats.count < MIN_VALUES:
             continue
         q1, q3 = stats.values[0.25], stats.values[0.75]
-        if q3 == q1 or _two_valued(df, name, stats.minimum, stats.maximum):
+        two_valued = not stats.between and _two_valued(df, name, stats.minimum, stats.maximum)
+        if q3 == q1 or two_valued:
             continue
         bounds[name] = Bounds(q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return bounds

@@ -35,6 +35,7 @@ class Quantiles:
     minimum: float | None = None
     maximum: float | None = None
     values: dict[float, float | None] = field(default_factory=dict)
+    between: bool = False  # a value strictly between the extremes has been seen
 
 
 @dataclass
@@ -86,6 +87,8 @@ def _search(df, columns, probabilities, margin: float) -> dict[str, Quantiles]:
         result[key] = Quantiles(n, row[f"min{i}"], row[f"max{i}"], {p: None for p in wanted[key]})
         if n == 0:
             continue
+        seen = row[f"q{i}"] if wanted[key] else []
+        result[key].between = any(row[f"min{i}"] < x < row[f"max{i}"] for x in seen)
         for j, p in enumerate(wanted[key]):
             low, high = row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]
             # Few values need no bracket, and one at the edge starts at the extreme itself.

@@ -94,8 +94,9 @@ def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | Non
     """Clean a table or a file.
 
     The type decisions need one aggregate over the raw data. The typed table is then written once to
-    the shared folder; missing-data statistics, filters and duplicates start from that copy. Duplicate
-    removal writes its groups once, and outliers, scores and profiles start from those.
+    the shared folder; missing-data statistics, filters and duplicates start from that copy.
+    The rows that remain after duplicate removal are written once as well, and outliers, scores and
+    profiles start from those.
     """
     started = time.time()
     config = config if isinstance(config, CleanConfig) else CleanConfig.from_dict(config or {})
@@ -156,7 +157,7 @@ def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | Non
     rows_before_cleaning = rows
 
     if config.remove_duplicates:
-        current = remove_duplicates(current, "auto", order_by=order)
+        current = materialize(remove_duplicates(current, "auto", order_by=order))
         rows = current.count()
     duplicates = rows_before_cleaning - rows
     rows_before_outliers = rows
