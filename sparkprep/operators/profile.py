@@ -322,15 +322,18 @@ def _pearson(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float
     pairs = list(combinations(names, 2))
     if not pairs:
         return {}
-    row = df.agg(
-        *[
-            F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"c{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
-    ).first()
+    row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {pair: row[i] for i, pair in enumerate(pairs)}
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson's coefficient; NULL where one side is constant, on which ``corr`` fails under ANSI rules."""
+    x, y = quoted(a).cast("double"), quoted(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 ALERT_SCHEMA = "column string, alert string, value double"
 
 

@@ -148,6 +148,7 @@ def error_rate_score(df: DataFrame, errors: DataFrame) -> DataFrame:
         F.coalesce(F.sum("row"), F.lit(0)).alias("rows"), F.coalesce(F.sum("error"), F.lit(0)).alias("errors")
     )
     share = F.try_divide(100 * F.col("errors"), F.col("rows"))
-    score = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(100 - share))), F.lit(0.0))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(100 - share)))
+    score = F.when(F.col("rows") > 0, inside).otherwise(0.0)
     band = F.when(score >= 90, "excellent").when(score >= 70, "good").otherwise("needs review")
     return counts.select("rows", "errors", score.alias("score"), band.alias("band"))
