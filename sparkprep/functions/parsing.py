@@ -154,8 +154,8 @@ def date_shape(col: Column) -> Column:
     fifth = F.substring(col, 5, 1)
     family = F.when(fifth == "-", 0).when((fifth == "/") & ~F.contains(F.substring(col, 1, 3), F.lit("/")), 2)
     family = family.when(F.contains(F.substring(col, 2, 2), F.lit("/")), 4)
-    length = F.length(col)
-    return F.when(length.between(8, 40), family + F.when(length > 10, 1).otherwise(0))
+    size = F.octet_length(col)  # known without reading the text; all layouts are ASCII
+    return F.when(size.between(8, 40), family + F.when(size > 10, 1).otherwise(0))
 
 
 def format_datetime(col: Column, pattern: str = "yyyy-MM-dd") -> Column:

@@ -119,7 +119,7 @@ def _numeric_ranges(df: DataFrame, name: str, kind: str, rows_per_range: int) ->
     if pieces <= 1:
         return df.withColumn(_RANGE, F.lit(0))
     shares = [k / pieces for k in range(1, pieces)]
-    cuts = df.agg(F.percentile_approx(number, shares, 10 * pieces)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(number, shares, max(1_000, 4 * pieces))).first()[0] or []
     picked = sorted(set(cuts))
     if not picked:
         return df.withColumn(_RANGE, F.lit(0))

@@ -294,11 +294,11 @@ def _fill_order(df: DataFrame, order_by) -> list[str]:
 
 
 def _filled(name: str, data_type: T.DataType, value: Any):
-    """Fill with a constant; a fractional value promotes an integer column to double."""
-    col = quoted(name)
+    """Fill with a constant; the column becomes double or text where its type cannot hold the value."""
+    col, kind = quoted(name), kind_of(data_type)
     if isinstance(data_type, INTEGRAL_TYPES) and isinstance(value, float) and not value.is_integer():
         return F.coalesce(col.cast("double"), F.lit(value))
-    if isinstance(data_type, INTEGRAL_TYPES) and isinstance(value, str):
+    if isinstance(value, str) and kind in ("numeric", "boolean", "datetime"):
         return F.coalesce(col.cast("string"), F.lit(value))
     return F.coalesce(col, F.lit(value).cast(data_type))
 

@@ -4,7 +4,8 @@
 10^12 different doubles does not survive. Here a Greenwald-Khanna sketch brackets each wanted rank
 within a few 1/ACCURACY of the rows, further rounds shrink the bracket, and only when the sketch's own
 guarantee says that at most ``COLLECT_LIMIT`` different values are left are they counted one by one.
-Every round is one fused aggregate over all wanted columns; up to about 10 million rows two are enough.
+Every round is one fused aggregate over all wanted columns; up to about 10 million rows the first one is
+followed by the count at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +23,7 @@ ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
 COLLECT_LIMIT = 10_000
 GRID = 1_000
+BATCH = 25  # columns of one search
 
 
 class _RankMissed(Exception):
@@ -54,24 +57,31 @@ def exact_quantiles(
     df: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float] | Mapping[str, Sequence[float]]
 ) -> dict[str, Quantiles]:
     """Quantiles of numeric expressions; NULL is left out. Keys are the caller's names."""
+    wanted = {
+        key: list(probabilities[key] if isinstance(probabilities, Mapping) else probabilities)
+        for key in columns
+    }
+    keys, found = list(columns), {}
+    for start in range(0, len(keys), BATCH):
+        values = {key: columns[key].cast("double") for key in keys[start : start + BATCH]}
+        found.update(_search_widening(df, values, wanted))
+    return found
+
+
+def _search_widening(df: DataFrame, values: Mapping[str, Column], wanted: Mapping[str, list]) -> dict[str, Quantiles]:
     margin = MARGIN
     while True:
         try:
-            return _search(df, columns, probabilities, margin)
+            return _search(df, values, wanted, margin)
         except _RankMissed:
             if margin >= 1:
                 raise
             margin *= 10
 
 
-def _search(df, columns, probabilities, margin: float) -> dict[str, Quantiles]:
-    wanted = {
-        key: list(probabilities[key] if isinstance(probabilities, Mapping) else probabilities)
-        for key in columns
-    }
-    values = {key: col.cast("double") for key, col in columns.items()}
-    if not values:
-        return {}
+def _search(
+    df: DataFrame, values: Mapping[str, Column], wanted: Mapping[str, list], margin: float
+) -> dict[str, Quantiles]:
     first = []
     for i, (key, x) in enumerate(values.items()):
         points = [q for p in wanted[key] for q in (max(0.0, p - margin), min(1.0, p + margin))]
@@ -152,31 +162,30 @@ def _refine(
 def _count_out(
     df: DataFrame, values: Mapping[str, Column], brackets: Sequence[_Bracket], result: dict[str, Quantiles]
 ) -> None:
-    """Histogram of the few values left in each bracket; rows below it form one NULL group."""
+    """Exact counts of the few values left in each bracket, and of the rows below it.
+
+    Only rows inside some bracket, about one in a thousand, are looked at value by value.
+    """
+    tests = [(values[b.key] >= b.low) & (values[b.key] <= b.high) for b in brackets]
     items = [
-        F.when(
-            values[b.key] <= b.high,
-            F.struct(
-                F.lit(i).alias("item"),
-                F.when(values[b.key] >= b.low, values[b.key]).alias("value"),
-            ),
-        )
-        for i, b in enumerate(brackets)
+        F.when(test, F.struct(F.lit(i).alias("item"), values[b.key].alias("value")))
+        for i, (b, test) in enumerate(zip(brackets, tests))
     ]
     histogram = (
-        df.select(F.explode(F.array(*items)).alias("cell"))
-        .where(F.col("cell").isNotNull())
-        .groupBy("cell.item", "cell.value")
+        df.where(reduce(lambda a, b: a | b, tests))
+        .select(F.inline(F.array_compact(F.array(*items))))
+        .groupBy("item", "value")
         .count()
         .collect()  # at most COLLECT_LIMIT + 2 values per bracket
     )
     per_item: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(brackets))}
-    below = dict.fromkeys(per_item, 0)
     for item, value, count in histogram:
-        if value is None:
-            below[item] += count
-        else:
-            per_item[item].append((value, count))
+        per_item[item].append((value, count))
+    below = [0] * len(brackets)
+    if any(b.low > result[b.key].minimum for b in brackets):
+        below = df.agg(
+            *[F.count_if(values[b.key] < b.low).alias(f"b{i}") for i, b in enumerate(brackets)]
+        ).first()
     for i, b in enumerate(brackets):
         lower_rank, upper_rank = math.floor(b.rank), math.ceil(b.rank)
         position, lower, upper = below[i], None, None

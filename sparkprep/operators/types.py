@@ -36,6 +36,7 @@ from .cells import quoted
 NORMALIZE_SHARE = 0.7  # of all rows, strictly more
 FORMAT_SHARE = 0.7  # a date layout must read more than this share
 DETECT_SHARE = 0.8  # of non-null rows, at least
+LONGEST_FLAG = max(map(len, TRUE_TOKENS_EXTENDED + FALSE_TOKENS_EXTENDED))
 
 # Names users may give to types, with the spelling used in plans.
 TYPE_ALIASES = {
@@ -103,10 +104,11 @@ def count_cells(
     layouts = DATE_FORMATS + FALLBACK_FORMATS
     cells = df.select(F.posexplode(F.array(*map(quoted, columns))).alias("item", "raw"))
     cell = null_if_token(F.col("raw"), tokens) if tokens else F.col("raw")
+    trimmed = trim_text(F.col("cell"))
     tested = cells.select("item", cell.alias("cell")).select(
         "item",
         "cell",
-        F.lower(trim_text(F.col("cell"))).alias("word"),
+        F.when(F.octet_length(trimmed) <= LONGEST_FLAG, F.lower(trimmed)).alias("word"),
         parse_number(F.col("cell")).alias("number"),
         date_shape(F.col("cell")).alias("shape"),
     )
