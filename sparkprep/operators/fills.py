@@ -71,10 +71,8 @@ def fill_ordered(
             for i in range(len(columns))
         ],
     )
-    keys = [*groups, _RANGE]
-    # Without groups the carry has at most MAX_RANGES rows; with groups it grows with them.
-    carry = carry if groups else F.broadcast(carry)
-    joined = _join_null_safe(ranged, carry, keys)
+    # Without groups the carry has at most MAX_RANGES rows and is broadcast; with groups it grows with them.
+    joined = _join_carry(ranged, carry, groups)
     ordering = [quoted(c).asc() if forward else quoted(c).desc() for c in order]
     upto = Window.partitionBy(*cuts).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
@@ -84,14 +82,15 @@ def fill_ordered(
     return joined.select(*[filled.get(c, quoted(c)).alias(c) for c in df.columns])
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)],
-                           *[c for c in right.columns if c.startswith("_carry")])
-    test = None
-    for i, k in enumerate(keys):
-        same = quoted(k).eqNullSafe(F.col(f"_key{i}"))
-        test = same if test is None else test & same
-    return left.join(renamed, test, "left")
+def _join_carry(left: DataFrame, carry: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Join on the range number, and on the group with NULL as a group of its own."""
+    keys = [*groups, _RANGE]
+    carries = [c for c in carry.columns if c.startswith("_carry")]
+    renamed = carry.select(*[quoted(k).alias(f"_key{i}") for i, k in enumerate(keys)], *carries)
+    test = F.col(_RANGE) == F.col(f"_key{len(groups)}")
+    for i, group in enumerate(groups):
+        test = test & quoted(group).eqNullSafe(F.col(f"_key{i}"))
+    return left.join(renamed if groups else F.broadcast(renamed), test, "left")
 
 
 def _with_ranges(df: DataFrame, order: list[str], rows_per_range: int) -> tuple[DataFrame, Column]:
@@ -125,4 +124,5 @@ def _numeric_ranges(df: DataFrame, name: str, kind: str, rows_per_range: int) ->
         return df.withColumn(_RANGE, F.lit(0))
     splits = [-math.inf, *picked, math.inf]
     cut = Bucketizer(splits=splits, inputCol="_number", outputCol=_RANGE, handleInvalid="keep")
-    return cut.transform(df.withColumn("_number", number)).drop("_number")
+    ranged = cut.transform(df.withColumn("_number", number)).drop("_number")
+    return ranged.withColumn(_RANGE, F.coalesce(F.col(_RANGE).cast("int"), F.lit(-1)))

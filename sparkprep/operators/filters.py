@@ -360,7 +360,7 @@ def _read(df: DataFrame, name: str, kinds) -> tuple[Column, T.DataType, str]:
     if kind_of(dtype) == "text" and kind == "numeric":
         return parse_number(col), T.DoubleType(), kind
     if kind_of(dtype) == "text" and kind == "datetime":
-        return parse_datetime(col, layout), T.TimestampNTZType(), kind
+        return parse_datetime(trim_text(col), layout), T.TimestampNTZType(), kind
     return col, dtype, kind
 
 

@@ -110,7 +110,8 @@ def count_cells(
         "cell",
         F.when(F.octet_length(trimmed) <= LONGEST_FLAG, F.lower(trimmed)).alias("word"),
         parse_number(F.col("cell")).alias("number"),
-        date_shape(F.col("cell")).alias("shape"),
+        trimmed.alias("trimmed"),
+        date_shape(trimmed).alias("shape"),
     )
     counted = tested.groupBy("item").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -120,7 +121,7 @@ def count_cells(
         F.count("number").alias("numbers"),
         F.count_if(is_integral(F.col("number"))).alias("integers"),
         *[
-            F.count(F.when(F.col("shape") == layout.shape, parse_datetime(F.col("cell"), layout))).alias(f"date{j}")
+            F.count(F.when(F.col("shape") == layout.shape, parse_datetime(F.col("trimmed"), layout))).alias(f"date{j}")
             for j, layout in enumerate(layouts)
         ],
     )
@@ -271,7 +272,7 @@ def typed_column(name: str, data_type: T.DataType, plan: ColumnPlan, tokens: Seq
     if plan.kind == "float":
         return parse_number(cell)
     if plan.kind == "datetime":
-        return parse_datetime(cell, plan.date_format)
+        return parse_datetime(trim_text(cell), plan.date_format)
     return trim_text(cell) if trim else cell
 
 

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.parsing import DATE_FORMATS, FALLBACK_FORMATS, kind_of, parse_datetime, parse_number
+from ..functions.parsing import DATE_FORMATS, FALLBACK_FORMATS, kind_of, parse_datetime, parse_number, trim_text
 from .cells import quoted
 from .missing import MissingAnalysis, analyze_missing
 from .rowid import ROW_ID, with_row_id
@@ -32,7 +32,7 @@ def type_ok(col: Column, data_type: T.DataType, expected: str) -> Column:
         return good if kind == "boolean" else bad
     if expected == "datetime":
         if kind == "text":
-            readings = [parse_datetime(col, layout) for layout in DATE_FORMATS + FALLBACK_FORMATS]
+            readings = [parse_datetime(trim_text(col), layout) for layout in DATE_FORMATS + FALLBACK_FORMATS]
             return col.isNull() | F.coalesce(*readings).isNotNull()
         return good if kind in ("datetime", "numeric") else bad
     return good

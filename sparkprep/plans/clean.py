@@ -146,6 +146,8 @@ def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | Non
         reports["missing"] = missing_report(current, before)
         reports["missing_handling"] = handling_report(current, handled)
         current = apply_missing(current, handled, order_by=order)
+        if not handled.row_local:
+            current = materialize(current)  # ordered fills shuffle; the following jobs should not repeat it
         rows = handled.final_rows
 
     rows_before_filters = rows

@@ -129,7 +129,7 @@ def test_enforce(spark):
 def test_one_plan_equals_two_steps(spark):
     """Deciding normalisation and enforcement from one aggregate gives what two passes give."""
     rng = random.Random(5)
-    words = ["1", "0", "t", "f", "yes", "no", "2.5", "7", "x", "n/a", "", None, "2024-01-02", "3/4/2024", "true"]
+    words = ["1", "0", "t", "f", "yes", "no", "2.5", "7", "x", "n/a", "", None, "2024-01-02", "3/4/2024", "true", " 2024-05-06 "]
     for _ in range(12):
         picked = rng.sample(words, 4)
         cells = [rng.choices(picked, weights=[8, 2, 1, 1])[0] for _ in range(20)]
