@@ -14,8 +14,8 @@ from .registry import query
 WITH f AS (SELECT l_orderkey, l_linenumber, coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM {dirty_lineitem})) AS l_quantity,
   l_extendedprice FROM {dirty_lineitem})
 SELECT l_orderkey, l_linenumber,
-  round((l_quantity - (SELECT avg(l_quantity) FROM f)) / (SELECT stddev_pop(l_quantity) FROM f), 6)::DOUBLE AS l_quantity_normalized,
-  round((l_extendedprice - (SELECT avg(l_extendedprice) FROM f)) / (SELECT stddev_pop(l_extendedprice) FROM f), 6)::DOUBLE AS l_extendedprice_normalized
+  round((l_quantity - (SELECT avg(l_quantity) FROM f)) / (SELECT stddev_pop(l_quantity) FROM f), 6)::DOUBLE + 0.0 AS l_quantity_normalized,
+  round((l_extendedprice - (SELECT avg(l_extendedprice) FROM f)) / (SELECT stddev_pop(l_extendedprice) FROM f), 6)::DOUBLE + 0.0 AS l_extendedprice_normalized
 FROM f""")
 def standardize_numbers(t):
     scaled = standardize(t.dirty_lineitem, ["l_quantity", "l_extendedprice"])
@@ -69,8 +69,8 @@ SMALL = ["p_size", "p_type", "p_retailprice"]
 
 
 @query("""
-SELECT p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 6)::DOUBLE AS size,
-  round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6)::DOUBLE AS price,
+SELECT p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 6)::DOUBLE + 0.0 AS size,
+  round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6)::DOUBLE + 0.0 AS price,
   CAST(CASE WHEN p_type = (SELECT min(p_type) FROM part) THEN 0 ELSE 1 END AS DOUBLE) AS hot,
   CAST((SELECT count(DISTINCT p_type) - 1 FROM part) + 2 AS INTEGER) AS width FROM part""")
 def vectorize_numeric(t):

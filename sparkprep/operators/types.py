@@ -104,14 +104,18 @@ def count_cells(
     layouts = DATE_FORMATS + FALLBACK_FORMATS
     cells = df.select(F.posexplode(F.array(*map(quoted, columns))).alias("item", "raw"))
     cell = null_if_token(F.col("raw"), tokens) if tokens else F.col("raw")
-    trimmed = trim_text(F.col("cell"))
-    tested = cells.select("item", cell.alias("cell")).select(
-        "item",
-        "cell",
-        F.when(F.octet_length(trimmed) <= LONGEST_FLAG, F.lower(trimmed)).alias("word"),
-        parse_number(F.col("cell")).alias("number"),
-        trimmed.alias("trimmed"),
-        date_shape(trimmed).alias("shape"),
+    # One projection per step: Spark keeps them apart, so each value is computed once per cell.
+    tested = (
+        cells.select("item", cell.alias("cell"))
+        .select("item", "cell", trim_text(F.col("cell")).alias("trimmed"))
+        .select(
+            "item",
+            "cell",
+            "trimmed",
+            F.when(F.octet_length("trimmed") <= LONGEST_FLAG, F.lower("trimmed")).alias("word"),
+            parse_number(F.col("cell")).alias("number"),
+            date_shape(F.col("trimmed")).alias("shape"),
+        )
     )
     counted = tested.groupBy("item").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -259,21 +263,33 @@ def _fractional_columns(df: DataFrame, names: Sequence[str]) -> set[str]:
     return {n for i, n in enumerate(names) if row[i]}
 
 
-def typed_column(name: str, data_type: T.DataType, plan: ColumnPlan, tokens: Sequence[str], trim: bool) -> Column:
-    """The expression that converts one column."""
+def typed_column(name: str, data_type: T.DataType, plan: ColumnPlan, trim: bool) -> Column:
+    """The expression that converts one column, whose null tokens are gone already."""
     col = quoted(name)
     if kind_of(data_type) != "text":
         return _typed_cast(col, data_type, plan)
-    cell = null_if_token(col, tokens) if tokens else col
     if plan.kind == "bool":
-        return parse_bool(cell, plan.extended)
+        return parse_bool(col, plan.extended)
     if plan.kind == "int":
-        return parse_integer(cell)
+        return parse_integer(col)
     if plan.kind == "float":
-        return parse_number(cell)
+        return parse_number(col)
     if plan.kind == "datetime":
-        return parse_datetime(trim_text(cell), plan.date_format)
-    return trim_text(cell) if trim else cell
+        return parse_datetime(col, plan.date_format)
+    return trim_text(col) if trim else col
+
+
+def prepare_cells(df: DataFrame, plan: TypePlan, keep: Sequence[str] = ()) -> DataFrame:
+    """Null tokens out, dates trimmed: steps of their own, so that the conversions read plain columns."""
+    text = {f.name for f in df.schema if kind_of(f.dataType) == "text"} - set(keep)
+    dates = {c for c, p in plan.columns.items() if p.kind == "datetime"} & text
+    if plan.null_tokens and text:
+        df = df.select(
+            *[null_if_token(quoted(c), plan.null_tokens).alias(c) if c in text else quoted(c) for c in df.columns]
+        )
+    if dates:
+        df = df.select(*[trim_text(quoted(c)).alias(c) if c in dates else quoted(c) for c in df.columns])
+    return df
 
 
 def _typed_cast(col: Column, data_type: T.DataType, plan: ColumnPlan) -> Column:
@@ -301,13 +317,11 @@ def _typed_cast(col: Column, data_type: T.DataType, plan: ColumnPlan) -> Column:
 
 
 def apply_types(df: DataFrame, plan: TypePlan) -> DataFrame:
-    """Convert all columns in one lazy projection. Row-local, so it also takes streaming frames."""
+    """Convert all columns, lazily. Row-local, so it also takes streaming frames."""
     keep = ColumnPlan("keep")
-    return df.select(
+    return prepare_cells(df, plan).select(
         *[
-            typed_column(
-                f.name, f.dataType, plan.columns.get(f.name, keep), plan.null_tokens, plan.trim
-            ).alias(f.name)
+            typed_column(f.name, f.dataType, plan.columns.get(f.name, keep), plan.trim).alias(f.name)
             for f in df.schema
         ]
     )
@@ -390,6 +404,7 @@ def conversion_errors(df: DataFrame, plan: TypePlan, row_id: str | Sequence[str]
     failures produce nothing, and nothing is shuffled.
     """
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
+    cells = prepare_cells(df, plan, keep=ids)
     failures = []
     for f in df.schema:
         column = plan.columns.get(f.name)
@@ -397,11 +412,10 @@ def conversion_errors(df: DataFrame, plan: TypePlan, row_id: str | Sequence[str]
             continue
         if kind_of(f.dataType) != "text":
             continue
-        cell = null_if_token(quoted(f.name), plan.null_tokens) if plan.null_tokens else quoted(f.name)
-        parsed = typed_column(f.name, f.dataType, column, plan.null_tokens, plan.trim)
+        parsed = typed_column(f.name, f.dataType, column, plan.trim)
         failures.append(
             F.when(
-                cell.isNotNull() & parsed.isNull(),
+                quoted(f.name).isNotNull() & parsed.isNull(),
                 F.struct(
                     F.lit(f.name).alias("column"),
                     quoted(f.name).alias("value"),
@@ -414,4 +428,4 @@ def conversion_errors(df: DataFrame, plan: TypePlan, row_id: str | Sequence[str]
     if not failures:
         empty = "array<struct<column:string,value:string,target:string>>"
         return df.where(F.lit(False)).select(*keys, F.inline(F.lit(None).cast(empty)))
-    return df.select(*keys, F.inline(F.array_compact(F.array(*failures))))
+    return cells.select(*keys, F.inline(F.array_compact(F.array(*failures))))

@@ -7,7 +7,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.parsing import DATE_FORMATS, FALLBACK_FORMATS, kind_of, parse_datetime, parse_number, trim_text
+from ..functions.parsing import (
+    DATE_FORMATS,
+    FALLBACK_FORMATS,
+    date_shape,
+    kind_of,
+    parse_datetime,
+    parse_number,
+    trim_text,
+)
 from .cells import quoted
 from .missing import MissingAnalysis, analyze_missing
 from .rowid import ROW_ID, with_row_id
@@ -32,12 +40,23 @@ def type_ok(col: Column, data_type: T.DataType, expected: str) -> Column:
         return good if kind == "boolean" else bad
     if expected == "datetime":
         if kind == "text":
-            readings = [parse_datetime(trim_text(col), layout) for layout in DATE_FORMATS + FALLBACK_FORMATS]
-            return col.isNull() | F.coalesce(*readings).isNotNull()
+            return col.isNull() | _reads_as_date(col)
         return good if kind in ("datetime", "numeric") else bad
     return good
 
 
+def _reads_as_date(col: Column) -> Column:
+    """Whether any layout reads the cell; the trimmed cell and its shape are computed once for all."""
+    shaped = F.transform(F.array(trim_text(col)), lambda c: F.struct(c.alias("cell"), date_shape(c).alias("shape")))
+    readings = lambda s: F.coalesce(
+        *[
+            F.when(s["shape"] == layout.shape, parse_datetime(s["cell"], layout))
+            for layout in DATE_FORMATS + FALLBACK_FORMATS
+        ]
+    )
+    return F.coalesce(F.exists(shaped, lambda s: readings(s).isNotNull()), F.lit(False))
+
+
 def error_array(df: DataFrame, schema: Mapping[str, Mapping[str, Any]]) -> Column:
     """The rules each row breaks, in rule order. Row-local, so it works on streams as well."""
     fields = {f.name: f.dataType for f in df.schema}
@@ -55,20 +74,35 @@ def error_array(df: DataFrame, schema: Mapping[str, Mapping[str, Any]]) -> Colum
         fits = type_ok(col, data_type, expected)
         got = KIND_NAMES.get(kind_of(data_type), data_type.simpleString())
         found.append(_error(~fits, name, "type", f"Field '{name}' expected {expected}, got {got}", value))
-        if expected == "number":
+        if expected == "number" and (rules.get("min") is not None or rules.get("max") is not None):
             number = parse_number(col) if kind_of(data_type) == "text" else col.cast("double")
-            if rules.get("min") is not None:
-                test = fits & (number < F.lit(float(rules["min"])))
-                found.append(_error(test, name, "min", f"Field '{name}' below min {rules['min']}", value))
-            if rules.get("max") is not None:
-                test = fits & (number > F.lit(float(rules["max"])))
-                found.append(_error(test, name, "max", f"Field '{name}' above max {rules['max']}", value))
+            found.append(_bound_errors(F.when(fits, number), name, rules, value))
     if not found:
         return F.lit(None).cast(ERROR_TYPE)
-    return F.array_compact(F.array(*found)).cast(ERROR_TYPE)
+    return F.array_compact(F.flatten(F.array(*found))).cast(ERROR_TYPE)
+
+
+def _bound_errors(number: Column, name: str, rules: Mapping[str, Any], value: Column) -> Column:
+    """Errors against both bounds; ``transform`` binds the number once for them."""
+    tests = []
+    for rule, side in (("min", "below"), ("max", "above")):
+        if rules.get(rule) is not None:
+            tests.append((rule, f"Field '{name}' {side} {rule} {rules[rule]}", float(rules[rule])))
+
+    def check(n: Column) -> Column:
+        hits = [(n < F.lit(bound)) if rule == "min" else (n > F.lit(bound)) for rule, _, bound in tests]
+        return F.array(
+            *[_error_struct(hit, name, rule, message, value) for hit, (rule, message, _) in zip(hits, tests)]
+        )
+
+    return F.transform(F.array(number), check)[0]
 
 
 def _error(test: Column, name: str, rule: str, message: str, value: Column) -> Column:
+    return F.array(_error_struct(test, name, rule, message, value))
+
+
+def _error_struct(test: Column, name: str, rule: str, message: str, value: Column) -> Column:
     return F.when(
         test,
         F.struct(
