@@ -49,8 +49,8 @@ RULES = (
     Rule("word_length", "mean_word_chars", low=2.5, high=10),
     Rule("symbols", "symbols_per_word", high=0.15),
     Rule("stop_words", "stop_share", low=0.05),
-    Rule("repeated_lines", "dup_line_share", high=0.3),
-    Rule("open_lines", "ended_line_share", low=0.2),
+    Rule("repeated_lines", "dup_line_share", high=0.4),
+    Rule("open_lines", "ended_line_share", low=0.1),
 )
 
 #: Ratios over the counts. A division by zero gives null.

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
-from .text import read
+from . import quality_rules, token_counts
+from .text import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,17 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         (F.size("_broken") == 0).alias("kept"),
         F.col("_broken").alias("broken_rules"),
     )
+
+
+@query
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id",
+        F.octet_length(whole(F.col("text"))).cast("bigint").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 512).alias("over_limit"),
+    )
