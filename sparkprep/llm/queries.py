@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, token_counts
+from . import mixing, quality_rules, token_counts
 from .text import read, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         "n_tokens",
         (F.col("n_tokens") > 512).alias("over_limit"),
     )
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
