@@ -30,7 +30,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.arrays_overlap("_broken", base).alias("base_failed"),
         (F.size("_broken") == 0).alias("kept"),
-        F.col("_broken").alias("broken_rules"),
+        F.array_join("_broken", ",").alias("broken_rules"),
     )
 
 
@@ -48,6 +48,78 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Each in plain SQL: every window of every text as a row, and sources filled one after the other by running sums.
+ORACLES["op7_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT rid, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram
+  FROM (SELECT rid, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g),
+c AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat
+  FROM (SELECT rid, i, unnest([0, 1, 2]) AS k FROM r WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, line FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lc AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (regexp_matches(line, '[.!?:;"\x{201D}\x{00BB}\x{2026}\x{3002}\x{FF01}\x{FF1F}][\x20\x09-\x0D]*$')) AS n_ended
+  FROM l GROUP BY rid),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: list_contains([STOPS], x))) AS n_stop, n_lines, n_ended
+  FROM d LEFT JOIN c USING (rid) LEFT JOIN lc USING (rid)),
+b AS (
+  SELECT *, list_filter([
+    CASE WHEN n_words < 50 THEN 'too_few_words' END,
+    CASE WHEN n_words > 0 AND 100 * n_repeat_words > 50 * n_words THEN 'repeated_windows' END,
+    CASE WHEN n_words > 0 AND (word_chars / n_words < 2.5 OR word_chars / n_words > 10) THEN 'word_length' END,
+    CASE WHEN n_words > 0 AND n_symbols / n_words > 0.15 THEN 'symbols' END,
+    CASE WHEN n_words > 0 AND n_stop / n_words < 0.05 THEN 'stop_words' END,
+    CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.4 THEN 'repeated_lines' END,
+    CASE WHEN n_lines > 0 AND n_ended / n_lines < 0.1 THEN 'open_lines' END], lambda x: x IS NOT NULL) AS broken
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  list_contains(broken, 'too_few_words') OR list_contains(broken, 'repeated_windows') AS base_failed,
+  len(broken) = 0 AS kept, coalesce(array_to_string(broken, ','), '') AS broken_rules FROM b
+""".replace("STOPS", ", ".join(f"'{v}'" for w in quality_rules.STOP_WORDS for v in (w, w.capitalize())))
+
+ORACLES["op3_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols,
+    (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1)
+      / CAST(4503599627370497 AS DOUBLE) AS u
+  FROM documents),
+k AS (
+  SELECT *, CASE WHEN size > 0 THEN -ln(u) / greatest(0.25, least(1, 1 - symbols / size)) ELSE -ln(u) / 0.25 END AS key
+  FROM d),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+  FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(r - 1) % 3 + 1] AS DOUBLE) AS w, 3.0::DOUBLE * source_size AS cap FROM s),
+f AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (
+  SELECT source, source_size,
+    CASE WHEN level * w >= cap THEN cap ELSE max(CASE WHEN level * w < cap THEN level END) OVER () * w END AS target FROM f),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round_even(target, 0) AS BIGINT) // source_size ELSE 0 END AS epochs,
+    CAST(round_even(target, 0) AS BIGINT) AS goal FROM t),
+p AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.goal - e.epochs * e.source_size AS rest,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM p
+"""
+
+
 @query
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", "text")
