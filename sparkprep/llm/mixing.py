@@ -20,8 +20,6 @@ result. Other columns stay as they are; the mix is one struct column, whose name
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .text import column, keep, whole, words
@@ -108,7 +106,7 @@ def mix(
     totals = narrow.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     shares = keep(targets(totals, weights, cap), "mix-targets")
     few = shares.count() <= BROADCAST_SOURCES
-    per_source = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    per_source = F.broadcast if few else (lambda df: df)
 
     # a target in whole words, the epochs that fit into it, and the words that remain
     goal = F.rint("target").cast("bigint")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, token_counts
-from .text import read, whole
+from . import decontamination, mixing, quality_rules, token_counts
+from .text import read, sha256, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,46 @@ SELECT doc_id, size, source_size, target,
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+
+
+ORACLES["op8_decontamination"] = r"""
+WITH i AS (
+  SELECT item_id, w FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+v AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i)),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT rid, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS s FROM d), (SELECT DISTINCT n FROM v) WHERE s + n - 1 <= len(w)),
+h AS (SELECT rid, s, p.n, item_id FROM p JOIN v USING (win)),
+c AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS word FROM h) GROUP BY rid),
+t AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
+@query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    # as ``item_words`` counts them, without lower-casing the text
+    n_words = F.size(F.array_remove(F.split(whole(F.col("text")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), ""))
+    docs = read(spark, folder, "documents").select("doc_id", "text", n_words.cast("bigint").alias("n_words"))
+    marked = decontamination.mark(docs, read(spark, folder, "benchmark"), columns=["doc_id", "n_words"])
+    hits = F.coalesce("_hits.n_hit", F.lit(0))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.coalesce("_hits.n_items", F.lit(0)).alias("n_items"),
+        sha256(F.coalesce("_hits.items_text", F.lit(""))).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )

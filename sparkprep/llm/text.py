@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkprep.session import shared_folder
@@ -35,6 +37,11 @@ def total(items: Column, kind: str = "bigint") -> Column:
     return F.aggregate(items, F.lit(0).cast(kind), lambda acc, x: acc + x)
 
 
+def if_small(df: DataFrame, most: int) -> DataFrame:
+    """A kept table, to be broadcast if it has at most ``most`` rows; else the optimiser joins it as it likes."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -44,8 +51,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     Later steps then neither repeat the work nor depend on executors that may be lost.
     """
-    import uuid
-
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
