@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, quality_rules, token_counts
+from . import decontamination, mixing, near_duplicates, quality_rules, token_counts
 from .text import read, sha256, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,12 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         sha256(F.coalesce("_hits.items_text", F.lit(""))).alias("items_sha256"),
         (hits > 0).alias("contaminated"),
     )
+
+
+@query
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("near_group").alias("class_id"), F.col("copy_class").alias("copy_class_id"),
+        "n_links", "n_linked_texts", "n_copies",
+    )
