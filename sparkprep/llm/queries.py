@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, near_duplicates, quality_rules, token_counts
-from .text import read, sha256, whole
+from . import decontamination, mixing, near_duplicates, pii, quality_rules, token_counts
+from .text import keep, read, sha256, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,18 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.col("near_group").alias("class_id"), F.col("copy_class").alias("copy_class_id"),
         "n_links", "n_linked_texts", "n_copies",
     )
+
+
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    detected = keep(pii.detect(docs).select("doc_id", "_candidates"), "pii-candidates")
+    spans = pii.label(detected, pii.fit(detected))
+    base = F.filter("_spans", lambda s: s["strict"])
+    counts = [
+        F.size(F.filter("_spans", lambda s: s["strict"] & (s["kind"] == k))).cast("bigint").alias(f"n_{name}")
+        for k, name in enumerate(pii.KINDS)
+    ]
+    return spans.select(
+        "doc_id", *counts, sha256(pii.spans_text(base)).alias("base_sha256"), pii.spans_text(F.col("_spans")).alias("spans")
+    )
