@@ -23,7 +23,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import column, if_small, keep, whole
+from .text import attach, column, doc_keys, keep, whole
 
 WINDOW = 10
 SHINGLE = 5
@@ -42,7 +42,7 @@ def item_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _shingles(w: Column, size: int) -> Column:
+def rolled(w: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` words, in order."""
     starts = F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(0)))
     return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]))
@@ -65,7 +65,7 @@ def find(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """One row for each document that holds a window: its keys (see ``keys``), the spans of words (start
+    """One row for each document that holds a window: its keys (see ``doc_keys``), the spans of words (start
     inclusive, end exclusive, sorted, they may overlap) and the items' ids."""
     wins = benchmark_windows(benchmark, item, item_text, window)
     wins = wins.withColumn("length", F.size("words")).withColumn("window", F.array_join("words", " "))
@@ -86,15 +86,10 @@ def find(
     return hits.withColumn("spans", F.array_sort("spans"))
 
 
-def keys(key: str, text: str) -> list[Column]:
-    """What a document is found again by: 128 bits of its id and text."""
-    return [F.xxhash64(column(key)).alias("_k1"), F.xxhash64(whole(column(text))).alias("_k2")]
-
-
 def _find_block(docs: DataFrame, wins: DataFrame, lengths: list[int], key: str, text: str) -> DataFrame:
     lengths = lengths or [SHINGLE]
-    own = [_shingles(F.col("words"), m) for m in lengths]
-    scanned = docs.select(*keys(key, text), item_words(whole(column(text))).alias("words"))
+    own = [rolled(F.col("words"), m) for m in lengths]
+    scanned = docs.select(*doc_keys(key, text), item_words(whole(column(text))).alias("words"))
     placed = scanned.select("_k1", "_k2", "words", *[h.alias(f"_h{m}") for m, h in zip(lengths, own)])
 
     # the shingles of each window, with their places
@@ -150,11 +145,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         F.size("items").cast("bigint").alias("n_items"), F.array_join(ids, ",").alias("items_text"),
     )
     found = keep(found, "decontamination-hits")
-    names = docs.columns if columns is None else columns
-    numbered = docs.select(*[column(c).alias(f"_c{i}") for i, c in enumerate(names)], *keys(key, text))
-    joined = numbered.join(if_small(found, BROADCAST_HITS), ["_k1", "_k2"], "left")
-    hits = F.when(F.col("n_hit").isNotNull(), F.struct("n_hit", "n_items", "items_text"))
-    return joined.select(*[f"_c{i}" for i in range(len(names))], hits.alias("_m")).toDF(*names, into)
+    return attach(docs, found, key, text, docs.columns if columns is None else columns, into, BROADCAST_HITS)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **named) -> DataFrame:

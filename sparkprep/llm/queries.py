@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, near_duplicates, pii, quality_rules, token_counts
+from . import chat, decontamination, gam, licenses, mixing, near_duplicates, pii, quality_rules, token_counts, url_filters
 from .text import keep, read, sha256, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,49 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select(
         "doc_id", *counts, sha256(pii.spans_text(base)).alias("base_sha256"), pii.spans_text(F.col("_spans")).alias("spans")
     )
+
+
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marks = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), marks.alias("text"))
+    return chat.digests(chat.expand(turns.unionByName(more)))
+
+
+#: Rules of the query on pages.
+RULES = (
+    url_filters.Rule("org/", True),
+    url_filters.Rule("example.org/es/", False),
+    url_filters.Rule("example.org/en/1", False),
+    url_filters.Rule("com/fr/", True),
+    url_filters.Rule("com/de/", False),
+)
+
+
+@query
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge(read(spark, folder, "pages").select("page_id", "url", "html"), RULES)
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    scanned = licenses.scan(docs, columns=["doc_id"])
+    found = F.col("_licenses.found")
+    names = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["license"])))
+    one = lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["stop"].cast("string"))
+    return scanned.select(
+        "doc_id",
+        F.coalesce(F.size(names), F.lit(0)).cast("bigint").alias("n_licenses"),
+        F.coalesce(F.array_join(names, ","), F.lit("")).alias("licenses"),
+        F.coalesce(F.array_join(F.transform(found, one), ","), F.lit("")).alias("spans"),
+    )
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    scored = gam.classify(docs, read(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

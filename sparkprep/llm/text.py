@@ -54,3 +54,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def doc_keys(key: str, text: str) -> list[Column]:
+    """What a document is found again by: 128 bits of its id and text, in _k1 and _k2."""
+    return [F.xxhash64(column(key)).alias("_k1"), F.xxhash64(whole(column(text))).alias("_k2")]
+
+
+def attach(docs: DataFrame, found: DataFrame, key: str, text: str, columns: list[str], into: str, most: int) -> DataFrame:
+    """``columns`` of ``docs`` and the struct ``into`` of what ``found`` (a kept table with one row for each
+    _k1, _k2) has for the document, null if nothing. ``found`` is broadcast up to ``most`` rows."""
+    fields = [c for c in found.columns if c not in ("_k1", "_k2")]
+    rows = docs.select(*[column(c).alias(f"_c{i}") for i, c in enumerate(columns)], *doc_keys(key, text))
+    packed = found.select("_k1", "_k2", F.struct(*fields).alias("_m"))
+    joined = rows.join(if_small(packed, most), ["_k1", "_k2"], "left")
+    return joined.select(*[f"_c{i}" for i in range(len(columns))], "_m").toDF(*columns, into)
