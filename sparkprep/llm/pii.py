@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import column, total, whole
+from .text import column, settled, total, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -219,7 +219,7 @@ def detect(docs: DataFrame, text: str = "text", into: str = "_candidates") -> Da
     rows = rows.select(*kept, strict.alias("_strict"), loose.alias("_loose"))
     touches = lambda a: F.exists("_strict", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"]))
     free = F.filter("_loose", lambda a: ~touches(a))
-    return rows.select(*kept, F.concat(F.col("_strict"), F.array_sort(free)).alias("_m")).toDF(*names, into)
+    return rows.select(*kept, settled(F.concat(F.col("_strict"), F.array_sort(free))).alias("_m")).toDF(*names, into)
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import column, whole, words
+from .text import column, settled, whole, words
 
 # Frequent words of four languages.
 STOP_WORDS = (
@@ -117,7 +117,7 @@ def measure(docs: DataFrame, text: str = "text", into: str = "_measures") -> Dat
     four = three.select(*back, *values, repeats.alias("n_repeat_words"))
     ratios = [F.try_divide(F.col(a), F.col(b)).alias(name) for name, (a, b) in RATIOS.items()]
     share = F.try_divide(100 * F.col("n_repeat_words"), F.col("n_words")).alias("repeat_share_pct")
-    return four.select(*back, F.struct(*counts, "n_repeat_words", share, *ratios).alias("_m")).toDF(*names, into)
+    return four.select(*back, settled(F.struct(*counts, "n_repeat_words", share, *ratios)).alias("_m")).toDF(*names, into)
 
 
 def compile_rules(rules, into: str = "_measures") -> Column:

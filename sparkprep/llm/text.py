@@ -42,6 +42,14 @@ def if_small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def settled(value: Column) -> Column:
+    """``value`` as the only item of an exploded array: the optimiser moves no filter on it below this place.
+
+    A filter that moves takes the expression along, into the lambdas where it would be computed for every item.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
