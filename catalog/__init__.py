@@ -1,4 +1,4 @@
-from . import cells, filters, flows, missing, noise, profiles, rules, tables, vectors  # noqa: F401
+from . import cells, filters, flows, missing, nan, noise, profiles, rules, tables, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -120,18 +120,17 @@ def enforce_given_types(t):
 
 
 @query("""
-SELECT 'l_discount' AS column, 'double' AS original, CAST(NULL AS VARCHAR) AS final,
+SELECT 'l_discount' AS column, 'double' AS original, 'int' AS target, CAST(NULL AS VARCHAR) AS final,
   count(*) FILTER (WHERE l_discount <> floor(l_discount)) > 0 AS failed FROM lineitem
-UNION ALL SELECT 'no_such_column', NULL, NULL, true
-UNION ALL SELECT 'l_quantity', 'double', 'bigint', false""")
+UNION ALL SELECT 'no_such_column', NULL, 'int', NULL, true
+UNION ALL SELECT 'l_quantity', 'double', 'int', 'bigint', false""")
 def enforcement_report(t):
     """Fractions cannot become int, and an unknown column is an error; the rest goes on."""
     lines = t.lineitem.select("l_quantity", "l_discount")
     _, report = enforce_types(
         lines, {"l_quantity": "int", "l_discount": "int", "no_such_column": "int"}, auto_detect=False
     )
-    original = F.when(F.col("column") == "l_discount", F.lit("double")).otherwise(F.col("original"))
-    return report.select("column", original.alias("original"), "final", F.col("error").isNotNull().alias("failed"))
+    return report.select("column", "original", "target", "final", F.col("error").isNotNull().alias("failed"))
 
 
 @query("SELECT o_orderkey, try_strptime(o_orderdate, '%m/%d/%Y') AS day FROM {dirty_orders}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkprep import analyze_missing, handle_missing, missing_report, missing_summary
+from sparkprep import handle_missing, missing_report, missing_summary
 from sparkprep.operators.missing import apply_missing, fit_missing, handling_report
 
 from .registry import query
@@ -23,16 +23,16 @@ def missing_by_column(t):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_quantity, is_bulk,
-  coalesce(l_shipdate, (SELECT l_shipdate FROM {flagged_lineitem} WHERE l_shipdate IS NOT NULL
-    GROUP BY l_shipdate ORDER BY count(*) DESC, l_shipdate LIMIT 1)) AS l_shipdate,
-  coalesce(l_tax, (SELECT quantile_cont(l_tax, 0.5) FROM {flagged_lineitem})) AS l_tax
-FROM {flagged_lineitem}""")
+SELECT o_orderkey,
+  coalesce(last_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS o_orderdate,
+  coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM {gappy_orders})) AS o_totalprice,
+  coalesce(o_orderpriority, (SELECT o_orderpriority FROM {gappy_orders} WHERE o_orderpriority IS NOT NULL
+    GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)) AS o_orderpriority
+FROM {gappy_orders}""")
 def missing_recommended(t):
-    """Recommended fills, with the ordered fill of dates replaced by the most frequent date."""
-    lines = t.flagged_lineitem
-    chosen = {**analyze_missing(lines).recommendations, "l_shipdate": "fill_mode", "l_tax": "fill_median"}
-    return handle_missing(lines, chosen)[0]
+    """The automatic path: dates forward by key, numbers by the median, text by the mode."""
+    return handle_missing(t.gappy_orders, order_by="o_orderkey")[0]
 
 
 @query("""

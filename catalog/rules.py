@@ -28,22 +28,22 @@ SPLIT_RULES = {k: v for k, v in ORDER_RULES.items() if k != "o_custkey"}
 
 @query("""
 SELECT o_orderkey AS row, 'o_totalprice' AS column, 'type' AS rule,
-  'Field ''o_totalprice'' expected number, got string' AS message, o_totalprice AS value
+  '''o_totalprice'' holds string where number is wanted' AS message, o_totalprice AS value
 FROM {dirty_orders} WHERE o_totalprice = 'abc'
-UNION ALL SELECT o_orderkey, 'o_totalprice', 'min', 'Field ''o_totalprice'' below min 20000', o_totalprice
+UNION ALL SELECT o_orderkey, 'o_totalprice', 'min', '''o_totalprice'' is below its min of 20000', o_totalprice
 FROM {dirty_orders} WHERE TRY_CAST(o_totalprice AS DOUBLE) < 20000
-UNION ALL SELECT o_orderkey, 'o_totalprice', 'max', 'Field ''o_totalprice'' above max 300000', o_totalprice
+UNION ALL SELECT o_orderkey, 'o_totalprice', 'max', '''o_totalprice'' is above its max of 300000', o_totalprice
 FROM {dirty_orders} WHERE TRY_CAST(o_totalprice AS DOUBLE) > 300000
-UNION ALL SELECT o_orderkey, 'o_custkey', 'type', 'Field ''o_custkey'' expected boolean, got string', o_custkey
+UNION ALL SELECT o_orderkey, 'o_custkey', 'type', '''o_custkey'' holds string where boolean is wanted', o_custkey
 FROM {dirty_orders}""")
 def validate_errors(t):
     return validation_errors(t.dirty_orders, ORDER_RULES, "o_orderkey")
 
 
 @query("""
-SELECT event_id AS row, 'value' AS column, 'required' AS rule, 'Missing required field ''value''' AS message,
+SELECT event_id AS row, 'value' AS column, 'required' AS rule, '''value'' is required but has no value' AS message,
   CAST(NULL AS VARCHAR) AS value FROM {dirty_events} WHERE value IS NULL
-UNION ALL SELECT event_id, 'gone', 'required', 'Missing required field ''gone''', NULL FROM {dirty_events}""")
+UNION ALL SELECT event_id, 'gone', 'required', '''gone'' is required but has no value', NULL FROM {dirty_events}""")
 def validate_required(t):
     rules = {"value": {"required": True, "type": "number"}, "gone": {"required": True}}
     return validation_errors(t.dirty_events, rules, "event_id")

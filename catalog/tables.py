@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkprep import (
+    clean,
     flatten,
     normalize_text_docs,
     read_any,
@@ -25,13 +26,51 @@ from .registry import query
 
 
 @query("""
-SELECT CAST(event_id AS VARCHAR) AS event_id, nullif(trim(event_type), 'N/A') AS event_type,
-  CAST(sparse_col AS VARCHAR) AS sparse_col FROM {dirty_events}""")
+SELECT event_id, ts, user_id, nullif(trim(event_type), 'N/A') AS event_type, value, sparse_col FROM {dirty_events}""")
 def csv_scan(t):
     """Written as CSV and read back as text: null tokens gone, cells trimmed."""
-    columns = ["event_id", "event_type", "sparse_col"]
-    write(t.dirty_events.select(*columns), f"{t.scratch}/events", "csv")
-    return read_csv(t.spark, f"{t.scratch}/events")
+    events = t.dirty_events
+    write(events, f"{t.scratch}/events", "csv")
+    return _typed(read_csv(t.spark, f"{t.scratch}/events"), events)
+
+
+def _typed(text, like):
+    """Text columns cast to the types of another table."""
+    return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part WHERE p_size > 20")
+def csv_scan_long_lines(t):
+    """Lines with 1 to 20 surplus fields, some of them empty, are skipped."""
+    blank = F.repeat(F.lit(","), F.col("p_size"))
+    more = F.when(F.col("p_size") <= 20, F.concat(blank, F.when(F.col("p_size") % 3 == 0, "").otherwise("x")))
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(","), "p_name", F.coalesce(more, F.lit("")))
+    t.part.select(line.alias("value")).write.text(f"{t.scratch}/lines")
+    return read_csv(t.spark, f"{t.scratch}/lines", header=["key", "name"])
+
+
+@query(r"""
+SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text, lang, source, n_chars FROM documents""")
+def csv_scan_line_breaks(t):
+    """Whole documents with quotes, separators and line breaks, written as CSV and read back."""
+    write(t.documents, f"{t.scratch}/documents", "csv")
+    return _typed(read_csv(t.spark, f"{t.scratch}/documents"), t.documents)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def csv_scan_separator(t):
+    """The separator is found in the header."""
+    t.orders.write.option("header", True).option("sep", ";").csv(f"{t.scratch}/orders.csv")
+    return _typed(read_any(t.spark, f"{t.scratch}/orders.csv"), t.orders)
+
+
+@query("SELECT count(*) AS rows_initial, CAST(0 AS BIGINT) AS duplicates_removed, CAST(6 AS INTEGER) AS columns FROM orders")
+def clean_folder(t):
+    """A whole run over a folder of CSV files with another separator."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders.repartition(3).write.option("header", True).option("sep", "|").csv(f"{t.scratch}/folder")
+    result = clean(f"{t.scratch}/folder", {"profile": False}, spark=t.spark)
+    return result.summary.select("rows_initial", "duplicates_removed", "columns")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part WHERE p_size <= 25")
@@ -67,16 +106,16 @@ def csv_row_positions(t):
     return numbered.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "_row_id")
 
 
-@query("SELECT event_id, user_id, event_type, value FROM {dirty_events}")
+@query("SELECT event_id, ts, user_id, event_type, value, sparse_col FROM {dirty_events}")
 def json_scan(t):
     """Written as JSON lines and read back with inferred types."""
-    write(t.dirty_events.select("event_id", "user_id", "event_type", "value"), f"{t.scratch}/events", "json")
-    return read_json(t.spark, f"{t.scratch}/events")
+    write(t.dirty_events, f"{t.scratch}/events", "json")
+    return read_json(t.spark, f"{t.scratch}/events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+@query("SELECT * FROM orders")
 def parquet_scan(t):
-    write(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice"), f"{t.scratch}/orders.parquet", "parquet")
+    write(t.orders, f"{t.scratch}/orders.parquet", "parquet")
     return read_any(t.spark, f"{t.scratch}/orders.parquet")
 
 
@@ -184,3 +223,21 @@ def stream_split(t):
     return read("valid").withColumn("valid", F.lit(True)).unionAll(
         read("rejected").withColumn("valid", F.lit(False))
     )
+
+
+@query("""
+SELECT o_orderkey, o_totalprice, o_totalprice <= 300000 AS valid FROM (
+  SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, TRY_CAST(o_totalprice AS BIGINT) AS o_totalprice FROM {dirty_orders})
+WHERE o_totalprice > 100000""")
+def stream_filtered_split(t):
+    """Filters of a fitted plan leave out rows of the stream before it is split."""
+    orders = t.dirty_orders.select("o_orderkey", "o_totalprice")
+    plan = fit_rows(orders, {
+        "validation_rules": {"o_totalprice": {"type": "number", "max": 300000}}, "handle_missing_data": False,
+        "filters": {"o_totalprice": {"op": ">", "value": 100000}},
+    })
+    write(orders, f"{t.scratch}/in", "parquet")
+    stream = t.spark.readStream.schema(orders.schema).parquet(f"{t.scratch}/in")
+    write_split(stream, plan, f"{t.scratch}/valid", f"{t.scratch}/rejected", f"{t.scratch}/progress").awaitTermination()
+    read = lambda name: t.spark.read.parquet(f"{t.scratch}/{name}").select("o_orderkey", "o_totalprice")
+    return read("valid").withColumn("valid", F.lit(True)).unionAll(read("rejected").withColumn("valid", F.lit(False)))

@@ -23,6 +23,12 @@ VIEWS = {
           CASE WHEN minute(ts) < 8 THEN NULL ELSE value END AS value,
           CASE WHEN hour(ts) < 14 THEN NULL ELSE user_id END AS sparse_col
         FROM {events}""",
+    # NaN where half of the missing values of dirty_events are
+    "nan_events": """
+        SELECT event_id, ts, user_id, event_type,
+          CASE WHEN minute(ts) < 4 THEN NULL WHEN minute(ts) < 8 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value,
+          CASE WHEN hour(ts) < 14 THEN NULL ELSE user_id END AS sparse_col
+        FROM {events}""",
     # all text, US dates, bad numbers, a null token
     "dirty_orders": """
         SELECT CAST(o_orderkey AS STRING) AS o_orderkey, CAST(o_custkey AS STRING) AS o_custkey,
@@ -40,6 +46,12 @@ VIEWS = {
           CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN l_discount * 100 ELSE l_discount END
             AS l_discount
         FROM {lineitem}""",
+    # dates, prices and priorities missing here and there, one key
+    "gappy_orders": """
+        SELECT o_orderkey, CASE WHEN month(o_orderdate) = 3 THEN NULL ELSE o_orderdate END AS o_orderdate,
+          CASE WHEN day(o_orderdate) = 13 THEN NULL ELSE o_totalprice END AS o_totalprice,
+          CASE WHEN day(o_orderdate) = 20 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+        FROM {orders}""",
     # few distinct rows
     "dup_lineitem": "SELECT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}",
     # every customer twice, the second time in another spelling

@@ -195,13 +195,18 @@ def kind_of(data_type: T.DataType) -> str:
     return "other"
 
 
+def present(col: Column, data_type: T.DataType) -> Column:
+    """The column with NULL for NaN, which means missing in every operator."""
+    return F.when(~F.isnan(col), col) if isinstance(data_type, (T.DoubleType, T.FloatType)) else col
+
+
 def numeric_value(col: Column, data_type: T.DataType) -> Column:
-    """The column as a number, parsing text and leaving real numbers alone."""
+    """The column as a number, parsing text and leaving real numbers alone; NaN is missing."""
     kind = kind_of(data_type)
     if kind == "text":
         return parse_number(col)
     if kind == "numeric":
-        return col.cast("double")
+        return present(col, data_type).cast("double")
     if kind == "boolean":
         return col.cast("double")
     return F.lit(None).cast("double")

@@ -74,7 +74,13 @@ def _exact(df: DataFrame, keys: list[str], order: list[str], chosen: bool) -> Da
 
 
 def _keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
-    """One row per key: the smallest by ``order``, then by its cells."""
+    """One row per key: the smallest by ``order``, then by its cells.
+
+    Row positions identify rows, so with them only (digest, position) pairs are grouped, and the later
+    positions, usually few, are taken out.
+    """
+    if list(order) == [ROW_ID]:
+        return _without_later(df, keys)
     rest = [c for c in df.columns if c not in order]
     row = F.struct(*map(quoted, order), *map(quoted, rest))
     named = [k.alias(f"_key{i}") for i, k in enumerate(keys)]
@@ -82,6 +88,16 @@ def _keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) ->
     return first.select("_row.*").select(*map(quoted, df.columns))
 
 
+def _without_later(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    named = [k.alias(f"_key{i}") for i, k in enumerate(keys)]
+    names = [f"_key{i}" for i in range(len(keys))]
+    placed = df.select(*named, quoted(ROW_ID))
+    first = placed.groupBy(*names).agg(F.min(ROW_ID).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same = [placed[n].eqNullSafe(first[n]) for n in names]
+    later = placed.join(first, same).where(F.col(ROW_ID) > F.col("_first")).select(placed[ROW_ID])
+    return df.join(later, ROW_ID, "left_anti").select(*map(quoted, df.columns))
+
+
 def _auto(df: DataFrame, keys: list[str], order: list[str], chosen: bool) -> DataFrame:
     if has_duplicates(df, keys):
         return _exact(df, keys, order, chosen)
@@ -108,10 +124,20 @@ def has_duplicates(df: DataFrame, keys: Sequence[str] | None = None) -> bool:
     return len(suspects) == SUSPECTS and twice(df)
 
 
+def row_digest(columns: Sequence[str]) -> list[Column]:
+    """Two independent 64-bit hashes of the cells and of which of them are NULL.
+
+    16 bytes stand for a row of any width; two different rows in 10^12 share them with probability 10^-14.
+    """
+    cells = [quoted(c) for c in columns]
+    gaps = F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return [F.xxhash64(*cells, gaps).alias("_h1"), F.xxhash64(F.lit(11400714819323198), *cells, gaps).alias("_h2")]
+
+
 def count_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """One row: rows, distinct rows and the rows beyond the first of each group."""
+    """One row: rows, distinct rows and the rows beyond the first of each group; only digests are shuffled."""
     keys = list(subset) if subset is not None else _data_columns(df)
-    groups = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*row_digest(keys)).agg(F.count(F.lit(1)).alias("_n"))
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     return groups.agg(
         rows.alias("rows"),

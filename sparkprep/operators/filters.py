@@ -25,6 +25,7 @@ from ..functions.parsing import (
     kind_of,
     parse_datetime,
     parse_number,
+    present,
     trim_text,
 )
 from .cells import quoted
@@ -140,7 +141,10 @@ def _compare_number(col: Column, data_type: T.DataType, op: str, number: int | f
         literal = F.lit(int(number))
     else:
         literal = F.lit(float(number))
-    return _compare(col, op, literal)
+    test = _compare(col, op, literal)
+    if isinstance(data_type, (T.DoubleType, T.FloatType)) and op in (">", ">=", "!="):
+        return test & ~F.isnan(col)  # NaN is missing, though it sorts above all numbers
+    return test
 
 
 def _compare(col: Column, op: str, literal: Column) -> Column:
@@ -177,9 +181,22 @@ def _number_rule(col: Column, dtype: T.DataType, rule: Rule) -> Column | str:
         numbers = [n for n in map(_number, _list(rule.value)) if n is not None]
         tests = [_compare_number(col, dtype, "!=", n) for n in numbers]
         return reduce(lambda a, b: a & b, tests, col.isNotNull())
+    if rule.op == "in":
+        numbers = [n for n in map(_number, _list(rule.value)) if n is not None]
+        return reduce(lambda a, b: a | b, [_compare_number(col, dtype, "==", n) for n in numbers], F.lit(False))
+    if rule.op in ("contains", "starts_with", "ends_with"):
+        return _text_rule(_written(present(col, dtype), dtype), rule)
     return f"operator '{rule.op}' does not apply to numbers"
 
 
+def _written(col: Column, dtype: T.DataType) -> Column:
+    """A number as people write it: whole ones without a fraction."""
+    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return col.cast("string")
+    whole = (col == F.floor(col)) & (F.abs(col) < 1e15)
+    return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+
+
 def _instant_rule(col: Column, dtype: T.DataType, rule: Rule) -> Column | str:
     if rule.op in ("range", "between"):
         tests = []

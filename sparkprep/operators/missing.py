@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.parsing import INTEGRAL_TYPES, kind_of
-from .cells import quoted
+from .cells import nan_to_null, quoted
 from .fills import fill_ordered
 from .quantiles import exact_modes, exact_quantiles
 from .rowid import ROW_ID, with_row_id
@@ -64,6 +64,7 @@ class MissingAnalysis:
 
 def analyze_missing(df: DataFrame, columns: Sequence[str] | None = None) -> MissingAnalysis:
     names = list(df.columns if columns is None else columns)
+    df = nan_to_null(df)
     row = df.agg(
         F.count(F.lit(1)), *[F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)]
     ).first()
@@ -147,6 +148,7 @@ def fit_missing(
     ``drop_rows`` columns; without such columns there is one block: one aggregate for counts and means,
     one quantile search for all medians and one job per data type for modes.
     """
+    df = nan_to_null(df)
     names = [c for c in (df.columns if columns is None else columns) if c != ROW_ID]
     found = analysis or analyze_missing(df, names)
     plan = MissingPlan(final_rows=found.rows)
@@ -221,8 +223,8 @@ def _action_text(column: str, how: str, value: Any, by_mode: bool) -> str:
         "fill_mode": f"Filled with mode ({value})",
         "fill_forward": "Forward filled (with backward fill for the leading gap)",
         "fill_backward": "Backward filled (with forward fill for the trailing gap)",
-        "fill_value": f"Filled with custom value ({value})",
-        "drop_columns": "Marked for column drop",
+        "fill_value": f"Filled with the given value ({value})",
+        "drop_columns": "Column taken out",
         "flag": "Created flag column",
     }[how]
 
@@ -235,6 +237,7 @@ def apply_missing(
 ) -> DataFrame:
     """Run fitted steps. Constants, flags and drops are one projection and one filter; only ordered
     fills shuffle."""
+    df = nan_to_null(df)
     ordered = {
         how: [s.column for s in plan.steps if s.strategy == how] for how in ("fill_forward", "fill_backward")
     }

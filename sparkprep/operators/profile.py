@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.parsing import kind_of
-from .cells import quoted
+from .cells import nan_to_null, quoted
 from .dedupe import count_duplicates
 from .missing import MissingAnalysis, analyze_missing
 from .quantiles import exact_quantiles
@@ -33,6 +33,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
     ``count_distinct`` over several columns would multiply every row before the shuffle without any
     combining across columns; the pairs here are combined by each task first.
     """
+    df = nan_to_null(df)
     if approx:
         row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
         return {c: row[i] for i, c in enumerate(columns)}
@@ -50,6 +51,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
 def unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) pairs with every value as text."""
+    df = nan_to_null(df)
     cells = [
         F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns
     ]
@@ -85,6 +87,7 @@ OVERVIEW_SCHEMA = (
 
 def profile_overview(df: DataFrame) -> DataFrame:
     """One row about the whole table."""
+    df = nan_to_null(df)
     found = analyze_missing(df)
     duplicates = count_duplicates(df).first()["duplicate_rows"]
     cells = found.rows * len(found.counts)
@@ -116,6 +119,7 @@ NUMERIC_SCHEMA = (
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Moments, quantiles and counts per numeric column; ``approx`` estimates the distinct count."""
+    df = nan_to_null(df)
     names = list(columns or columns_of(df, "numeric"))
     schema = NUMERIC_SCHEMA
     if not names:
@@ -204,6 +208,7 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
 
 def profile_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Earliest, latest and the range in seconds per datetime column."""
+    df = nan_to_null(df)
     names = list(columns or columns_of(df, "datetime"))
     cells = [
         F.struct(F.lit(c).alias("column"), quoted(c).cast("timestamp_ntz").alias("value")) for c in names
@@ -245,6 +250,7 @@ def _bin(col: Column, low: float, high: float, bins: int) -> Column:
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """Counts in equal-width bins per numeric column, empty bins included."""
+    df = nan_to_null(df)
     names = list(columns or columns_of(df, "numeric"))
     extremes = {c: e for c, e in _extremes(df, names).items() if e[0] is not None}
     schema = "column string, bin int, lower double, upper double"
@@ -275,6 +281,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
     Ranking is limited to k rows per column inside every task before the final ranking, so no task
     sees all values of a column.
     """
+    df = nan_to_null(df)
     names = list(columns or columns_of(df, "text", "numeric", "boolean"))
     found = analyze_missing(df, names)
     counts = unpivot_text(df, names).where(F.col("value").isNotNull()).groupBy("column", "value").count()
@@ -288,6 +295,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
 
 def interactions(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """Two-dimensional binned counts of a pair of numeric columns; bins without rows are left out."""
+    df = nan_to_null(df)
     extremes = _extremes(df, [x, y])
     if any(low is None for low, _ in extremes.values()):
         return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, count long")
@@ -299,6 +307,7 @@ def interactions(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 
 def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """How often each set of columns is missing together; complete rows have an empty pattern."""
+    df = nan_to_null(df)
     names = list(columns or [c for c in df.columns if c != ROW_ID])
     absent = [F.when(quoted(c).isNull(), F.lit(c)) for c in names]
     return df.groupBy(F.array_join(F.array_compact(F.array(*absent)), ",").alias("missing_columns")).agg(
@@ -311,6 +320,7 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where both are known."""
+    df = nan_to_null(df)
     names = list(columns or columns_of(df, "numeric"))
     return df.sparkSession.createDataFrame(
         [(a, b, value) for (a, b), value in _pearson(df, names).items()],

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.parsing import is_lower, is_upper, kind_of, trim_text
-from .cells import quoted
+from .cells import nan_to_null, quoted
 from .dedupe import count_duplicates
 from .missing import MissingAnalysis
 from .outliers import outlier_rows
@@ -59,7 +59,7 @@ def measure_quality(
     ``before`` is the missing-data analysis made before handling. One aggregate gives everything about
     completeness, consistency and schema errors; duplicates and quartiles need their own jobs.
     """
-    df = df.drop(ROW_ID)
+    df = nan_to_null(df.drop(ROW_ID))
     names = df.columns
     text = [f.name for f in df.schema if kind_of(f.dataType) == "text"]
     numeric = [f.name for f in df.schema if kind_of(f.dataType) == "numeric"]

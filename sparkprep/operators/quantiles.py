@@ -17,10 +17,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .cells import quoted
+from .cells import nan_to_null, quoted
 
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
+WIDEST = 0.4  # a wider bracket need not shrink from round to round
 COLLECT_LIMIT = 10_000
 GRID = 1_000
 BATCH = 25  # columns of one search
@@ -56,14 +57,15 @@ class _Bracket:
 def exact_quantiles(
     df: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float] | Mapping[str, Sequence[float]]
 ) -> dict[str, Quantiles]:
-    """Quantiles of numeric expressions; NULL is left out. Keys are the caller's names."""
+    """Quantiles of numeric expressions; NULL and NaN are left out. Keys are the caller's names."""
     wanted = {
         key: list(probabilities[key] if isinstance(probabilities, Mapping) else probabilities)
         for key in columns
     }
     keys, found = list(columns), {}
     for start in range(0, len(keys), BATCH):
-        values = {key: columns[key].cast("double") for key in keys[start : start + BATCH]}
+        numbers = {key: columns[key].cast("double") for key in keys[start : start + BATCH]}
+        values = {key: F.when(~F.isnan(x), x) for key, x in numbers.items()}
         found.update(_search_widening(df, values, wanted))
     return found
 
@@ -74,9 +76,9 @@ def _search_widening(df: DataFrame, values: Mapping[str, Column], wanted: Mappin
         try:
             return _search(df, values, wanted, margin)
         except _RankMissed:
-            if margin >= 1:
+            if margin >= WIDEST:
                 raise
-            margin *= 10
+            margin = min(WIDEST, margin * 10)
 
 
 def _search(
@@ -109,7 +111,10 @@ def _search(
             _settle(_Bracket(key, p, p * (n - 1), low, high, bound), result, brackets)
     while wide := [b for b in brackets if b.inner_bound > COLLECT_LIMIT]:
         narrow = [b for b in brackets if b.inner_bound <= COLLECT_LIMIT]
-        brackets = narrow + _refine(df, values, wide, result, margin)
+        refined = _refine(df, values, wide, result, margin)
+        if sum(b.inner_bound for b in refined) >= sum(b.inner_bound for b in wide):
+            raise _RankMissed  # a round that gains nothing would go on for ever
+        brackets = narrow + refined
     if brackets:
         _count_out(df, values, brackets, result)
     return result
@@ -211,6 +216,7 @@ def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     for name in columns:
         by_type.setdefault(df.schema[name].dataType.simpleString(), []).append(name)
     modes: dict[str, object] = dict.fromkeys(columns)
+    df = nan_to_null(df)
     for names in by_type.values():
         cells = [F.struct(F.lit(i).alias("item"), quoted(n).alias("value")) for i, n in enumerate(names)]
         best = (

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.parsing import kind_of, numeric_value
+from ..functions.parsing import kind_of, numeric_value, present
 from .cells import quoted
 
 VIOLATION_SCHEMA = "column string, rule string, expected double, violations_count long"
@@ -27,7 +27,8 @@ def _steps(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]):
 def _violates(df: DataFrame, column: str, side: str, bound: Any) -> Column:
     """TRUE below the minimum or above the maximum; a missing value never violates."""
     data_type = df.schema[column].dataType
-    value = quoted(column) if kind_of(data_type) == "numeric" else numeric_value(quoted(column), data_type)
+    numeric = kind_of(data_type) == "numeric"
+    value = present(quoted(column), data_type) if numeric else numeric_value(quoted(column), data_type)
     test = value < F.lit(bound) if side == "min" else value > F.lit(bound)
     return F.coalesce(test, F.lit(False))
 

@@ -89,6 +89,7 @@ class TypePlan:
     columns: Mapping[str, ColumnPlan]
     targets: Mapping[str, str] = field(default_factory=dict)
     errors: Sequence[tuple[str, str]] = ()
+    requested: Mapping[str, str] = field(default_factory=dict)
     null_tokens: Sequence[str] = tuple(NULL_TOKENS)
     trim: bool = True
 
@@ -236,8 +237,8 @@ def fit_types(
             targets[name] = target
     for name in wanted:
         if enforce and name not in fields:
-            errors.append((name, f"Column '{name}' not found in DataFrame"))
-    return TypePlan(columns, targets, tuple(errors), tokens, trim=normalize)
+            errors.append((name, f"No column '{name}' in the table"))
+    return TypePlan(columns, targets, tuple(errors), wanted, tokens, trim=normalize)
 
 
 def _forced_kind(target: str, counts: CellCounts | None, fractional: bool) -> ColumnPlan | str:
@@ -370,7 +371,8 @@ def type_report(before: DataFrame, after: DataFrame, plan: TypePlan) -> DataFram
         )
         for name, target in plan.targets.items()
     ]
-    rows += [(name, None, None, None, message) for name, message in plan.errors]
+    types = {f.name: f.dataType.simpleString() for f in before.schema}
+    rows += [(name, types.get(name), plan.requested.get(name), None, message) for name, message in plan.errors]
     return before.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
 
 

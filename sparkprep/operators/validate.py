@@ -14,6 +14,7 @@ from ..functions.parsing import (
     kind_of,
     parse_datetime,
     parse_number,
+    present as without_nan,
     trim_text,
 )
 from .cells import quoted
@@ -64,16 +65,16 @@ def error_array(df: DataFrame, schema: Mapping[str, Mapping[str, Any]]) -> Colum
     for name, rules in schema.items():
         present = name in fields
         data_type = fields.get(name, T.StringType())
-        col = quoted(name) if present else F.lit(None).cast("string")
+        col = without_nan(quoted(name), data_type) if present else F.lit(None).cast("string")
         value = col.cast("string") if kind_of(data_type) != "other" else F.to_json(col)
         if rules.get("required"):
-            found.append(_error(col.isNull(), name, "required", f"Missing required field '{name}'", value))
+            found.append(_error(col.isNull(), name, "required", f"'{name}' is required but has no value", value))
         expected = rules.get("type")
         if not present or not expected:
             continue
         fits = type_ok(col, data_type, expected)
         got = KIND_NAMES.get(kind_of(data_type), data_type.simpleString())
-        found.append(_error(~fits, name, "type", f"Field '{name}' expected {expected}, got {got}", value))
+        found.append(_error(~fits, name, "type", f"'{name}' holds {got} where {expected} is wanted", value))
         if expected == "number" and (rules.get("min") is not None or rules.get("max") is not None):
             number = parse_number(col) if kind_of(data_type) == "text" else col.cast("double")
             found.append(_bound_errors(F.when(fits, number), name, rules, value))
@@ -87,7 +88,7 @@ def _bound_errors(number: Column, name: str, rules: Mapping[str, Any], value: Co
     tests = []
     for rule, side in (("min", "below"), ("max", "above")):
         if rules.get(rule) is not None:
-            tests.append((rule, f"Field '{name}' {side} {rule} {rules[rule]}", float(rules[rule])))
+            tests.append((rule, f"'{name}' is {side} its {rule} of {rules[rule]}", float(rules[rule])))
 
     def check(n: Column) -> Column:
         hits = [(n < F.lit(bound)) if rule == "min" else (n > F.lit(bound)) for rule, _, bound in tests]

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.parsing import kind_of
-from .cells import quoted
+from .cells import nan_to_null, quoted
 from .quantiles import exact_quantiles
 from .rowid import ROW_ID
 
@@ -70,6 +70,7 @@ class VectorPlan:
 
 def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """(fill, mean, population std) per numeric column, measured after filling with the median."""
+    df = nan_to_null(df)
     if not columns:
         return {}
     medians = exact_quantiles(df, {c: quoted(c) for c in columns}, [0.5])
@@ -92,6 +93,7 @@ def _scaled(column: str, fill: float, mean: float, std: float) -> Column:
 
 def standardize(df: DataFrame, columns: Sequence[str] | None = None, suffix: str = "_normalized") -> DataFrame:
     """Add (x − mean) / population standard deviation for numeric columns, missing cells at the median."""
+    df = nan_to_null(df)
     names = list(columns or [f.name for f in df.schema if kind_of(f.dataType) == "numeric" and f.name != ROW_ID])
     scaling = fit_scaling(df, names)
     return df.select(
@@ -131,6 +133,7 @@ def _is_category(column: str, value: str) -> Column:
 
 def fit_vectors(df: DataFrame, method: str = "hybrid", columns: Sequence[str] | None = None) -> VectorPlan:
     """Measure what the vectors need: scaling of numbers and, for ``numeric``, small category lists."""
+    df = nan_to_null(df)
     if method not in METHODS:
         raise ValueError(f"unknown method '{method}'")
     names = [c for c in (columns or df.columns) if c != ROW_ID]
@@ -163,6 +166,7 @@ def fit_vectors(df: DataFrame, method: str = "hybrid", columns: Sequence[str] |
 
 def apply_vectors(df: DataFrame, plan: VectorPlan, output: str = "features") -> DataFrame:
     """Add the feature vector. Row-local, so fitted plans also run on streams."""
+    df = nan_to_null(df)
     result, parts = df, []
     for i, f in enumerate(plan.features):
         part = f"_part{i}"

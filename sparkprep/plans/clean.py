@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import profile
 from ..operators.cells import nan_to_null
 from ..operators.dedupe import remove_duplicates
-from ..operators.filters import compile_filters
+from ..operators.filters import FilterPlan, compile_filters
 from ..operators.missing import (
     MissingAnalysis,
     MissingPlan,
@@ -60,6 +60,7 @@ class CleanConfig:
     validation_rules: Mapping[str, Mapping[str, Any]] | None = None
     profile: bool = True
     output_format: str = "csv"
+    source_options: Mapping[str, Any] | None = None  # for the reader: format, sep, encoding, multi_line and others
     order_by: str | None = None  # key of the input rows when they have no position of their own
 
     @classmethod
@@ -89,9 +90,9 @@ class CleanResult:
     counters: dict[str, Any] = field(default_factory=dict)
 
 
-def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | None = None, *,
+def clean(source: DataFrame | str | list[str], config: CleanConfig | Mapping[str, Any] | None = None, *,
           spark: SparkSession | None = None) -> CleanResult:
-    """Clean a table or a file.
+    """Clean a table, a file, a folder or a list of files.
 
     The type decisions need one aggregate over the raw data. The typed table is then written once to
     the shared folder; missing-data statistics, filters and duplicates start from that copy.
@@ -100,8 +101,8 @@ def clean(source: DataFrame | str, config: CleanConfig | Mapping[str, Any] | Non
     """
     started = time.time()
     config = config if isinstance(config, CleanConfig) else CleanConfig.from_dict(config or {})
-    if isinstance(source, str):
-        raw = read_any(spark or SparkSession.getActiveSession(), source)
+    if isinstance(source, (str, list, tuple)):
+        raw = read_any(spark or SparkSession.getActiveSession(), source, **(config.source_options or {}))
     else:
         raw = nan_to_null(source)
     spark = raw.sparkSession
@@ -241,7 +242,7 @@ def _without_row_id(found: MissingAnalysis) -> MissingAnalysis:
 
 def run(
     spark: SparkSession,
-    source: DataFrame | str,
+    source: DataFrame | str | list[str],
     output: str,
     config: CleanConfig | Mapping[str, Any] | None = None,
     *,
@@ -265,7 +266,7 @@ def run(
             write(report, f"{output}/reports/{name}", "parquet")
     except Exception as error:
         if manifest:
-            append_manifest(spark, manifest, run_id, "failed", started, message=str(error)[:2000])
+            append_manifest(spark, manifest, run_id, "failed", started, message=str(error))
         raise
     if manifest:
         append_manifest(spark, manifest, run_id, "completed", started, result.counters)
@@ -280,13 +281,14 @@ class RowPlan:
     types: TypePlan
     ranges: Mapping[str, Mapping[str, Any]]
     missing: MissingPlan
-    filters: Any
+    filters: FilterPlan | None
     rules: Mapping[str, Mapping[str, Any]]
 
 
 def fit_rows(source: DataFrame, config: CleanConfig | Mapping[str, Any] | None = None) -> RowPlan:
-    """Fit names, types and fill values on a batch; ordered fills cannot be part of such a plan."""
+    """Fit names, types, fill values and filters on a batch; ordered fills cannot be part of such a plan."""
     config = config if isinstance(config, CleanConfig) else CleanConfig.from_dict(config or {})
+    source = nan_to_null(source)
     named = standardize_columns(source) if config.normalize else source
     types = fit_types(
         named,
@@ -303,12 +305,12 @@ def fit_rows(source: DataFrame, config: CleanConfig | Mapping[str, Any] | None =
         )
     if not missing.row_local:
         raise ValueError("forward and backward fills need the whole table; choose another strategy")
-    return RowPlan(
-        config.normalize, types, config.range_rules or {}, missing, config.filters, config.validation_rules or {}
-    )
+    filters = compile_filters(apply_missing(typed, missing), config.filters) if config.filters else None
+    return RowPlan(config.normalize, types, config.range_rules or {}, missing, filters, config.validation_rules or {})
 
 
 def apply_rows(df: DataFrame, plan: RowPlan) -> DataFrame:
-    """Names, types, ranges, constant fills, flags and row drops of a fitted plan; lazy, no shuffle."""
-    named = standardize_columns(df) if plan.normalize else df
-    return apply_missing(apply_ranges(apply_types(named, plan.types), plan.ranges), plan.missing)
+    """Names, types, ranges, constant fills, flags, row drops and filters of a fitted plan; lazy, no shuffle."""
+    named = standardize_columns(nan_to_null(df)) if plan.normalize else nan_to_null(df)
+    handled = apply_missing(apply_ranges(apply_types(named, plan.types), plan.ranges), plan.missing)
+    return plan.filters.apply(handled) if plan.filters else handled

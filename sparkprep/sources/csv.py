@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.parsing import READER_NULL_TOKENS, trim_text
 
 SEPARATORS = [",", ";", "\t", "|"]
-SURPLUS = 4  # extra columns read to notice lines that are longer than the header
 
 
 def _options(sep: str, encoding: str) -> dict[str, str]:
     return {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
+def sniff_separator(spark: SparkSession, path: str | Sequence[str]) -> str:
     """The candidate that splits the header line most often."""
     first = spark.read.text(path).where(F.trim("value") != "").first()
     line = first["value"] if first else ""
@@ -45,6 +45,20 @@ def read_header(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-
     return names
 
 
+def has_line_breaks(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> bool:
+    """Whether a quoted cell may go over several lines: then some line has an odd number of quotes."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).isEmpty()
+
+
+def field_count(record: Column, sep: str) -> Column:
+    """Fields of a raw record; separators inside quoted fields do not count."""
+    mark = re.escape(sep)
+    bare = F.regexp_replace(record, rf'(?<=^|{mark})"(?:[^"]|"")*+"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -52,34 +66,34 @@ def read_csv(
     on_bad_lines: str = "skip",
     sep: str | None = ",",
     encoding: str = "UTF-8",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     header: Sequence[str] | None = None,
     null_tokens: Sequence[str] = READER_NULL_TOKENS,
 ) -> DataFrame:
-    """Read CSV files that share a header as text columns.
+    """Read CSV files, a folder or a list of files that share a header, as text columns.
 
-    ``skip``: lines with more fields than the header are left out, shorter ones padded with NULL.
-    ``strict``: any line whose number of fields differs is left out. Reader null tokens become NULL,
+    ``skip``: lines with more fields than the header are left out, however many, shorter ones padded with
+    NULL. ``strict``: any line whose number of fields differs is left out. Reader null tokens become NULL,
     fully empty rows disappear, cells are trimmed. ``sep=None`` looks for the separator in the header.
-    ``multi_line=True`` allows line breaks inside quotes, at the price of one task per file. Files
-    without a header line need their names in ``header``.
+    Line breaks inside quotes take one task per file; whether there are any is looked up in the lines
+    first, unless ``multi_line`` says so. Files without a header line need their names in ``header``.
     """
     if on_bad_lines not in ("skip", "strict"):
         raise ValueError(f"unknown value for on_bad_lines: '{on_bad_lines}'")
+    path = path if isinstance(path, str) else list(path)
     if sep is None:
         sep = sniff_separator(spark, path)
     names = list(header) if header else read_header(spark, path, sep, encoding)
+    if multi_line is None:
+        multi_line = has_line_breaks(spark, path, encoding)
     positions = [f"_c{i}" for i in range(len(names))]
-    surplus = [f"_surplus{i}" for i in range(SURPLUS)]
-    strict = on_bad_lines == "strict"
-    extra = ["_damaged"] if strict else surplus
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in positions + extra])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*positions, "_damaged"]])
     reader = spark.read.options(**_options(sep, encoding), multiLine=str(multi_line).lower()).schema(schema)
-    if strict:
-        reader = reader.option("columnNameOfCorruptRecord", "_damaged")
-    raw = reader.csv(path, header=header is None)
-    # A line whose only surplus is one empty field at the end still fits.
-    fits = F.col("_damaged").isNull() if strict else F.coalesce(*surplus).isNull()
+    raw = reader.option("columnNameOfCorruptRecord", "_damaged").csv(path, header=header is None)
+    fits = F.col("_damaged").isNull()
+    if on_bad_lines == "skip":
+        # only records that differ from the header are kept as text, and only those are counted
+        fits = fits | (field_count(F.rtrim(F.col("_damaged"), F.lit("\r\n")), sep) <= len(names))
     tokens = list(null_tokens)
     known = raw.where(fits).select(
         *[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) if tokens else F.col(c) for c in positions]

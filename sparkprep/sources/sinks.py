@@ -8,6 +8,12 @@ from ..operators.cells import quoted
 
 FORMATS = ("csv", "json", "parquet")
 
+#: Spark's text formats keep milliseconds only unless told otherwise.
+TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def _plain(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats that cannot hold them."""
@@ -25,9 +31,9 @@ def write(df: DataFrame, path: str, format: str = "csv", mode: str = "errorifexi
     if format not in FORMATS:
         raise ValueError(f"Unsupported output format: {format}")
     if format == "csv":
-        _plain(df).write.mode(mode).csv(path, header=True, escape='"')
+        _plain(df).write.mode(mode).options(**TIMES).csv(path, header=True, escape='"')
     elif format == "json":
-        df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+        df.write.mode(mode).options(**TIMES).option("ignoreNullFields", "false").json(path)
     else:
         df.write.mode(mode).parquet(path)
 

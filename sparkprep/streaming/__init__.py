@@ -14,7 +14,7 @@ from ..plans.clean import RowPlan, apply_rows
 
 
 def clean_stream(stream: DataFrame, plan: RowPlan, filters: FilterPlan | None = None) -> DataFrame:
-    """Apply a fitted plan, and filters that were compiled on a batch with the same columns."""
+    """Apply a fitted plan with its filters, and further ones compiled on a batch with the same columns."""
     cleaned = apply_rows(stream, plan)
     return filters.apply(cleaned) if filters else cleaned
 
@@ -28,9 +28,13 @@ def write_split(
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        valid, rejected = split_valid(batch, plan.rules)
-        valid.write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+        batch = batch.persist()  # both tables come from one evaluation
+        try:
+            valid, rejected = split_valid(batch, plan.rules)
+            valid.write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
+            rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     writer = apply_rows(stream, plan).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep import (
-    flatten, read_any, read_csv, read_excel, read_json, read_markdown_tables, read_text_docs, with_row_id, write,
+    clean, flatten, read_any, read_csv, read_excel, read_json, read_markdown_tables, read_text_docs, with_row_id,
+    write,
 )
 from sparkprep.operators.convert import csv_to_json, json_to_csv
 from sparkprep.sources import markdown_table, sniff_separator
@@ -45,10 +46,33 @@ def test_csv_quotes_null_tokens_and_lengths(spark, tmp_path):
         ("B", 'say "hi"', None),
         ("C", None, None),
         ("E", None, "none"),
-        ("F", "a", "b"),
     ]
 
 
+def test_csv_long_lines_go_whatever_their_surplus(spark, tmp_path):
+    text = 'a,b\n1,2\n3,4,,,,,x\n5,6,\n5,6,,\n"7,,",8\n9,"x"",""y"\n' + "1," * 60 + "\n"
+    df = read_csv(spark, put(tmp_path, "a.csv", text))
+    assert [tuple(r) for r in df.collect()] == [("1", "2"), ("7,,", "8"), ("9", 'x","y')]
+    assert df.select("a").count() == 3
+
+
+def test_csv_line_breaks_in_quotes_by_default(spark, tmp_path):
+    df = read_csv(spark, put(tmp_path, "a.csv", 'a,b\n1,"x\ny"\n2,"p\n,q\n"\n3\n4,5,"6\n7"\n'))
+    assert [tuple(r) for r in df.collect()] == [("1", "x\ny"), ("2", "p\n,q"), ("3", None)]
+
+
+def test_folders_lists_and_separators_of_read_any(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    one, two = put(tmp_path, "in/a.csv", "a;b\n1;2\n"), put(tmp_path, "in/b.csv", "a;b\n3;4\n")
+    for path in (str(tmp_path / "in"), [one, two]):
+        assert sorted(tuple(r) for r in read_any(spark, path).collect()) == [("1", "2"), ("3", "4")]
+    result = clean(str(tmp_path / "in"), {"source_options": {"sep": ","}}, spark=spark)
+    assert len(result.df.columns) == 1
+    put(tmp_path, "in/c.json", "[]")
+    with pytest.raises(ValueError):
+        read_any(spark, str(tmp_path / "in"))
+
+
 def test_csv_strict_drops_short_lines_whatever_is_selected(spark, tmp_path):
     path = put(tmp_path, "a.csv", 'a,b\n1,2\n3\n4,5,6\n"7,8",9\n')
     df = read_csv(spark, path, on_bad_lines="strict")
