@@ -204,3 +204,22 @@ SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_returnflag,
 FROM {dirty_lineitem}""")
 def range_clip(t):
     return validate_ranges(t.dirty_lineitem, _rules("clip"))[0]
+
+
+@query("""
+SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS named, CAST(o_orderdate AS TIMESTAMP) AS long_name,
+  CAST(o_orderdate AS TIMESTAMP) AS dashed, CAST(o_orderdate AS TIMESTAMP) AS dotted,
+  CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 24) + INTERVAL 1 MINUTE * (o_orderkey % 60) AS half,
+  CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 24 - 2) AS offset_time FROM orders""")
+def infer_date_layouts(t):
+    """Month names, dashes and points with the day first, AM and PM, and offsets, each found for its column."""
+    day, key = F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_orderkey")
+    clock = day + F.make_dt_interval(F.lit(0), (key % 24).cast("int"), (key % 60).cast("int"))
+    hour = day + F.make_dt_interval(F.lit(0), (key % 24).cast("int"))
+    orders = t.orders.select(
+        "o_orderkey", F.date_format(day, "d MMM yyyy").alias("named"), F.date_format(day, "MMMM d, yyyy").alias("long_name"),
+        F.date_format(day, "dd-MM-yyyy").alias("dashed"), F.date_format(day, "dd.MM.yyyy").alias("dotted"),
+        F.date_format(clock, "MM/dd/yyyy h:mm a").alias("half"),
+        F.concat(F.date_format(hour, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("offset_time"),
+    )
+    return normalize_types(orders)

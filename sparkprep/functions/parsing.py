@@ -43,13 +43,15 @@ WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 class DateFormat:
     """A layout: cells must match ``pattern``; ``iso`` rewrites the groups where they are not in ISO order.
 
-    ``shape`` is what ``date_shape`` gives for its cells.
+    ``shape`` is what ``date_shape`` gives for its cells. ``parts`` names the groups of layouts that need more
+    than an order: day, name (of the month), month, year, time, half (AM or PM), and sign, hours and minutes of an offset.
     """
 
     name: str
     shape: int
     pattern: str
     iso: str | None = None
+    parts: tuple[str, ...] = ()
 
 
 # Fields of the patterns. They leave out impossible months, days and times, so that hardly any cell
@@ -60,6 +62,12 @@ DAY = r"(?:3[01]|[12]\d|0?[1-9])"
 MINUTES = r"(?:2[0-3]|[01]?\d):[0-5]?\d"
 SECONDS = MINUTES + r":[0-5]?\d"
 FRACTION = r"(?:\.\d{1,9})?"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+NAME = (
+    "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|"
+    "nov(?:ember)?|dec(?:ember)?)"
+)
+CLOCK = rf"(?:[ T]({SECONDS}{FRACTION}|{MINUTES}))?"
 
 # Tried in this order; the first one that reads more than 70 % of a column is used for all of it.
 DATE_FORMATS = [
@@ -77,6 +85,16 @@ FALLBACK_FORMATS = [
     DateFormat("iso utc", 1, f"^({YEAR}-{MONTH}-{DAY})[T ]({SECONDS}{FRACTION})(?:Z|\\+00:?00)$", "$1 $2"),
     DateFormat("%m/%d/%Y %H:%M:%S", 5, f"^({MONTH})/({DAY})/({YEAR}) ({SECONDS})$", "$3-$1-$2 $4"),
     DateFormat("%Y/%m/%d %H:%M:%S", 3, f"^({YEAR})/({MONTH})/({DAY}) ({SECONDS})$", "$1-$2-$3 $4"),
+    DateFormat("iso offset", 1, f"^({YEAR})-({MONTH})-({DAY}){CLOCK} ?([+-])(\\d\\d):?(\\d\\d)$",
+               parts=("year", "month", "day", "time", "sign", "hours", "minutes")),
+    DateFormat("%m/%d/%Y %I:%M %p", 5, rf"(?i)^({MONTH})/({DAY})/({YEAR}){CLOCK} ?([ap])\.?m\.?$",
+               parts=("month", "day", "year", "time", "half")),
+    DateFormat("%m-%d-%Y", 6, f"^({MONTH})[-.]({DAY})[-.]({YEAR})$", "$3-$1-$2"),
+    DateFormat("%d-%m-%Y", 6, f"^({DAY})[-.]({MONTH})[-.]({YEAR})$", "$3-$2-$1"),
+    DateFormat("%m-%d-%Y time", 7, f"^({MONTH})[-.]({DAY})[-.]({YEAR}){CLOCK}$", parts=("month", "day", "year", "time")),
+    DateFormat("%d-%m-%Y time", 7, f"^({DAY})[-.]({MONTH})[-.]({YEAR}){CLOCK}$", parts=("day", "month", "year", "time")),
+    DateFormat("%d %b %Y", 8, f"(?i)^({DAY})[ -]({NAME})\\.?,?[ -]({YEAR}){CLOCK}$", parts=("day", "name", "year", "time")),
+    DateFormat("%b %d %Y", 8, f"(?i)^({NAME})\\.? ({DAY}),? ({YEAR}){CLOCK}$", parts=("name", "day", "year", "time")),
 ]
 # ---- end of fixed values ----------------------------------------------------------------------
 
@@ -142,20 +160,50 @@ def parse_datetime(col: Column, fmt: str | DateFormat = DATE_FORMATS[0]) -> Colu
     checks the calendar. This neither throws per bad cell nor depends on the session time zone.
     """
     layout = ALL_FORMATS[fmt] if isinstance(fmt, str) else fmt
+    if layout.parts:
+        return F.when(col.rlike(layout.pattern), _from_parts(col, layout))
     iso = F.regexp_replace(col, layout.pattern, layout.iso) if layout.iso else col
     return F.when(col.rlike(layout.pattern), iso.try_cast("timestamp_ntz"))
 
 
+def _from_parts(col: Column, layout: DateFormat) -> Column:
+    """A matching cell put together from its named groups."""
+    part = {name: F.regexp_extract(col, layout.pattern, i + 1) for i, name in enumerate(layout.parts)}
+    month = part.get("month")
+    if month is None:
+        at = F.instr(F.lit(MONTHS), F.lower(F.left(part["name"], F.lit(3))))
+        month = F.floor((at + 2) / 3).cast("string")
+    time = part["time"]
+    time = F.when(time == "", "00:00:00").when(time.rlike(r"^\d+:\d+$"), F.concat(time, F.lit(":00"))).otherwise(time)
+    moment = F.concat(part["year"], F.lit("-"), month, F.lit("-"), part["day"], F.lit(" "), time).try_cast("timestamp_ntz")
+    if "half" in part:
+        hour = F.hour(moment)
+        shift = F.when(F.lower(part["half"]) == "p", F.when(hour < 12, 12).otherwise(0)).otherwise(F.when(hour == 12, -12).otherwise(0))
+        moment = moment + F.make_dt_interval(F.lit(0), shift)
+    if "sign" in part:
+        sign = F.when(part["sign"] == "-", 1).otherwise(-1)
+        moment = moment + F.make_dt_interval(
+            F.lit(0), sign * part["hours"].try_cast("int"), sign * part["minutes"].try_cast("int")
+        )
+    return moment
+
+
 def date_shape(col: Column) -> Column:
     """Which layouts can fit at all, told from one separator and the length; NULL when none can.
 
-    0 year first with dashes, 2 year first with slashes, 4 year last; plus 1 when there is a time.
+    0 year first with dashes, 2 year first with slashes, 4 year last, 6 year last with dashes or points; plus 1 when
+    there is a time. 8 with the name of a month, with or without a time.
     """
     fifth = F.substring(col, 5, 1)
     family = F.when(fifth == "-", 0).when((fifth == "/") & ~F.contains(F.substring(col, 1, 3), F.lit("/")), 2)
-    family = family.when(F.contains(F.substring(col, 2, 2), F.lit("/")), 4)
+    early = F.substring(col, 2, 2)
+    family = family.when(F.contains(early, F.lit("/")), 4)
+    named = F.lower(F.left(col, F.lit(3))).isin([MONTHS[i : i + 3] for i in range(0, 36, 3)])
+    named = named | (F.ascii(col).between(48, 57) & early.rlike("[ -]") & F.substring(col, 3, 2).rlike("[A-Za-z]"))
+    dashed = F.ascii(col).between(48, 57) & early.rlike("[-.]")
     size = F.octet_length(col)  # known without reading the text; all layouts are ASCII
-    return F.when(size.between(8, 40), family + F.when(size > 10, 1).otherwise(0))
+    timed = family.when(~named & dashed, 6) + F.when(size > 10, 1).otherwise(0)
+    return F.when(size.between(8, 40), F.when(named, 8).otherwise(timed))
 
 
 def format_datetime(col: Column, pattern: str = "yyyy-MM-dd") -> Column:

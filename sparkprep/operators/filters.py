@@ -102,7 +102,10 @@ def _read_instant(text: str) -> datetime | None:
         return datetime.fromisoformat(text)
     except ValueError:
         pass
-    for layout in ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M"):
+    for layout in (
+        "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y %I:%M %p",
+        "%m-%d-%Y", "%d-%m-%Y", "%m.%d.%Y", "%d.%m.%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y",
+    ):
         try:
             return datetime.strptime(text, layout)
         except ValueError:

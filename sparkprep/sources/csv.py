@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -17,21 +18,29 @@ def _options(sep: str, encoding: str) -> dict[str, str]:
     return {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
+@contextmanager
+def _missing_file(path):
+    """A missing path is a missing file to the caller."""
+    try:
+        yield
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise FileNotFoundError(f"CSV file not found: {path}") from error
+        raise
+
+
 def sniff_separator(spark: SparkSession, path: str | Sequence[str]) -> str:
     """The candidate that splits the header line most often."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
+    with _missing_file(path):
+        first = spark.read.text(path).where(F.trim("value") != "").first()
     line = first["value"] if first else ""
     return max(SEPARATORS, key=line.count)
 
 
 def read_header(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
     """Names from the first line; repeats get a numbered suffix and blanks a positional name."""
-    try:
+    with _missing_file(path):
         first = spark.read.options(**_options(sep, encoding)).csv(path, header=False).first()
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"CSV file not found: {path}") from error
-        raise
     if first is None:
         raise ValueError(f"CSV file is empty: {path}")
     names, seen = [], {}
