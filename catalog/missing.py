@@ -111,6 +111,27 @@ def fill_backward(t):
     return _fill(events, ["value", "sparse_col"], "fill_backward", order_by=["ts", "event_id"]).drop("ts")
 
 
+@query("""
+SELECT o_orderkey, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(v IGNORE NULLS) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v
+FROM (SELECT *, CASE WHEN day(o_orderdate) % 3 = 0 THEN NULL ELSE CAST(day(o_orderdate) AS INTEGER) END AS v FROM orders)""")
+def fill_forward_ties(t):
+    """Many orders share a day, and all of a day have the same value or none."""
+    day = F.day("o_orderdate")
+    orders = t.orders.select("o_orderkey", "o_orderdate", F.when(day % 3 != 0, day).alias("v"))
+    return _fill(orders, ["v"], "fill_forward", order_by="o_orderdate").drop("o_orderdate")
+
+
+@query("""
+SELECT event_id, user_id, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value
+FROM {dirty_events}""")
+def fill_forward_by_user(t):
+    """Each user's gaps take that user's own values."""
+    events = t.dirty_events.select("event_id", "user_id", "value")
+    return _fill(events, ["value"], "fill_forward", order_by="event_id", by=["user_id"])
+
+
 @query("""
 SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {dirty_events} WHERE sparse_col IS NOT NULL)), 6)::DOUBLE AS value, sparse_col
 FROM {dirty_events} WHERE sparse_col IS NOT NULL""")

@@ -1,9 +1,12 @@
 """Forward and backward fill over a whole ordered table, without a single-partition window.
 
 The order key is cut into ranges of similar size. One aggregate takes the last known value of every
-range and column; the few ranges (one row each) are filled among themselves and broadcast back as the
-value carried into the range. Inside a range an ordinary window does the rest, and what no earlier row
-can fill takes the first known value of the table.
+range and column; the ranges (one row for a million rows) are filled among themselves and joined back as the
+value carried into the range. Inside a range an ordinary window does the rest, on the partitioning of that
+join, and what no earlier row can fill takes the first known value of the table.
+
+Where many rows share a key, or have none, the key alone cannot be cut evenly. Such tables are numbered first, in
+the order of the key and, within equal keys, of a hash of the row, and are cut by number.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from .cells import quoted
 from .rowid import ROW_ID, with_row_id
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 20_000
+MAX_RANGES = 20_000  # cuts in one plan; beyond it rows are numbered instead
 _RANGE = "_range"
 
 
@@ -33,7 +36,8 @@ def fill_ordered(
 ) -> DataFrame:
     """Fill NULLs with the nearest earlier (``forward``) or later (``backward``) value.
 
-    A leading (trailing) gap takes the value from the other side. ``order_by`` must identify the rows.
+    A leading (trailing) gap takes the value from the other side. ``order_by`` should identify the rows;
+    rows with equal keys follow each other in some order that depends on the rows alone.
     With ``by`` every group is filled on its own, ranges being cut inside the groups.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
@@ -71,10 +75,8 @@ def fill_ordered(
             for i in range(len(columns))
         ],
     )
-    # Without groups the carry has at most MAX_RANGES rows and is broadcast; with groups it grows with them.
     joined = _join_carry(ranged, carry, groups)
-    ordering = [quoted(c).asc() if forward else quoted(c).desc() for c in order]
-    upto = Window.partitionBy(*cuts).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*cuts).orderBy(key.asc() if forward else key.desc()).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
         c: F.coalesce(F.last(quoted(c), ignorenulls=True).over(upto), F.col(f"_carry{i}"))
         for i, c in enumerate(columns)
@@ -90,7 +92,7 @@ def _join_carry(left: DataFrame, carry: DataFrame, groups: Sequence[str]) -> Dat
     test = F.col(_RANGE) == F.col(f"_key{len(groups)}")
     for i, group in enumerate(groups):
         test = test & quoted(group).eqNullSafe(F.col(f"_key{i}"))
-    return left.join(renamed if groups else F.broadcast(renamed), test, "left")
+    return left.join(renamed, test, "left")
 
 
 def _with_ranges(df: DataFrame, order: list[str], rows_per_range: int) -> tuple[DataFrame, Column]:
@@ -102,27 +104,42 @@ def _with_ranges(df: DataFrame, order: list[str], rows_per_range: int) -> tuple[
         return df.withColumn(_RANGE, span), quoted(ROW_ID)
     dtype = df.schema[order[0]].dataType
     if single and kind_of(dtype) in ("numeric", "datetime"):
-        return _numeric_ranges(df, order[0], kind_of(dtype), rows_per_range), quoted(order[0])
+        ranged = _numeric_ranges(df, order[0], kind_of(dtype), rows_per_range)
+        if ranged is not None:
+            return ranged, F.struct(quoted(order[0]), _tie(df))
     # Any other key gets positions first (range partitioning and one written copy).
-    numbered = with_row_id(df, "_position", order_by=order)
+    numbered = with_row_id(df, "_position", order_by=[*map(quoted, order), _tie(df)])
     span = F.floor(F.col("_position") / F.lit(rows_per_range)).cast("int")
     return numbered.withColumn(_RANGE, span), F.col("_position")
 
 
-def _numeric_ranges(df: DataFrame, name: str, kind: str, rows_per_range: int) -> DataFrame:
-    """Cut a unique number or instant at sampled quantiles; a monotone double is enough to cut by."""
+def _tie(df: DataFrame) -> Column:
+    """What orders rows with equal keys: a hash of their cells (maps have none)."""
+    cells = [quoted(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*cells) if cells else F.lit(0)
+
+
+def _numeric_ranges(df: DataFrame, name: str, kind: str, rows_per_range: int) -> DataFrame | None:
+    """Cut a number or instant at sampled quantiles; a monotone double is enough to cut by.
+
+    None if that would take too many cuts, or if a range came out more than twice as large as wanted.
+    """
     number = quoted(name).cast("double")
     if kind == "datetime":
         number = F.unix_micros(quoted(name).cast("timestamp")).cast("double")
-    pieces = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
+    pieces = math.ceil(df.count() / rows_per_range)
+    if pieces > MAX_RANGES:
+        return None
     if pieces <= 1:
         return df.withColumn(_RANGE, F.lit(0))
     shares = [k / pieces for k in range(1, pieces)]
     cuts = df.agg(F.percentile_approx(number, shares, max(1_000, 4 * pieces))).first()[0] or []
     picked = sorted(set(cuts))
     if not picked:
-        return df.withColumn(_RANGE, F.lit(0))
+        return None
     splits = [-math.inf, *picked, math.inf]
     cut = Bucketizer(splits=splits, inputCol="_number", outputCol=_RANGE, handleInvalid="keep")
     ranged = cut.transform(df.withColumn("_number", number)).drop("_number")
-    return ranged.withColumn(_RANGE, F.coalesce(F.col(_RANGE).cast("int"), F.lit(-1)))
+    ranged = ranged.withColumn(_RANGE, F.coalesce(F.col(_RANGE).cast("int"), F.lit(-1)))
+    sizes = ranged.groupBy(_RANGE).count().agg(F.max("count")).first()
+    return ranged if sizes[0] <= 2 * rows_per_range else None

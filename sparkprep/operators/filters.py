@@ -387,22 +387,14 @@ def _read(df: DataFrame, name: str, kinds) -> tuple[Column, T.DataType, str]:
 def _column_rule(df: DataFrame, rule: Rule, kinds) -> Column | str:
     col, dtype, kind = _read(df, rule.column, kinds)
     if kind == "numeric":
-        return _on_content(df, rule.column, kind, col, lambda value: _number_rule(value, dtype, rule))
+        return _number_rule(col, dtype, rule)
     if kind == "datetime":
-        return _on_content(df, rule.column, kind, col, lambda value: _instant_rule(value, dtype, rule))
+        return _instant_rule(col, dtype, rule)
     if kind == "boolean":
         return _bool_rule(col, rule)
     return _text_rule(col.cast("string") if kind == "text" else F.to_json(col), rule)
 
 
-def _on_content(df: DataFrame, name: str, kind: str, col: Column, test) -> Column | str:
-    """Typed columns are tested as they are, for the scan to see; parsed text is bound once by ``exists``."""
-    tested = test(col)
-    if isinstance(tested, str) or kind_of(df.schema[name].dataType) == kind:
-        return tested
-    return F.exists(F.array(col), test)
-
-
 def _meta_rule(df: DataFrame, key: str, raw: Mapping[str, Any], kinds) -> Column | str:
     op = raw.get("op")
     if key == "_textSearch":
@@ -411,9 +403,7 @@ def _meta_rule(df: DataFrame, key: str, raw: Mapping[str, Any], kinds) -> Column
         value = str(raw.get("value") or "").lower().strip()
         if not value:
             return "nothing to search for"
-        return F.exists(
-            F.array(*[_search_text(f) for f in df.schema]), lambda cell: F.contains(cell, F.lit(value))
-        )
+        return reduce(lambda a, b: a | b, [F.contains(_search_text(f), F.lit(value)) for f in df.schema])
     if key in ("_dateRange", "_numericRange"):
         is_date = key == "_dateRange"
         if op not in (("range", "between") if is_date else ("between",)):

@@ -234,6 +234,7 @@ def apply_missing(
     plan: MissingPlan,
     flag_suffix: str = "_missing",
     order_by: str | Sequence[str] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Run fitted steps. Constants, flags and drops are one projection and one filter; only ordered
     fills shuffle."""
@@ -248,13 +249,13 @@ def apply_missing(
     if borrowed:
         result = with_row_id(result)
     if drops and position:
-        result = _fill_around_drops(result, plan, position)
+        result = _fill_around_drops(result, plan, position, by)
     else:
         if drops:
             result = result.na.drop(subset=drops)
         for how, columns in ordered.items():
             if columns:
-                result = fill_ordered(result, columns, position, how.removeprefix("fill_"))
+                result = fill_ordered(result, columns, position, how.removeprefix("fill_"), by)
     if borrowed:
         result = result.drop(ROW_ID)
 
@@ -275,13 +276,13 @@ def apply_missing(
     return result.select(*output, *flags)
 
 
-def _fill_around_drops(df: DataFrame, plan: MissingPlan, position: list[str]) -> DataFrame:
+def _fill_around_drops(df: DataFrame, plan: MissingPlan, position: list[str], by: Sequence[str]) -> DataFrame:
     """Ordered fills and row drops in the order of the steps, consecutive fills together."""
     pending: tuple[str, list[str]] | None = None
     result = df
     for step in [*plan.steps, FillStep("", "end")]:
         if pending and step.strategy != pending[0]:
-            result = fill_ordered(result, pending[1], position, pending[0].removeprefix("fill_"))
+            result = fill_ordered(result, pending[1], position, pending[0].removeprefix("fill_"), by)
             pending = None
         if step.strategy in ("fill_forward", "fill_backward"):
             pending = (step.strategy, [*(pending[1] if pending else []), step.column])
@@ -321,11 +322,12 @@ def handle_missing(
     flag_suffix: str = "_missing",
     order_by: str | Sequence[str] | None = None,
     columns: Sequence[str] | None = None,
+    by: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Handle every column with missing cells; returns the table and a report of what was done.
 
     ``order_by`` names the key that forward and backward fills follow; without it they follow
-    ``_row_id`` or, lacking that, the scan order.
+    ``_row_id`` or, lacking that, the scan order. With ``by`` they stay inside the groups of those columns.
     """
     plan = fit_missing(df, strategy, default_strategy, fill_value, columns)
-    return apply_missing(df, plan, flag_suffix, order_by), handling_report(df, plan)
+    return apply_missing(df, plan, flag_suffix, order_by, by), handling_report(df, plan)

@@ -317,6 +317,8 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 # ---- relations and warnings ---------------------------------------------------------------------
 
+PAIRS = 300  # pairs of columns in one aggregate
+
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where both are known."""
@@ -332,8 +334,12 @@ def _pearson(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float
     pairs = list(combinations(names, 2))
     if not pairs:
         return {}
-    row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {pair: row[i] for i, pair in enumerate(pairs)}
+    found = {}
+    for start in range(0, len(pairs), PAIRS):
+        some = pairs[start : start + PAIRS]
+        row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(some)]).first()
+        found.update({pair: row[i] for i, pair in enumerate(some)})
+    return found
 
 
 def _correlation(a: str, b: str) -> Column:

@@ -116,6 +116,18 @@ def test_ordered_fill_equals_pandas(spark, order, direction):
     assert got["v"].tolist() == want["v"].tolist() and got["w"].tolist() == want["w"].tolist()
 
 
+def test_ranges_stay_even_with_ties_and_null_keys(spark):
+    """Nine rows in ten share a key or have none: no range holds more than twice what is wanted."""
+    rows = [(i, None if i % 10 < 4 else 5.0 if i % 10 < 9 else float(i), None if i % 3 else float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i long, k double, v double").repartition(4)
+    ranged, _ = fills._with_ranges(df, ["k"], 100)
+    assert max(r["count"] for r in ranged.groupBy("_range").count().collect()) <= 200
+    got = fill_ordered(df, ["v"], "k", rows_per_range=100)
+    assert got.where("v is null").isEmpty() and got.count() == 2000
+    again = fill_ordered(df.repartition(7), ["v"], "k", rows_per_range=150)
+    assert sorted(map(tuple, got.na.fill(-1.0).collect())) == sorted(map(tuple, again.na.fill(-1.0).collect()))
+
+
 def test_fill_by_group(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 else f"g{i % 5}", rng.choice([None, float(i)])) for i in range(300)]
