@@ -2,9 +2,9 @@
 
 A rule is a host and the beginning of a path; it fits its host and all subdomains, and the longest fitting rule
 decides. Where none fits, the host decides: allowed pages make their host a trusted seed and blocked ones a blocked seed,
-by their share of the host's pages. Trust flows along links (personalised PageRank from the trusted seeds);
+by their share of the host's pages. Rounds scale a seed by ``1 - DAMPING``, with links or without. Trust flows along links (personalised PageRank from the trusted seeds);
 distrust flows against them, since whoever links to a blocked host is suspect. A host is blocked if its
-distrust is at least ``LEAST`` and more than ``THRESHOLD`` of both together; a host without evidence is allowed.
+distrust is at least that of a share of ``LEAST`` and more than ``THRESHOLD`` of both together; a host without evidence is allowed.
 
 Pages are read twice, by column: links once, urls once. Links are reduced to edges between hosts with a count
 before anything iterates; each round is one join and one sum over edges, and its result is written to the shared
@@ -32,6 +32,7 @@ DAMPING = 0.7
 ROUNDS = 12
 
 THRESHOLD = 0.5
+#: The blocked share of a host's own pages that suffices without links; the rounds give it the score (1 - DAMPING) * LEAST.
 LEAST = 0.05
 
 #: Blocked hosts (some 50 bytes each) up to which they are broadcast.
@@ -82,8 +83,6 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Trust and distrust of every host, from seeds (host, trusted, blocked) over edges (src, dst, n)."""
     edges = keep(edges, "url-edges")
-    if edges.isEmpty():
-        return seeds.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     none = F.lit(0.0)
     outward = edges.groupBy("src").agg(F.sum("n").alias("all_n"))
     inward = edges.groupBy("dst").agg(F.sum("n").alias("all_n"))
@@ -111,7 +110,7 @@ def judge(pages: DataFrame, rules, page: str = "page_id", url: str = "url", html
     share = lambda allow: F.avg(F.coalesce((F.col("r.allow") == allow).cast("double"), F.lit(0.0)))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trusted"), share(False).alias("blocked"))
     state = propagate(keep(seeds, "url-hosts"), host_edges(pages, url, html))
-    suspect = (F.col("distrust") >= LEAST) & (F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")))
+    suspect = (F.col("distrust") >= (1 - DAMPING) * LEAST) & (F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")))
     blocked = keep(state.where(suspect).select("host", F.lit(True).alias("suspect")), "url-blocked")
     judged = ruled.join(if_small(blocked, BROADCAST_HOSTS), "host", "left")
     allowed = F.coalesce("r.allow", ~F.coalesce("suspect", F.lit(False)))

@@ -68,3 +68,11 @@ def test_links_carry_trust_and_distrust(spark):
 
 def test_empty(spark):
     assert u.judge(spark.createDataFrame([], SCHEMA), RULES).count() == 0
+
+
+def test_an_unrelated_link_changes_no_verdict(spark):
+    rows = [page(i, "http://a.com/de/x" if i == 0 else f"http://a.com/{i}") for i in range(10)]
+    rows += [page(50 + i, "http://b.com/de/x" if i == 0 else f"http://b.com/{i}") for i in range(30)]
+    for more in ([], [page(900, "http://y.net/", "http://z.net/")]):
+        verdict = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows + more, SCHEMA), RULES).collect()}
+        assert verdict[5] == "block" and verdict[55] == "allow", more
