@@ -2,8 +2,11 @@
 
 A rule is a host and the beginning of a path; it fits its host and all subdomains, and the longest fitting rule
 decides. Where none fits, the host decides: allowed pages make their host a trusted seed and blocked ones a blocked seed,
-by their share of the host's pages. Rounds scale a seed by ``1 - DAMPING``, with links or without. Trust flows along links (personalised PageRank from the trusted seeds);
-distrust flows against them, since whoever links to a blocked host is suspect. A host is blocked if its
+by their share of the host's pages. Rounds scale a seed by ``1 - DAMPING``, with links or without. Trust flows along links;
+distrust flows against them, since whoever links to a blocked host is suspect. Both are means over a host's own links:
+distrust is the blocked share expected where a walk from the host along its links stops (after each step with
+probability ``1 - DAMPING``), trust the trusted share for a walk against links. So neither shrinks with the number of
+hosts that link to the same one. A host is blocked if its
 distrust is at least that of a share of ``LEAST`` and more than ``THRESHOLD`` of both together; a host without evidence is allowed.
 
 Pages are read twice, by column: links once, urls once. Links are reduced to edges between hosts with a count
@@ -80,15 +83,24 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return pairs.where("dst is not null and src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Trust and distrust of every host, from seeds (host, trusted, blocked) over edges (src, dst, n)."""
+def propagate(
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, shared: bool = True
+) -> DataFrame:
+    """Trust and distrust of every host, from seeds (host, trusted, blocked) over edges (src, dst, n).
+
+    ``shared``: a host's score is divided among those that it goes to, as PageRank does; else a host gets the mean of
+    those that its scores come from, and no score depends on how many others there are.
+    """
     edges = keep(edges, "url-edges")
     none = F.lit(0.0)
     outward = edges.groupBy("src").agg(F.sum("n").alias("all_n"))
     inward = edges.groupBy("dst").agg(F.sum("n").alias("all_n"))
-    along = edges.join(outward, "src").select(
+    giver, taker = (outward, "src"), (inward, "dst")
+    if not shared:
+        giver, taker = taker, giver
+    along = edges.join(*giver).select(
         F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("all_n")).alias("t"), none.alias("d"))
-    against = edges.join(inward, "dst").select(
+    against = edges.join(*taker).select(
         F.col("dst").alias("from"), F.col("src").alias("to"), none.alias("t"), (F.col("n") / F.col("all_n")).alias("d"))
     steps = keep(along.union(against), "url-steps")
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
@@ -109,7 +121,7 @@ def judge(pages: DataFrame, rules, page: str = "page_id", url: str = "url", html
     ruled = seen.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     share = lambda allow: F.avg(F.coalesce((F.col("r.allow") == allow).cast("double"), F.lit(0.0)))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trusted"), share(False).alias("blocked"))
-    state = propagate(keep(seeds, "url-hosts"), host_edges(pages, url, html))
+    state = propagate(keep(seeds, "url-hosts"), host_edges(pages, url, html), shared=False)
     suspect = (F.col("distrust") >= (1 - DAMPING) * LEAST) & (F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")))
     blocked = keep(state.where(suspect).select("host", F.lit(True).alias("suspect")), "url-blocked")
     judged = ruled.join(if_small(blocked, BROADCAST_HOSTS), "host", "left")

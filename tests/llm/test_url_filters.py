@@ -76,3 +76,13 @@ def test_an_unrelated_link_changes_no_verdict(spark):
     for more in ([], [page(900, "http://y.net/", "http://z.net/")]):
         verdict = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows + more, SCHEMA), RULES).collect()}
         assert verdict[5] == "block" and verdict[55] == "allow", more
+
+
+def test_distrust_does_not_shrink_with_the_number_of_linkers(spark):
+    rows = [page(i, f"http://bad.com/de/{i}") for i in range(4)]
+    rows += [page(10 + i, f"http://part.com/{'de' if i == 0 else 'x'}/{i}") for i in range(5)]
+    rows += [page(100, "http://sole.net/", "http://part.com/"), page(101, "http://portal.net/", "http://bad.com/", *[f"http://fine{i}.net/" for i in range(99)])]
+    rows += [page(1000 + i, f"http://farm{i}.net/", "http://bad.com/") for i in range(3000)]
+    verdict = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    assert all(verdict[1000 + i] == "block" for i in range(3000))
+    assert verdict[100] == "block" and verdict[101] == "allow"
