@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import column, settled, total, whole
+from .text import column, settled, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -42,6 +42,9 @@ AGAINST = r"version|\bv[0-9. ]*$|isbn|issn|doi|order|invoice|serial|\bsku\b|part
 #: Characters before a span that the context labeler reads.
 CONTEXT = 40
 
+#: Code points in a piece of a text that is cut.
+CHUNK = 256
+
 #: Loose spans are kept from this probability on.
 ACCEPT = 0.9
 
@@ -136,20 +139,20 @@ def votes(pattern: Pattern, m: Column) -> list[Column]:
     return [shape, known, context, F.when(joined, no).otherwise(none)]
 
 
-def running(lengths: Column, chunk: int = 256) -> Column:
-    """Sums of all earlier items of an array of integers, in chunks."""
+def running(lengths: Column, chunk: int = 256, plus=lambda a, b: a + b) -> Column:
+    """Sums (or what ``plus`` makes, from 0 on) of all earlier items of an array of integers, in chunks."""
 
     def inside(items: Column) -> Column:
         start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
         step = lambda acc, n: F.struct(
-            (acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")
+            plus(acc["sum"], n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")
         )
         return F.aggregate(items, start, step, lambda acc: acc["out"])
 
     last = F.floor((F.size(lengths) - 1) / chunk).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.slice(lengths, c * chunk + 1, chunk))
-    offsets = inside(F.transform(chunks, lambda c: total(c, "int")))
-    return F.flatten(F.zip_with(chunks, offsets, lambda c, o: F.transform(inside(c), lambda x: x + o)))
+    offsets = inside(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), plus)))
+    return F.flatten(F.zip_with(chunks, offsets, lambda c, o: F.transform(inside(c), lambda x: plus(x, o))))
 
 
 def _guarded(pattern: Pattern, text: Column) -> Column:
@@ -317,27 +320,33 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def _cut(chunks: Column, start: Column, stop: Column) -> Column:
+    """The text from ``start`` to ``stop``, from its chunks of ``CHUNK`` code points; only theirs are read."""
+    first = F.floor(start / CHUNK).cast("int")
+    number = F.ceil(stop / CHUNK).cast("int") - first
+    return F.substring(F.array_join(F.slice(chunks, first + 1, F.greatest(number, F.lit(0))), ""), start - first * CHUNK + 1, stop - start)
+
+
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with every accepted span of ``text`` replaced by its kind in brackets; null texts stay null.
+    """``docs`` with the spans of ``label`` in ``text`` replaced by their kind in brackets; null texts stay null.
 
-    Patterns are replaced one after the other, strict ones first, each in what the earlier ones have left.
+    Spans that overlap become one, of the kind of the first, or of the longest of those that start there.
     """
     names = docs.columns
     kept = [f"_c{i}" for i in range(len(names))]
-    rows = docs.select(*[column(c).alias(k) for c, k in zip(names, kept)], whole(column(text)).alias("_t"))
-    for p in PATTERNS:
-        rows = _matches(rows, [p], kept)
-        tag = f"[{p.kind.upper()}]"
-
-        def fate(m: Column) -> Column:  # used at once, so it sees this p
-            good = valid(p, m["value"]) if p.strict else accepted(_candidate(p, m), model)
-            return F.when(good, F.lit(tag)).otherwise(m["value"])
-
-        pieces = F.col(f"p_{p.name}")
-        middle = F.zip_with(F.slice(pieces, 1, F.size(p.name)), F.transform(p.name, fate), lambda a, b: F.concat(a, b))
-        joined = F.concat(F.array_join(middle, ""), F.element_at(pieces, -1))
-        rows = rows.select(*kept, F.when(F.size(p.name) > 0, joined).otherwise(F.col("_t")).alias("_t"))
-    changed = [
-        F.when(F.col(k).isNotNull(), F.col("_t")).alias(k) if c == text else F.col(k) for c, k in zip(names, kept)
-    ]
-    return rows.select(*changed).toDF(*names)
+    rows = docs.select(*[column(c).alias(k) for c, k in zip(names, kept)])
+    changed = F.col(kept[names.index(text)])
+    spans = label(detect(rows, kept[names.index(text)]), model).select(*kept, settled(F.col("_spans")).alias("_s"))
+    in_order = F.sort_array(F.transform("_s", lambda s: F.struct(s["start"], (-s["stop"]).alias("back"), s["kind"])))
+    some = F.when(F.size("_s") > 0, F.struct(
+        in_order.alias("spans"), F.regexp_extract_all(changed, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks")))
+    rows = spans.select(*kept, settled(some).alias("_m"))
+    before = running(F.transform("_m.spans", lambda s: -s["back"]), plus=lambda a, b: F.greatest(a, b))
+    placed = F.zip_with("_m.spans", before, lambda s, b: F.struct(s["start"], s["kind"], b.alias("before")))
+    heads = F.filter(placed, lambda s: s["start"] >= s["before"])
+    tags, chunks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), F.col("_m.chunks")
+    parts = F.transform(heads, lambda s: F.concat(_cut(chunks, s["before"], s["start"]), F.get(tags, s["kind"])))
+    end = -F.array_min(F.transform("_m.spans", lambda s: s["back"]))
+    new = F.concat(F.array_join(parts, ""), _cut(chunks, end, F.length(changed)))
+    result = [F.when(F.col("_m").isNotNull(), new).otherwise(F.col(k)).alias(k) if c == text else F.col(k) for c, k in zip(names, kept)]
+    return rows.select(*result).toDF(*names)

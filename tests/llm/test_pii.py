@@ -86,3 +86,21 @@ def test_empty_table_and_clean_texts(spark):
         assert model.weights == {}
         assert [r["_spans"] for r in pii.label(detected, model).collect()] == [[]] * one.count()
         assert pii.redact(one, model).count() == one.count()
+
+
+def test_redaction_masks_all_of_overlapping_spans(spark):
+    texts = ["+33.1.23.45.67.89", "tel +33.1.23.45.67.89, 𝒳" + " é" * 300 + " 4111111111111111@b.org x", "+4111 1111 1111 1111", None,
+             "call (743) 555-3824 +33.1.23.45.67.89 " * 400 + "end", "a@b.cd%x@e.fg +1.2.3.4.5.6.7.8"]
+    df = spark.createDataFrame([(i, t, "m", i) for i, t in enumerate(texts)], SCHEMA)
+    detected = pii.detect(df)
+    model = pii.fit(detected)
+    spans = {r["doc_id"]: r["_spans"] for r in pii.label(detected, model).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df, model).collect()}
+    assert got[0] == "[PHONE]" and got[3] is None and {(s["kind"], s["start"], s["stop"]) for s in spans[0]} == {(1, 1, 11), (3, 0, 17)}
+    for i, text in enumerate(texts):
+        out, upto = "", 0
+        for start, back, kind in sorted((s["start"], -s["stop"], s["kind"]) for s in spans[i]):
+            if start >= upto:
+                out += text[upto:start] + f"[{pii.KINDS[kind].upper()}]"
+            upto = max(upto, -back)
+        assert got[i] == (text and out + text[upto:])
