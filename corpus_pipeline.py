@@ -14,8 +14,8 @@ from sparkprep.llm.text import keep, read  # noqa: E402
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no quality rule."""
-    judged = quality_rules.apply_rules(docs, measures="_quality", broken="_broken")
+    """Documents that break no quality rule of the table for a corpus."""
+    judged = quality_rules.apply_rules(docs, quality_rules.CORPUS_RULES, measures="_quality", broken="_broken")
     return judged.where(F.size("_broken") == 0).drop("_quality", "_broken")
 
 

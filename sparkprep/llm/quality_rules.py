@@ -13,7 +13,7 @@ stay as they are; measures are returned in one struct column, whose name is a pa
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,13 +33,18 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """Rows whose ``metric`` is below ``low`` or above ``high`` break the rule; ``base`` marks the fixed part."""
+    """Rows whose ``metric`` is below ``low`` or above ``high`` break the rule; ``base`` marks the fixed part.
+
+    It holds for rows of at least ``lines`` lines and, if ``languages`` are named, of one of these.
+    """
 
     name: str
     metric: str
     low: float | None = None
     high: float | None = None
     base: bool = False
+    lines: int = 0
+    languages: tuple[str, ...] = ()
 
 
 #: The threshold table. Metrics: see ``RATIOS`` and the counts of ``measure``.
@@ -53,6 +58,12 @@ RULES = (
     Rule("open_lines", "ended_line_share", low=0.1),
 )
 
+#: The table for a corpus: lines say something only if there are several, stop words only where the lists cover the language.
+CORPUS_RULES = tuple(
+    replace(r, lines=10) if r.name == "open_lines" else replace(r, languages=("de", "en", "es", "fr")) if r.name == "stop_words" else r
+    for r in RULES
+)
+
 #: Ratios over the counts. A division by zero gives null.
 RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
@@ -120,8 +131,12 @@ def measure(docs: DataFrame, text: str = "text", into: str = "_measures") -> Dat
     return four.select(*back, settled(F.struct(*counts, "n_repeat_words", share, *ratios)).alias("_m")).toDF(*names, into)
 
 
-def compile_rules(rules, into: str = "_measures") -> Column:
-    """The names of the rules that a row breaks, as one expression over the measures."""
+def compile_rules(rules, into: str = "_measures", language: str = "lang") -> Column:
+    """The names of the rules that a row breaks, as one expression over the measures.
+
+    Column ``language`` is read only by rules that name languages; its part before ``-`` or ``_`` counts, and where it
+    is null they do not hold.
+    """
     broken = []
     for rule in rules:
         value, hits = column(into)[rule.metric], []
@@ -129,13 +144,19 @@ def compile_rules(rules, into: str = "_measures") -> Column:
             hits.append(value < rule.low)
         if rule.high is not None:
             hits.append(value > rule.high)
+        if rule.lines:
+            hits = [hit & (column(into)["n_lines"] >= rule.lines) for hit in hits]
+        if rule.languages:
+            spoken = F.lower(F.regexp_extract(column(language), "^[A-Za-z]*", 0)).isin(*rule.languages)
+            hits = [hit & spoken for hit in hits]
         for hit in hits:
             broken.append(F.when(hit, F.lit(rule.name)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
 def apply_rules(
-    docs: DataFrame, rules=RULES, text: str = "text", measures: str = "_measures", broken: str = "_broken"
-) -> DataFrame:
+    docs: DataFrame, rules=RULES, text: str = "text", measures: str = "_measures", broken: str = "_broken",
+    language: str = "lang",
+) -> DataFrame:
     """``docs`` with the measures and the list of broken rules; a row is good if the list is empty."""
-    return measure(docs, text, measures).withColumn(broken, compile_rules(rules, measures))
+    return measure(docs, text, measures).withColumn(broken, compile_rules(rules, measures, language))

@@ -1,7 +1,12 @@
+import os
 import re
 from collections import Counter
 
+import pytest
+
+import corpus_pipeline
 from sparkprep.llm import quality_rules as q
+from sparkprep.llm.text import read
 
 from .helpers import prose
 
@@ -50,3 +55,22 @@ def test_custom_table(spark):
     rules = [q.Rule("long", "n_words", high=2), q.Rule("unused", "n_words", low=1)]
     assert q.apply_rules(df, rules).first()["_broken"] == ["long"]
     assert q.apply_rules(df, []).first()["_broken"] == []
+
+
+def test_rules_of_a_corpus_spare_single_lines_and_other_languages(spark):
+    line = " ".join(prose(3, 200).split()).rstrip(".")
+    russian = " ".join(f"слово{i}" for i in range(100)) + "."
+    rows = [(1, line, "en"), (2, russian, "ru"), (3, russian, None), (4, russian, "en-GB"), (5, line.replace(" ", " x\n "), "en")]
+    out = corpus_pipeline.good_quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_no_clean_labelled_document_is_lost(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    clean = read(spark, folder, "labels").where("quality = 1").select("doc_id")
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang").join(clean, "doc_id")
+    base = q.apply_rules(docs, [r for r in q.RULES if r.base]).where("size(_broken) = 0").select("doc_id")
+    kept = corpus_pipeline.good_quality(spark, docs, folder)
+    assert base.count() > 3000 and base.join(kept, "doc_id", "left_anti").collect() == []
