@@ -43,6 +43,11 @@ TEMPLATES = (
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -53,6 +58,9 @@ TEMPLATES = (
     ("reserved", "All rights reserved."),
 )
 
+#: Words that tell related licenses apart: where a template has them, a shingle of it that does must be found.
+NEEDED = ("gnu general public", "gnu affero general", "gnu lesser general", "version 3", "version 2 1", "version 2 of")
+
 
 def _templates(spark: SparkSession, templates, size: int) -> DataFrame:
     """Templates whose shingles have ``size`` words: license, stride, distinct shingles."""
@@ -60,7 +68,14 @@ def _templates(spark: SparkSession, templates, size: int) -> DataFrame:
     rows = spark.range(1).select(F.explode(listed).alias("t")).select("t.license", item_words(F.col("t.text")).alias("w"))
     rows = rows.where(F.least(F.size("w"), F.lit(SHINGLE)) == size)
     stride = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("w"), F.lit(4))))).cast("int")
-    return rows.select("license", stride.alias("stride"), F.array_distinct(rolled(F.col("w"), size)).alias("wanted"))
+    rows = rows.select("license", "w", stride.alias("stride"), rolled(F.col("w"), size).alias("all"))
+
+    def having(words: str):  # shingles of the template that hold these words
+        at = lambda i: F.concat(F.lit(" "), F.array_join(F.slice("w", i + 1, size), " "), F.lit(" "))
+        return F.filter("all", lambda h, i: F.contains(at(i), F.lit(f" {words} ")))
+
+    must = F.filter(F.array(*[having(words) for words in NEEDED]), lambda m: F.size(m) > 0)
+    return rows.select("license", "stride", F.array_distinct("all").alias("wanted"), must.alias("must"))
 
 
 def _bands(templates: DataFrame, size: int, containment: float, recall: float) -> DataFrame:
@@ -70,8 +85,8 @@ def _bands(templates: DataFrame, size: int, containment: float, recall: float) -
     bands = F.ceil(math.log(1 - recall) / F.ln(1 - F.least(least, F.lit(0.999)))).cast("int")
     each = templates.withColumn("band", F.explode(F.sequence(F.lit(1), bands)))
     least = F.array_min(F.transform("wanted", lambda x: F.struct(F.xxhash64(x, F.col("band")).alias("value"), x.alias("h"))))
-    each = each.select("license", "stride", "wanted", "band", least.alias("least"))
-    return each.select("license", "stride", "wanted", "band", "least.value", "least.h")
+    each = each.select("license", "stride", "wanted", "must", "band", least.alias("least"))
+    return each.select("license", "stride", "wanted", "must", "band", "least.value", "least.h")
 
 
 def find(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
@@ -80,9 +95,13 @@ def find(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     scanned = docs.select(*doc_keys(key, text), item_words(whole(column(text))).alias("words"))
     matches = [_matches(scanned, _templates(spark, templates, m), m, containment, recall) for m in _sizes(spark, templates)]
-    return functools.reduce(DataFrame.unionByName, matches).groupBy("_k1", "_k2").agg(
+    found = functools.reduce(DataFrame.unionByName, matches).groupBy("_k1", "_k2").agg(
         F.sort_array(F.collect_set("found")).alias("found")
     )
+    # of different licenses on the same words (half of the shorter span) the best stays, equal ones all
+    shared = lambda a, b: 2 * (F.least(a["stop"], b["stop"]) - F.greatest(a["start"], b["start"])) >= F.least(a["stop"] - a["start"], b["stop"] - b["start"])
+    beaten = lambda a: F.exists("found", lambda b: (a["license"] != b["license"]) & (b["containment"] > a["containment"]) & shared(a, b))
+    return found.withColumn("found", F.filter("found", lambda a: ~beaten(a)))
 
 
 def _sizes(spark: SparkSession, templates) -> list[int]:
@@ -103,8 +122,9 @@ def _matches(scanned: DataFrame, templates: DataFrame, size: int, containment: f
     first = F.col("number") * F.col("stride")
     near = near.withColumn("first", first).where((first >= 0) & (F.col("place") <= first + 2 * F.col("stride") - size))
     window = F.slice("hashes", F.col("first") + 1, 2 * F.col("stride") - size + 1)
-    near = near.select("_k1", "_k2", "license", "wanted", "band", "value", "first", window.alias("window"))
+    near = near.select("_k1", "_k2", "license", "wanted", "must", "band", "value", "first", window.alias("window"))
     near = near.where(F.array_min(F.transform("window", lambda x: F.xxhash64(x, F.col("band")))) == F.col("value"))
+    near = near.where(F.forall("must", lambda m: F.arrays_overlap(m, F.col("window"))))
     share = F.size(F.array_intersect("window", "wanted")) / F.size("wanted")
     here = F.filter(F.transform("window", lambda x, i: F.when(F.array_contains("wanted", x), i)), lambda i: i.isNotNull())
     near = near.select("_k1", "_k2", "license", "first", share.alias("share"), here.alias("here")).where(F.col("share") >= containment)

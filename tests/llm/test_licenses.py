@@ -40,3 +40,12 @@ def test_a_changed_notice_is_found_and_a_far_one_is_not(spark):
     got = {r["doc_id"]: r["_licenses"] for r in licenses.scan(df).collect()}
     assert got[1]["found"][0]["license"] == "MIT" and got[2] is None
     assert licenses.scan(df.where("false")).count() == 0
+
+
+def test_related_licenses_are_told_apart(spark):
+    header = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    kinds = {"GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"), "AGPL-3.0": ("program", "Affero General Public License", "3"),
+             "LGPL-2.1": ("library", "Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "Lesser General Public License", "3")}
+    df = spark.createDataFrame([(i, prose(i, 90) + "\n" + header.format(*k), "", 0) for i, k in enumerate(kinds.values())], SCHEMA)
+    got = {r["doc_id"]: {x["license"] for x in r["_licenses"]["found"]} for r in licenses.scan(df).collect()}
+    assert got == {i: {name} for i, name in enumerate(kinds)}
