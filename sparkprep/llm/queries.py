@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, gam, licenses, mixing, near_duplicates, pii, quality_rules, token_counts, url_filters
+from . import (
+    chat, collocations, decontamination, digest_index, gam, licenses, mixing, near_duplicates, pii, quality_rules, token_alignment,
+    token_counts, url_filters,
+)
+from sparkprep.session import shared_folder
+
 from .text import keep, read, sha256, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,3 +261,73 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     scored = gam.classify(docs, read(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    index = digest_index.open_index(spark, f"{shared_folder(spark)}/llm-digest-index-{uuid.uuid4().hex}")
+    # two deliveries, so that the second is held against what the first has left in the index
+    delivery = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for k in range(2):
+        digest_index.add(index, docs.where(delivery == k), f"{k}", columns=["doc_id"])
+    return digest_index.verdicts(index).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents").select("lang", "text"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (SELECT unnest([1, 2, 3]) AS k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+t AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+h AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+v AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (
+  SELECT v.lang, v.phrase, a, cut, gx.f AS l, gy.f AS r,
+    (1000000::HUGEINT * a * a) // (gx.f::HUGEINT * gy.f) AS score
+  FROM v JOIN g gx ON gx.lang = v.lang AND gx.phrase = x JOIN g gy ON gy.lang = v.lang AND gy.phrase = y),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+k AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN h USING (lang, phrase) WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 50 * a))
+SELECT k.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = token_alignment.aligned(docs, *paths, columns=["doc_id"], into="_x")
+    groups = F.col("_x.groups")
+    digest = F.when(groups == "", "").otherwise(sha256(groups))
+    found = found.withColumn("_x", F.col("_x").dropFields("groups").withField("groups_sha256", digest))
+    return token_alignment.scored(found, "_x").select("doc_id", "_x.*", "_links.*")

@@ -54,13 +54,13 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder under a new name and go on from the files.
 
     Later steps then neither repeat the work nor depend on executors that may be lost.
     """
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
