@@ -78,7 +78,23 @@ def test_scores_beyond_64_bits(spark):
     assert got == [10**6 * a * a // (l * r) for a, l, r in rows]
 
 
+@pytest.mark.parametrize("entries", [0, 2, 4])
+def test_words_without_numbers_are_counted_as_text(spark, monkeypatch, entries):
+    monkeypatch.setattr(collocations, "ENTRIES", entries)
+    rows = corpus(8)
+    out = collocations.collocations(spark.createDataFrame(rows, SCHEMA).repartition(2))
+    assert sorted(map(tuple, out.collect())) == brute(rows, 3, 10, 50, 2000)
+
+
+def test_dealing_out_changes_the_plan_only(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "FIRST", 2)
+    monkeypatch.setattr(collocations, "WORDS", 50)
+    rows = corpus(9)
+    out = collocations.collocations(spark.createDataFrame(rows, SCHEMA).repartition(2))
+    assert sorted(map(tuple, out.collect())) == brute(rows, 3, 10, 50, 2000)
+
+
 def test_windows_are_counted_once(spark):
-    docs = spark.createDataFrame(corpus(1), SCHEMA)
-    plan = collocations.phrase_counts(collocations.windows(docs), 3, 10)._jdf.queryExecution().executedPlan().toString()
+    texts = spark.createDataFrame(corpus(1), SCHEMA).select("lang", "text").na.fill("")
+    plan = collocations.marginals(collocations.windows(texts, ["a", "b"], 3), 3, 10)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Expand") == 1 and "Generate" not in plan
