@@ -28,6 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -53,56 +54,60 @@ ADDED = T.StructType(
 WIDTH = 1 << 31
 
 
+#: Length of the first slice that is compared; the next ones are twice as long each.
+PROBE = 4
+
 #: Tokens i to to_i of A and j to to_j of B; one-to-one groups, or else one group.
 Stretch = tuple[int, int, int, int, bool]
 
 
 def align(a: list[int], b: list[int]) -> tuple[list[Stretch], list[int], list[int]]:
-    """Stretches of two arrays of increasing ends with the same last end, and the places of linked tokens in both."""
+    """Stretches of two arrays of increasing ends with the same last end, and the places in both of
+    the linked tokens of the irregular groups."""
     stretches, at_a, at_b = [], [], []
     i = j = 0
     n = len(a)
     while i < n:
-        start_i, start_j, step = i, j, 1
-        while i < n and a[i : i + step] == b[j : j + step]:
-            i, j, step = i + step, j + step, 2 * step
-        if i < n:  # the slice that differs may begin alike
-            while step > 1:
+        if a[i] == b[j]:
+            start_i, start_j, step = i, j, PROBE
+            i, j = i + 1, j + 1
+            while a[i : i + step] == b[j : j + step] and i < n:
+                i, j, step = i + step, j + step, 2 * step
+            if i >= n:
+                stretches.append((start_i, n, start_j, len(b), True))
+                break
+            while step > 1:  # the slice that differs may begin alike
                 step //= 2
                 if a[i : i + step] == b[j : j + step]:
                     i, j = i + step, j + step
-        else:
-            i, j = n, len(b)
-        if i > start_i:
             stretches.append((start_i, i, start_j, j, True))
-            at_a += range(start_i, i)
-            at_b += range(start_j, j)
-            if i == n:
-                break
         start_i, start_j = i, j
-        while True:  # the ends differ: advance the smaller one until they meet
+        x, y = a[i], b[j]
+        while x != y:  # advance the smaller end until they meet
             at_a.append(i)
             at_b.append(j)
-            if a[i] < b[j]:
+            if x < y:
                 i += 1
-            elif a[i] > b[j]:
-                j += 1
+                x = a[i]
             else:
-                break
+                j += 1
+                y = b[j]
+        at_a.append(i)
+        at_b.append(j)
         i, j = i + 1, j + 1
         stretches.append((start_i, i, start_j, j, False))
     return stretches, at_a, at_b
 
 
 def groups_text(stretches: list[Stretch], a: list[str], b: list[str]) -> tuple[str, int]:
-    """``a1,a2|b1;a3|b2,b3`` of the groups, and how many there are."""
+    """``a1,a2|b1;a3|b2,b3`` of the groups, and how many there are. The ids in ``a`` have a bar behind them."""
     parts, n = [], 0
     for i, to_i, j, to_j, alike in stretches:
         if alike:
-            parts.append(";".join([f"{x}|{y}" for x, y in zip(a[i:to_i], b[j:to_j])]))
+            parts += map(add, a[i:to_i], b[j:to_j])
             n += to_i - i
         else:
-            parts.append(",".join(a[i:to_i]) + "|" + ",".join(b[j:to_j]))
+            parts.append("".join(a[i:to_i]).replace("|", ",", to_i - i - 1) + ",".join(b[j:to_j]))
             n += 1
     return ";".join(parts), n
 
@@ -198,7 +203,7 @@ def aligned(
         model, b_bytes = pieces(b_path)
         doubt = re.compile(doubt_class)
         a_size, b_size = np.array(_lengths(a_bytes)), np.array(_lengths(b_bytes))
-        a_name, b_name = [str(i) for i in range(len(a_bytes))], [str(i) for i in range(len(b_bytes))]
+        a_name, b_name = [f"{i}|" for i in range(len(a_bytes))], [str(i) for i in range(len(b_bytes))]
 
         def encode(value: str) -> list[int]:
             if doubt.search(value):
@@ -210,11 +215,13 @@ def aligned(
             if value and b"".join([b_bytes[x] for x in b]) == want:
                 a = encode(" " + value)
                 if b"".join([a_bytes[x] for x in a]) == want:
-                    stretches, at_a, at_b = align(np.cumsum(a_size[a]).tolist(), np.cumsum(b_size[b]).tolist())
+                    of_a, of_b = np.array(a), np.array(b)
+                    stretches, at_a, at_b = align(a_size[of_a].cumsum().tolist(), b_size[of_b].cumsum().tolist())
                     told, n = groups_text(stretches, [a_name[x] for x in a], [b_name[x] for x in b])
-                    numbers = np.array(a, np.int64)[at_a] * WIDTH + np.array(b, np.int64)[at_b]
-                    pairs, links = np.unique(numbers, return_counts=True)
-                    return len(a), len(b), n, len(at_a), told, pairs, links
+                    # tokens outside irregular groups are linked in order
+                    firsts, seconds = (np.concatenate([x[at], np.delete(x, at)]) for x, at in ((of_a, at_a), (of_b, at_b)))
+                    pairs, links = np.unique(firsts * WIDTH + seconds, return_counts=True)
+                    return len(a), len(b), n, len(firsts), told, pairs, links
             return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
 
         def lists(items: list) -> pa.Array:
