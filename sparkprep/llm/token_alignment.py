@@ -28,7 +28,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import add
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -100,16 +99,21 @@ def align(a: list[int], b: list[int]) -> tuple[list[Stretch], list[int], list[in
 
 
 def groups_text(stretches: list[Stretch], a: list[str], b: list[str]) -> tuple[str, int]:
-    """``a1,a2|b1;a3|b2,b3`` of the groups, and how many there are. The ids in ``a`` have a bar behind them."""
+    """``a1,a2|b1;a3|b2,b3`` of the groups, and how many there are. The ids in ``a`` have a bar behind them, those in
+    ``b`` a semicolon."""
     parts, n = [], 0
     for i, to_i, j, to_j, alike in stretches:
         if alike:
-            parts += map(add, a[i:to_i], b[j:to_j])
-            n += to_i - i
+            m = to_i - i
+            both = [""] * (2 * m)
+            both[::2], both[1::2] = a[i:to_i], b[j:to_j]
+            parts += both
+            n += m
         else:
-            parts.append("".join(a[i:to_i]).replace("|", ",", to_i - i - 1) + ",".join(b[j:to_j]))
+            parts.append("".join(a[i:to_i]).replace("|", ",", to_i - i - 1))
+            parts.append("".join(b[j:to_j]).replace(";", ",", to_j - j - 1))
             n += 1
-    return ";".join(parts), n
+    return "".join(parts)[:-1], n
 
 
 def byte_of() -> dict[str, int]:
@@ -203,7 +207,7 @@ def aligned(
         model, b_bytes = pieces(b_path)
         doubt = re.compile(doubt_class)
         a_size, b_size = np.array(_lengths(a_bytes)), np.array(_lengths(b_bytes))
-        a_name, b_name = [f"{i}|" for i in range(len(a_bytes))], [str(i) for i in range(len(b_bytes))]
+        a_name, b_name = [f"{i}|" for i in range(len(a_bytes))], [f"{i};" for i in range(len(b_bytes))]
 
         def encode(value: str) -> list[int]:
             if doubt.search(value):
@@ -214,9 +218,11 @@ def aligned(
             want = (" " + value).encode()
             if value and b"".join([b_bytes[x] for x in b]) == want:
                 a = encode(" " + value)
-                if b"".join([a_bytes[x] for x in a]) == want:
-                    of_a, of_b = np.array(a), np.array(b)
-                    stretches, at_a, at_b = align(a_size[of_a].cumsum().tolist(), b_size[of_b].cumsum().tolist())
+                of_a, of_b = np.array(a), np.array(b)
+                ends = a_size[of_a].cumsum()
+                # a byte-level encoder changes no byte if it loses none
+                if ends[-1] == len(want):
+                    stretches, at_a, at_b = align(ends.tolist(), b_size[of_b].cumsum().tolist())
                     told, n = groups_text(stretches, [a_name[x] for x in a], [b_name[x] for x in b])
                     # tokens outside irregular groups are linked in order
                     firsts, seconds = (np.concatenate([x[at], np.delete(x, at)]) for x, at in ((of_a, at_a), (of_b, at_b)))
