@@ -113,6 +113,55 @@ def json_scan(t):
     return read_json(t.spark, f"{t.scratch}/events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _events_json(t, begin, between, end, pretty=False):
+    """All events as JSON records in files of one list or row of objects each: the parts of a document, in order."""
+    record = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"), {"pretty": str(pretty).lower()})
+    part = F.lit(begin), F.array_join(F.sort_array(F.collect_list(record)), between), F.lit(end)
+    files = t.events.groupBy(F.col("user_id") % 8).agg(F.concat(*part).alias("value")).select("value")
+    files.repartition(8).write.text(f"{t.scratch}/events")
+    return read_json(t.spark, f"{t.scratch}/events").select("event_id", "user_id", "event_type", "value", "props")
+
+
+EVENTS_SQL = "SELECT event_id, user_id, event_type, value, props FROM events"
+
+
+@query(EVENTS_SQL)
+def json_lists(t):
+    """Lists of objects, pretty-printed."""
+    return _events_json(t, "[", ",\n", "]", pretty=True)
+
+
+@query(EVENTS_SQL)
+def json_wrapped(t):
+    """Lists under a wrapper key, behind other keys."""
+    return _events_json(t, '{"page": 1, "name": "a}b", "items": [', ", ", "]}")
+
+
+@query(EVENTS_SQL)
+def json_concatenated(t):
+    """Pretty-printed objects, one right after the other."""
+    return _events_json(t, "", "", "", pretty=True)
+
+
+@query("""
+SELECT event_id % 10 AS kind, count(*) AS n_events, event_id % 10 IN (3, 7) AS refused FROM events GROUP BY event_id % 10""")
+def json_damaged(t):
+    """Ten files, two of them with a damaged record in the middle: those are refused, of the others all rows are read."""
+    record = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    damaged = F.when(F.col("event_id") % 10 == 3, F.replace(record, F.lit('"user_id":'), F.lit('"user_id"')))
+    damaged = damaged.when(F.col("event_id") % 10 == 7, F.replace(record, F.lit("}"), F.lit(""))).otherwise(record)
+    lines = t.events.select(damaged.alias("value"), (F.col("event_id") % 10).alias("kind"))
+    lines.repartition("kind").write.partitionBy("kind").text(f"{t.scratch}/events")
+    counts = []
+    for kind in range(10):
+        path = f"{t.scratch}/events/kind={kind}"
+        try:
+            counts.append((kind, read_json(t.spark, path).count(), False))
+        except ValueError:
+            counts.append((kind, t.spark.read.text(path).count(), True))
+    return t.spark.createDataFrame(counts, "kind long, n_events long, refused boolean")
+
+
 @query("SELECT * FROM orders")
 def parquet_scan(t):
     write(t.orders, f"{t.scratch}/orders.parquet", "parquet")

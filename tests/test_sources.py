@@ -241,3 +241,73 @@ def test_json_to_csv(spark, tmp_path):
     for bad in ("[]", "", '{"other": 1}'):
         with pytest.raises(ValueError):
             json_to_csv(spark, put(tmp_path, "b.json", bad), str(tmp_path / "bad"))
+
+
+JSON_ROWS = [{"id": i, "s": ['}{"', "a]b", "\\", 'q"', "é\n{"][i % 5], "o": {"x": [i, {"y": {}}]}, "e": {}} for i in range(80)]
+
+
+def json_documents():
+    one = [json.dumps(r) for r in JSON_ROWS]
+    pretty = [json.dumps(r, indent=2, ensure_ascii=False) for r in JSON_ROWS]
+    return {
+        "list": json.dumps(JSON_ROWS),
+        "pretty list": "\n " + json.dumps(JSON_ROWS, indent=3) + "\n",
+        "lines": "\n".join(one),
+        "lines, one broken over two": "\n".join(one[:50] + pretty[50:51] + one[51:]) + "\n",
+        "pretty objects": "\n".join(pretty),
+        "objects on one line": "".join(one),
+        "wrapped": json.dumps({"n": 3, "t": "a, b", "items": JSON_ROWS, "next": None}),
+        "wrapped, pretty": json.dumps({"data": JSON_ROWS}, indent=1) + "\r\n",
+        "wrapped behind an object": json.dumps({"meta": {"page": 1}, "rows": JSON_ROWS}),
+        "better key later": json.dumps({"rows": [{"z": 1}], "records": JSON_ROWS}),
+    }
+
+
+@pytest.mark.parametrize("name", list(json_documents()))
+def test_json_records_of_every_layout(spark, tmp_path, name, size="997b"):
+    """Cut at any byte: a range may begin inside a string, an escape or a nested object."""
+    path = put(tmp_path, "a.json", json_documents()[name])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        df = read_json(spark, path)
+        got = {r["id"]: (r["s"], [json.loads(x) for x in r["o"]["x"]]) for r in df.collect()}
+        assert df.count() == len(JSON_ROWS) and "z" not in df.columns
+        assert got == {r["id"]: (r["s"], r["o"]["x"]) for r in JSON_ROWS}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(
+    "damage",
+    [
+        "a", '{"a": 1}\n{"a": oops}\n' + '{"a": 2}\n' * 50, '{"a": 1},\n{"a": 2},\n', '{"a": 1}\n{"a": 2}}\n{"a": 3}\n', '[{"a": 1} {"a": 2}]',
+        '[{"a": 1}, {"a": 2},]', '[{"a": 1}] [{"a": 2}]', '{"a": 1}\n{"a": "open}\n{"a": 2}\n', '[{"a": 1}, 5]', '{"data": [{"a": 1}], oops',
+    ],
+)
+def test_damaged_json_is_an_error(spark, tmp_path, damage):
+    with pytest.raises(ValueError):
+        read_json(spark, put(tmp_path, "a.json", damage)).collect()
+
+
+def test_json_folder_of_mixed_layouts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path, "in/a.json", '{"a": 1}\n{"a": 2}\n')
+    put(tmp_path, "in/b.json", json.dumps([{"a": 3}, {"a": 4}], indent=2))
+    put(tmp_path, "in/c.json", json.dumps({"items": [{"a": 5}]}))
+    put(tmp_path, "in/d.json", '{"a": 6}')
+    put(tmp_path, "in/e.json", "[]")
+    got = read_json(spark, str(tmp_path / "in"))
+    assert sorted(r["a"] for r in got.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_one_large_list_is_read_by_many_tasks(spark, tmp_path):
+    path = put(tmp_path, "a.json", json.dumps(JSON_ROWS))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        from sparkprep.sources.json_records import _pieces
+
+        assert _pieces(spark, path).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
