@@ -55,19 +55,12 @@ def _iqr_bounds(df: DataFrame, names: Sequence[str], k: float) -> dict[str, Boun
         if stats.count < MIN_VALUES:
             continue
         q1, q3 = stats.values[0.25], stats.values[0.75]
-        two_valued = not stats.between and _two_valued(df, name, stats.minimum, stats.maximum)
-        if q3 == q1 or two_valued:
+        if q3 == q1 or not stats.between:
             continue
         bounds[name] = Bounds(q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return bounds
 
 
-def _two_valued(df: DataFrame, name: str, low: float, high: float) -> bool:
-    """Whether nothing lies between the extremes; the search stops at the first such row."""
-    value = _value(df, name)
-    return df.where((value > low) & (value < high)).select(F.lit(1)).isEmpty()
-
-
 def _zscore_bounds(df: DataFrame, names: Sequence[str], threshold: float) -> dict[str, Bounds]:
     if not names:
         return {}

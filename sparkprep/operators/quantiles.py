@@ -1,34 +1,27 @@
 """Exact order statistics and modes without gathering a column in one task.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer, which a column of
-10^12 different doubles does not survive. Here a Greenwald-Khanna sketch brackets each wanted rank
-within a few 1/ACCURACY of the rows, further rounds shrink the bracket, and only when the sketch's own
-guarantee says that at most ``COLLECT_LIMIT`` different values are left are they counted one by one.
-Every round is one fused aggregate over all wanted columns; up to about 10 million rows the first one is
-followed by the count at once.
+``percentile`` keeps every distinct value of a column in one aggregation buffer, and sketches of all tasks merge in one
+reducer. Here a rank is found by radix selection: the bits of a double, put in order, are a 64-bit key. Each round counts
+the next DIGIT bits of all values that still share their earlier bits with a wanted rank, of all columns and ranks together. A task
+counts its values in arrays and hands on at most one row for each of the 2^DIGIT digits; rows of (column, prefix)
+are summed by an ordinary ``groupBy``, and running sums tell which prefixes hold the ranks. When
+at most COUNT_LIMIT values are left, the next round counts them whole, so tables of any size need two to four rounds, each of
+which reads the wanted columns only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .cells import nan_to_null, quoted
 
-ACCURACY = 10_000
-MARGIN = 4 / ACCURACY
-WIDEST = 0.4  # a wider bracket need not shrink from round to round
-COLLECT_LIMIT = 10_000
-GRID = 1_000
-BATCH = 25  # columns of one search
-
-
-class _RankMissed(Exception):
-    """The sketch was further off than it promises; the caller widens the margin."""
+DIGIT = 16
+COUNT_LIMIT = 1_000_000
+BATCH = 50  # columns of one search
 
 
 @dataclass
@@ -39,19 +32,17 @@ class Quantiles:
     minimum: float | None = None
     maximum: float | None = None
     values: dict[float, float | None] = field(default_factory=dict)
-    between: bool = False  # a value strictly between the extremes has been seen
+    between: bool = False  # some value lies strictly between the extremes
 
 
-@dataclass
-class _Bracket:
-    """Bounds around the two neighbouring ranks that one quantile interpolates between."""
+@dataclass(frozen=True)
+class _Live:
+    """Values of one column whose keys begin with ``prefix``; ``below`` others of the column are smaller."""
 
-    key: str
-    p: float
-    rank: float
-    low: float
-    high: float
-    inner_bound: float  # at most this many rows lie strictly between low and high
+    column: int
+    prefix: int
+    below: int
+    ranks: tuple[int, ...]
 
 
 def exact_quantiles(
@@ -64,146 +55,122 @@ def exact_quantiles(
     }
     keys, found = list(columns), {}
     for start in range(0, len(keys), BATCH):
-        numbers = {key: columns[key].cast("double") for key in keys[start : start + BATCH]}
-        values = {key: F.when(~F.isnan(x), x) for key, x in numbers.items()}
-        found.update(_search_widening(df, values, wanted))
+        part = keys[start : start + BATCH]
+        numbers = df.select(*[columns[key].cast("double").alias(f"c{i}") for i, key in enumerate(part)])
+        found.update(zip(part, _search(numbers, [wanted[key] for key in part])))
     return found
 
 
-def _search_widening(df: DataFrame, values: Mapping[str, Column], wanted: Mapping[str, list]) -> dict[str, Quantiles]:
-    margin = MARGIN
-    while True:
-        try:
-            return _search(df, values, wanted, margin)
-        except _RankMissed:
-            if margin >= WIDEST:
-                raise
-            margin = min(WIDEST, margin * 10)
-
-
-def _search(
-    df: DataFrame, values: Mapping[str, Column], wanted: Mapping[str, list], margin: float
-) -> dict[str, Quantiles]:
-    first = []
-    for i, (key, x) in enumerate(values.items()):
-        points = [q for p in wanted[key] for q in (max(0.0, p - margin), min(1.0, p + margin))]
-        first += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-        if points:
-            first.append(F.percentile_approx(x, points, ACCURACY).alias(f"q{i}"))
-    row = df.agg(*first).first()
-
-    result: dict[str, Quantiles] = {}
-    brackets: list[_Bracket] = []
-    for i, key in enumerate(values):
-        n = row[f"n{i}"]
-        result[key] = Quantiles(n, row[f"min{i}"], row[f"max{i}"], {p: None for p in wanted[key]})
-        if n == 0:
-            continue
-        seen = row[f"q{i}"] if wanted[key] else []
-        result[key].between = any(row[f"min{i}"] < x < row[f"max{i}"] for x in seen)
-        for j, p in enumerate(wanted[key]):
-            low, high = row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]
-            # Few values need no bracket, and one at the edge starts at the extreme itself.
-            few = n <= COLLECT_LIMIT
-            low = row[f"min{i}"] if few or p <= margin else low
-            high = row[f"max{i}"] if few or p >= 1 - margin else high
-            bound = n if few else n * (2 * margin + 2 / ACCURACY)
-            _settle(_Bracket(key, p, p * (n - 1), low, high, bound), result, brackets)
-    while wide := [b for b in brackets if b.inner_bound > COLLECT_LIMIT]:
-        narrow = [b for b in brackets if b.inner_bound <= COLLECT_LIMIT]
-        refined = _refine(df, values, wide, result, margin)
-        if sum(b.inner_bound for b in refined) >= sum(b.inner_bound for b in wide):
-            raise _RankMissed  # a round that gains nothing would go on for ever
-        brackets = narrow + refined
-    if brackets:
-        _count_out(df, values, brackets, result)
-    return result
-
-
-def _settle(bracket: _Bracket, result: dict[str, Quantiles], open_brackets: list[_Bracket]) -> None:
-    """A bracket of one value is an answer, any other stays open."""
-    if bracket.low == bracket.high:
-        result[bracket.key].values[bracket.p] = bracket.low
-    else:
-        open_brackets.append(bracket)
-
-
-def _refine(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    brackets: Sequence[_Bracket],
-    result: dict[str, Quantiles],
-    margin: float,
-) -> list[_Bracket]:
-    """One aggregate: exact counts around each bracket and a sketch of the values inside it."""
-    aggregates = []
-    for i, b in enumerate(brackets):
-        x = values[b.key]
-        inside = F.when((x > b.low) & (x < b.high), x)
-        aggregates += [
-            F.count_if(x <= b.low).alias(f"below{i}"),
-            F.count(inside).alias(f"inside{i}"),
-            F.percentile_approx(inside, [k / GRID for k in range(GRID + 1)], ACCURACY).alias(f"q{i}"),
-        ]
-    row = df.agg(*aggregates).first()
-    still_open: list[_Bracket] = []
-    for i, b in enumerate(brackets):
-        below, inside, grid = row[f"below{i}"], row[f"inside{i}"], row[f"q{i}"]
-        low, high, bound = b.low, b.high, inside
-        if inside > COLLECT_LIMIT:
-            # Relative position of both ranks among the inner values, moved outwards to a grid point
-            # that lies further away than the sketch can err.
-            start = (math.floor(b.rank) - below) / inside - margin
-            stop = (math.ceil(b.rank) + 1 - below) / inside + margin
-            left = max(0, math.floor(start * GRID))
-            right = min(GRID, math.ceil(stop * GRID))
-            low = grid[left] if left > 0 else low
-            high = grid[right] if right < GRID else high
-            bound = inside * ((right - left) / GRID + 2 / ACCURACY)
-        _settle(_Bracket(b.key, b.p, b.rank, low, high, bound), result, still_open)
-    return still_open
-
-
-def _count_out(
-    df: DataFrame, values: Mapping[str, Column], brackets: Sequence[_Bracket], result: dict[str, Quantiles]
-) -> None:
-    """Exact counts of the few values left in each bracket, and of the rows below it.
-
-    Only rows inside some bracket, about one in a thousand, are looked at value by value.
-    """
-    tests = [(values[b.key] >= b.low) & (values[b.key] <= b.high) for b in brackets]
-    items = [
-        F.when(test, F.struct(F.lit(i).alias("item"), values[b.key].alias("value")))
-        for i, (b, test) in enumerate(zip(brackets, tests))
-    ]
-    histogram = (
-        df.where(reduce(lambda a, b: a | b, tests))
-        .select(F.inline(F.array_compact(F.array(*items))))
-        .groupBy("item", "value")
-        .count()
-        .collect()  # at most COLLECT_LIMIT + 2 values per bracket
-    )
-    per_item: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(brackets))}
-    for item, value, count in histogram:
-        per_item[item].append((value, count))
-    below = [0] * len(brackets)
-    if any(b.low > result[b.key].minimum for b in brackets):
-        below = df.agg(
-            *[F.count_if(values[b.key] < b.low).alias(f"b{i}") for i, b in enumerate(brackets)]
-        ).first()
-    for i, b in enumerate(brackets):
-        lower_rank, upper_rank = math.floor(b.rank), math.ceil(b.rank)
-        position, lower, upper = below[i], None, None
-        for value, count in sorted(per_item[i]):
-            position += count
-            if lower is None and lower_rank < position:
-                lower = value
-            if upper_rank < position:
-                upper = value
-                break
-        if lower is None or upper is None or below[i] > lower_rank:
-            raise _RankMissed
-        result[b.key].values[b.p] = lower + (upper - lower) * (b.rank - lower_rank)
+def keys_of(values):
+    """64-bit integers in the order of an array of doubles; both zeros are one."""
+    import numpy as np
+
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF))
+
+
+def value_of(key: int) -> float:
+    """The double of a key."""
+    import struct
+
+    return struct.unpack("<d", struct.pack("<q", key ^ ((key >> 63) & 0x7FFF_FFFF_FFFF_FFFF)))[0]
+
+
+def _count(numbers: DataFrame, live: Sequence[_Live], done: int, digit: int) -> DataFrame:
+    """live (its place), prefix and n: how many values of each live set have these first ``done + digit`` bits."""
+    shift = 64 - done - digit
+
+    def tally(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        dense = digit <= DIGIT
+        totals = [np.zeros(1 << digit, np.int64) if dense else [] for _ in live]
+        for batch in batches:
+            of = {}
+            for k, one in enumerate(live):
+                if one.column not in of:
+                    column = batch.column(one.column)
+                    values = column.drop_null().to_numpy(zero_copy_only=False)
+                    of[one.column] = keys_of(values[~np.isnan(values)])
+                key = of[one.column]
+                if done:
+                    key = key[key >> (64 - done) == one.prefix]
+                if dense:
+                    first = one.prefix << digit if done else -(1 << (digit - 1))
+                    totals[k] += np.bincount((key >> shift) - first, minlength=1 << digit)
+                elif len(key):
+                    totals[k].append(np.unique(key, return_counts=True))
+        for k, (one, total) in enumerate(zip(live, totals)):
+            if dense:
+                at = np.flatnonzero(total)
+                prefix, n = at + (one.prefix << digit if done else -(1 << (digit - 1))), total[at]
+            elif total:
+                prefix, where = np.unique(np.concatenate([t[0] for t in total]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([t[1] for t in total])).astype(np.int64)
+            else:
+                continue
+            for start in range(0, len(n), 10_000):
+                part = slice(start, start + 10_000)
+                columns = [pa.array(np.full(len(n[part]), k, np.int32)), pa.array(prefix[part].astype(np.int64)), pa.array(n[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["live", "prefix", "n"])
+
+    counted = numbers.mapInArrow(tally, "live int, prefix long, n long")
+    return counted.groupBy("live", "prefix").agg(F.sum("n").alias("n"))
+
+
+def _located(counts: DataFrame, ranks: Column) -> list:
+    """The prefixes in which some rank of their live set lies, with the rows below and the rows of the set."""
+    whole = Window.partitionBy("live")
+    placed = counts.select(
+        "live", "prefix", "n", F.sum("n").over(whole).alias("total"),
+        (F.sum("n").over(whole.orderBy("prefix")) - F.col("n")).alias("below"),
+    )
+    holds = F.exists(ranks, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
+    return placed.where(holds).collect()  # at most one row for each rank
+
+
+def _ranks(total: int, points: Sequence[float]) -> list[int]:
+    """Positions of the extremes and of the two neighbours of each quantile."""
+    return sorted({0, total - 1, *(f(p * (total - 1)) for p in points for f in (math.floor, math.ceil))})
+
+
+def _search(numbers: DataFrame, points: Sequence[Sequence[float]]) -> list[Quantiles]:
+    live = [_Live(i, 0, 0, ()) for i in range(len(points))]
+    last = F.col("total") - 1
+    first = [F.array(F.lit(0).cast("long"), last, *[f(F.lit(float(p)) * last) for p in ps for f in (F.floor, F.ceil)]) for ps in points]
+    rows = _located(_count(numbers, live, 0, DIGIT), F.get(F.array(*first), F.col("live")) if first else F.array())
+    totals = {r["live"]: r["total"] for r in rows}
+    sets = [(r["live"], r["prefix"], r["below"], r["n"], _ranks(r["total"], points[r["live"]])) for r in rows]
+    done = DIGIT
+    while done < 64 and sets:
+        live = [_Live(c, p, below, tuple(r - below for r in ranks if below <= r < below + n)) for c, p, below, n, ranks in sets]
+        digit = 64 - done if sum(s[3] for s in sets) <= COUNT_LIMIT else DIGIT
+        ranks = F.get(F.array(*[F.array(*[F.lit(r).cast("long") for r in one.ranks]) for one in live]), F.col("live"))
+        rows = _located(_count(numbers, live, done, digit), ranks)
+        sets = [
+            (one.column, r["prefix"], one.below + r["below"], r["n"], [x + one.below for x in one.ranks])
+            for r in rows for one in [live[r["live"]]]
+        ]
+        done += digit
+    return [_quantiles(totals.get(i, 0), [s for s in sets if s[0] == i], ps) for i, ps in enumerate(points)]
+
+
+def _quantiles(total: int, found: Sequence[tuple], points: Sequence[float]) -> Quantiles:
+    """Values at the wanted ranks, from the sets of equal values that hold them."""
+    if not total:
+        return Quantiles(0, values={p: None for p in points})
+
+    def at(rank: int) -> float:
+        return next(value_of(key) for _, key, below, n, _ in found if below <= rank < below + n)
+
+    values = {}
+    for p in points:
+        rank = p * (total - 1)
+        lower, upper = at(math.floor(rank)), at(math.ceil(rank))
+        values[p] = lower if lower == upper else lower + (upper - lower) * (rank - math.floor(rank))
+    ends = sum(n for _, _, below, n, _ in found if below == 0 or below + n == total)
+    return Quantiles(total, at(0), at(total - 1), values, ends < total)
 
 
 def exact_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:

@@ -146,22 +146,36 @@ def test_ordered_fill_has_no_global_window(spark):
     assert fills.MAX_RANGES <= 20_000
 
 
-@pytest.mark.parametrize("limit", [10, 100, 10_000])
+@pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_quantiles_equal_pandas(spark, monkeypatch, limit):
-    """Small limits force the refinement rounds; two values hold two thirds of one column."""
-    monkeypatch.setattr(quantiles, "COLLECT_LIMIT", limit)
+    """Without a limit all bits are counted in rounds; two values hold two thirds of one column."""
+    monkeypatch.setattr(quantiles, "COUNT_LIMIT", limit)
     rng = random.Random(limit)
     pdf = pd.DataFrame({
         "a": [rng.gauss(0, 1) for _ in range(4000)],
         "b": [rng.choice([1.0, 2.0, rng.random() + 1]) for _ in range(4000)],
         "c": [float(rng.randint(0, 2)) for _ in range(4000)],
+        "d": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(3990)] + [0.0, -0.0, 5e-324, -5e-324, 1.0] * 2,
+        "e": [rng.choice([float("nan"), -7.5]) for _ in range(4000)],
     })
     points = [0, 0.001, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1]
     df = spark.createDataFrame(pdf).repartition(5)
     got = exact_quantiles(df, {c: F.col(c) for c in pdf}, points)
     want = pdf.quantile(points)
     for c in pdf:
-        assert [got[c].values[p] for p in points] == pytest.approx(want[c].tolist(), abs=1e-12)
+        assert [got[c].values[p] for p in points] == pytest.approx(want[c].tolist(), rel=1e-12, abs=1e-12)
+        assert (got[c].count, got[c].minimum, got[c].maximum) == (pdf[c].count(), pdf[c].min(), pdf[c].max())
+    assert got["a"].between and got["c"].between and not got["e"].between
+
+
+def test_quantiles_gather_no_column(spark):
+    """Counts are summed by (column, prefix) in many tasks; none of them sees the values or a sketch of them."""
+    numbers_ = spark.range(0, 100_000, numPartitions=40).select((F.col("id") % 9973).cast("double").alias("c0"))
+    counts = quantiles._count(numbers_, [quantiles._Live(0, 0, 0, ())], 0, 16)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(live" in plan and "SinglePartition" not in plan and "percentile" not in plan
+    assert counts.agg(F.sum("n")).first()[0] == 100_000
+    assert exact_quantiles(numbers_, {"v": F.col("c0")}, [0.5])["v"].values[0.5] == 4972.5
 
 
 def test_quantiles_of_nothing(spark):

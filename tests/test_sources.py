@@ -304,7 +304,7 @@ def test_json_folder_of_mixed_layouts(spark, tmp_path):
 def test_one_large_list_is_read_by_many_tasks(spark, tmp_path):
     path = put(tmp_path, "a.json", json.dumps(JSON_ROWS))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
     try:
         from sparkprep.sources.json_records import _pieces
 
