@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,24 +59,25 @@ class Pattern:
     kind: str
     regex: str
     strict: bool
-    guard: str
+    #: Every match holds one of these; texts without any are not searched.
+    guard: tuple[str, ...] = ()
 
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = (
     # possessive runs and the look-behind give the same leftmost matches as the plain forms, without quadratic work
-    Pattern("email", "email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", True, "@"),
-    Pattern("ip", "ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, "."),
-    Pattern("card", "card", r"[0-9](?:[\x20-]?[0-9])++", True, ""),
-    Pattern("phone", "phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, "+"),
+    Pattern("email", "email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", True, ("@",)),
+    Pattern("ip", "ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, (".",)),
+    Pattern("card", "card", r"[0-9](?:[\x20-]?[0-9])++", True),
+    Pattern("phone", "phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, ("+",)),
     Pattern(
         "email_spelled", "email",
         rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[({{]\x20?(?:at|AT)\x20?[\])}}]\x20?[A-Za-z0-9-]{{1,63}}"
-        r"(?:\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])", False, "at",
+        r"(?:\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])", False, ("at", "AT"),
     ),
-    Pattern("ip_six", "ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", False, ":"),
-    Pattern("card_short", "card", r"(?<![0-9A-Za-z.+-])[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}(?![0-9A-Za-z-])", False, ""),
-    Pattern("phone_local", "phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", False, ""),
+    Pattern("ip_six", "ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", False, (":",)),
+    Pattern("card_short", "card", r"(?<![0-9A-Za-z.+-])[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}(?![0-9A-Za-z-])", False),
+    Pattern("phone_local", "phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", False),
 )
 
 
@@ -159,7 +162,8 @@ def _guarded(pattern: Pattern, text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
     if not pattern.guard:
         return found
-    return F.when(F.contains(text, F.lit(pattern.guard)), found).otherwise(F.array().cast("array<string>"))
+    held = [F.contains(text, F.lit(g)) for g in pattern.guard]
+    return F.when(reduce(or_, held), found).otherwise(F.array().cast("array<string>"))
 
 
 def _matches(docs: DataFrame, patterns, keep: list[str]) -> DataFrame:

@@ -104,3 +104,18 @@ def test_redaction_masks_all_of_overlapping_spans(spark):
                 out += text[upto:start] + f"[{pii.KINDS[kind].upper()}]"
             upto = max(upto, -back)
         assert got[i] == (text and out + text[upto:])
+
+
+def test_guards_change_no_result(spark, monkeypatch):
+    """A guard only spares texts that no match can be in, whatever else they say."""
+    from dataclasses import replace
+
+    texts = [
+        "WRITE: MAIL JOE [AT] EXAMPLE [DOT] COM NOW", "mail joe [at] example [dot] com, that", "MAIL JOE [AT] EXAMPLE [DOT] COM, that",
+        "server 2001:0db8:0000:0000:0000:0000:0000:0001 x", "call 212 555 0123", "a.b@c.de 10.0.0.1 +1 (743) 555-3824", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    on = [tuple(r) for r in pii.detect(docs).orderBy("doc_id").collect()]
+    assert [len(r[2]) for r in on[:3]] == [1, 1, 1]
+    monkeypatch.setattr(pii, "PATTERNS", tuple(replace(p, guard=()) for p in pii.PATTERNS))
+    assert [tuple(r) for r in pii.detect(docs).orderBy("doc_id").collect()] == on

@@ -74,3 +74,18 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_and_very_long_texts(spark, tmp_path):
+    """Columns named as the stages' own, or with a dot, come through; a long text is kept whole; the benchmark may be empty."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = ["_broken", "_quality", "_mix", "size", "Taken", "a.b", "_k1", "id", "near_group"]
+    rows = [(i, prose(i, 30_000 if i == 3 else 90), "en", f"s{i % 2}", 1, *[f"{c}{i}" for c in more]) for i in range(12)]
+    schema = SCHEMA + ", " + ", ".join(f"`{c}` string" for c in more)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *more, "_size", "source_size", "target", "_taken"]
+    out.write.parquet(f"{tmp_path}/out")
+    got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert 3 in got and got[3]["text"] == rows[3][1] and got[3]["_size"] == len(rows[3][1].split())
+    assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in more)
