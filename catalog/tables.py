@@ -113,6 +113,16 @@ def json_scan(t):
     return read_json(t.spark, f"{t.scratch}/events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events")
+def csv_scan_column_orders(t):
+    """A folder whose files order their columns in three ways."""
+    orders = [["event_id", "event_type", "user_id"], ["user_id", "event_id", "event_type"], ["event_type", "user_id", "event_id"]]
+    for k, order in enumerate(orders):
+        part = t.events.where(F.col("event_id") % 3 == k).select(*order)
+        part.write.mode("append").option("header", True).csv(f"{t.scratch}/events")
+    return read_csv(t.spark, f"{t.scratch}/events").select("event_id", "event_type", "user_id")
+
+
 def _events_json(t, begin, between, end, pretty=False):
     """All events as JSON records in files of one list or row of objects each: the parts of a document, in order."""
     record = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"), {"pretty": str(pretty).lower()})

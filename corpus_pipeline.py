@@ -10,13 +10,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sparkprep.llm import decontamination, mixing, near_duplicates, pii, quality_rules  # noqa: E402
-from sparkprep.llm.text import keep, read  # noqa: E402
+from sparkprep.llm.text import column, keep, read  # noqa: E402
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores before it as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no quality rule of the table for a corpus."""
-    judged = quality_rules.apply_rules(docs, quality_rules.CORPUS_RULES, measures="_quality", broken="_broken")
-    return judged.where(F.size("_broken") == 0).drop("_quality", "_broken")
+    measures, broken = free_name(docs, "_quality"), free_name(docs, "_broken")
+    judged = quality_rules.apply_rules(docs, quality_rules.CORPUS_RULES, measures=measures, broken=broken)
+    return judged.where(F.size(column(broken)) == 0).select(*map(column, docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +45,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
-    return mixing.mix(docs).where("_mix.taken > 0").select(*docs.columns, "_mix.*")
+    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted).
+
+    A column of the documents that has one of these names keeps it; the mix's then gets an underscore before it.
+    """
+    into = free_name(docs, "_mix")
+    told = [column(into)[c].alias(free_name(docs, c)) for c in ("size", "source_size", "target", "taken")]
+    return mixing.mix(docs, into=into).where(column(into)["taken"] > 0).select(*map(column, docs.columns), *told)
 
 
 STAGES = [

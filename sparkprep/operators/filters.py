@@ -15,7 +15,8 @@ from datetime import date, datetime, timezone
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.parsing import (
     FALSE_TOKENS_EXTENDED,
@@ -234,7 +235,7 @@ def _text_rule(col: Column, rule: Rule) -> Column | str:
         return same if rule.op == "==" else ~same
     if rule.op == "contains":
         if rule.regex:
-            return cell.rlike("(?i)" + value)
+            return cell.rlike("(?i)" + value) if _is_pattern("(?i)" + value) else f"'{value}' is not a pattern"
         return F.contains(F.lower(cell), F.lit(value.lower()))
     if rule.op in ("starts_with", "ends_with"):
         test = F.startswith if rule.op == "starts_with" else F.endswith
@@ -247,6 +248,15 @@ def _text_rule(col: Column, rule: Rule) -> Column | str:
     return f"operator '{rule.op}' does not apply to text"
 
 
+def _is_pattern(text: str) -> bool:
+    """Whether the engine can compile a pattern; asked while rules are compiled, as a job would end with it."""
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(text)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def _list(value: Any) -> list:
     if value is None:
         return []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -54,11 +55,40 @@ def read_header(spark: SparkSession, path, sep: str = ",", encoding: str = "UTF-
     return names
 
 
-def has_line_breaks(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> bool:
-    """Whether a quoted cell may go over several lines: then some line has an odd number of quotes."""
+def scan_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> tuple[bool, dict[str, list[str]]]:
+    """Whether a quoted cell may go over several lines, as some line has an odd number of quotes; and the files by
+    their first line. One pass over the lines; one row for each file comes back, as the scan lists them anyway."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = spark.read.option("encoding", encoding).text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    filled = F.when(F.trim("value") != "", F.col("value"))
+    found = lines.select(F.col("_metadata.file_path").alias("file"), filled.alias("line"), place.alias("place"), (quotes % 2 == 1).alias("odd"))
+    files = found.groupBy("file").agg(
+        F.min_by("line", F.when(F.col("line").isNotNull(), F.col("place"))).alias("line"), F.bool_or("odd").alias("odd")
+    )
+    rows = files.orderBy("file").collect()
+    headers: dict[str, list[str]] = {}
+    for row in rows:
+        if row["line"] is not None:
+            headers.setdefault(row["line"].lstrip("\ufeff").rstrip("\r"), []).append(row["file"])
+    return any(row["odd"] for row in rows), headers
+
+
+def has_line_breaks(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> bool:
+    """Whether a quoted cell may go over several lines."""
+    return scan_lines(spark, path, encoding)[0]
+
+
+def _by_name(spark: SparkSession, headers: dict[str, list[str]], names: list[str], sep: str, encoding: str, **options) -> DataFrame:
+    """Files whose headers name the same columns in different orders, in the order of ``names``."""
+    parts = []
+    for line, files in headers.items():
+        own = read_header(spark, files[0], sep, encoding)
+        if sorted(own) != sorted(names):
+            raise ValueError(f"files do not share their columns: {files[0]} has {own}, others have {names}")
+        found = read_csv(spark, files, sep=sep, encoding=encoding, same_header=True, **options)
+        parts.append(found.select(*[F.col("`" + n.replace("`", "``") + "`") for n in names]))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def field_count(record: Column, sep: str) -> Column:
@@ -78,6 +108,7 @@ def read_csv(
     multi_line: bool | None = None,
     header: Sequence[str] | None = None,
     null_tokens: Sequence[str] = READER_NULL_TOKENS,
+    same_header: bool = False,
 ) -> DataFrame:
     """Read CSV files, a folder or a list of files that share a header, as text columns.
 
@@ -86,6 +117,9 @@ def read_csv(
     fully empty rows disappear, cells are trimmed. ``sep=None`` looks for the separator in the header.
     Line breaks inside quotes take one task per file; whether there are any is looked up in the lines
     first, unless ``multi_line`` says so. Files without a header line need their names in ``header``.
+
+    Files may order their columns differently: columns are those of the first file by name, and files with other columns
+    are an error. ``same_header`` says that all begin with the same line; then and with ``multi_line`` no line is looked at first.
     """
     if on_bad_lines not in ("skip", "strict"):
         raise ValueError(f"unknown value for on_bad_lines: '{on_bad_lines}'")
@@ -93,8 +127,12 @@ def read_csv(
     if sep is None:
         sep = sniff_separator(spark, path)
     names = list(header) if header else read_header(spark, path, sep, encoding)
-    if multi_line is None:
-        multi_line = has_line_breaks(spark, path, encoding)
+    if multi_line is None or not (header or same_header):
+        broken, headers = scan_lines(spark, path, encoding)
+        multi_line = broken if multi_line is None else multi_line
+        if not header and len(headers) > 1:
+            options = {"on_bad_lines": on_bad_lines, "multi_line": multi_line, "null_tokens": null_tokens}
+            return _by_name(spark, headers, names, sep, encoding, **options)
     positions = [f"_c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*positions, "_damaged"]])
     reader = spark.read.options(**_options(sep, encoding), multiLine=str(multi_line).lower()).schema(schema)

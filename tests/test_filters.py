@@ -137,3 +137,11 @@ def test_predicates_reach_the_scan(spark, tmp_path, capsys):
     for pushed in ("GreaterThanOrEqual(id,11)", "LessThanOrEqual(x,90.0)", "GreaterThanOrEqual(ts,"):
         assert pushed in plan
     assert "s:string" not in plan
+
+
+def test_malformed_pattern_is_ignored_and_reported(spark):
+    df = spark.createDataFrame([("a(b",), ("cd",)], "name string")
+    plan = compile_filters(df, {"name": {"op": "contains", "value": "a(b", "regex": True}})
+    assert plan.ignored == (("name", "'a(b' is not a pattern"),)
+    assert plan.apply(df).count() == 2
+    assert apply_filters(df, {"name": {"op": "contains", "value": r"a\(b", "regex": True}}).count() == 1

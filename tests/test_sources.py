@@ -311,3 +311,16 @@ def test_one_large_list_is_read_by_many_tasks(spark, tmp_path):
         assert _pieces(spark, path).rdd.getNumPartitions() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_folder_maps_columns_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path, "in/a.csv", "a,b\n1,x\n2,y\n")
+    put(tmp_path, "in/b.csv", 'b,a\n"z, q",3\n')
+    put(tmp_path, "in/c.csv", "a,b\n4,w\n")
+    got = read_csv(spark, str(tmp_path / "in"))
+    assert got.columns == ["a", "b"] or got.columns == ["b", "a"]
+    assert sorted(got.select("a", "b").collect()) == [("1", "x"), ("2", "y"), ("3", "z, q"), ("4", "w")]
+    put(tmp_path, "in/d.csv", "a,c\n5,v\n")
+    with pytest.raises(ValueError, match="columns"):
+        read_csv(spark, str(tmp_path / "in"))
