@@ -223,3 +223,28 @@ def infer_date_layouts(t):
         F.concat(F.date_format(hour, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("offset_time"),
     )
     return normalize_types(orders)
+
+
+# Layouts of one date and what is left of it: the day, the month, or the moment. The moment is made from the key.
+RENDERINGS = [
+    ("MM/dd/yyyy", "day"), ("dd/MM/yyyy", "day"), ("yyyy/MM/dd", "day"), ("yyyy.MM.dd", "day"), ("M/d/yy", "day"), ("dd/MM/yy", "day"),
+    ("MM-dd-yy", "day"), ("dd-MM-yy", "day"), ("d-MMM-yy", "day"), ("dd.MM.yyyy", "day"), ("EEEE, MMMM d, yyyy", "day"),
+    ("EEE d MMM yyyy", "day"), ("MMM yyyy", "month"), ("MMMM, yyyy", "month"), ("yyyy-MM", "month"), ("yyyy/MM", "month"),
+    ("M/yyyy", "month"), ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "moment"), ("dd/MM/yyyy HH:mm:ss", "moment"),
+    ("yyyy/MM/dd HH:mm", "moment"), ("dd.MM.yyyy HH:mm", "moment"), ("yyyy-MM-dd'T'HH:mm:ss.SSS", "moment"),
+]
+LEFT_OF_DATES = {
+    "day": "CAST(o_orderdate AS TIMESTAMP)",
+    "month": "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)",
+    "moment": "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 24) + INTERVAL 1 MINUTE * (o_orderkey % 60)",
+}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"{LEFT_OF_DATES[left]} AS r{i}" for i, (_, left) in enumerate(RENDERINGS)) + " FROM orders")
+def infer_date_renderings(t):
+    """Twenty-two layouts, each found for its column: years of two digits, names of days, months alone, times."""
+    key = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    moment = day + F.make_dt_interval(F.lit(0), (key % 24).cast("int"), (key % 60).cast("int"))
+    rendered = [F.date_format(moment, layout).alias(f"r{i}") for i, (layout, _) in enumerate(RENDERINGS)]
+    return normalize_types(t.orders.select("o_orderkey", *rendered))

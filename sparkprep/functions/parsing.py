@@ -44,7 +44,8 @@ class DateFormat:
     """A layout: cells must match ``pattern``; ``iso`` rewrites the groups where they are not in ISO order.
 
     ``shape`` is what ``date_shape`` gives for its cells. ``parts`` names the groups of layouts that need more
-    than an order: day, name (of the month), month, year, time, half (AM or PM), and sign, hours and minutes of an offset.
+    than an order: day (else the first), name (of the month), month, year, short (year of two digits), time, half (AM or
+    PM), and sign, hours and minutes of an offset.
     """
 
     name: str
@@ -53,6 +54,14 @@ class DateFormat:
     iso: str | None = None
     parts: tuple[str, ...] = ()
 
+    @property
+    def signature(self) -> str:
+        """A pattern of the signatures that cells of this layout can have (``date_signature``)."""
+        text = self.pattern
+        for written, sign in SIGNS:
+            text = text.replace(written, sign)
+        return text
+
 
 # Fields of the patterns. They leave out impossible months, days and times, so that hardly any cell
 # reaches the cast only to be refused there.
@@ -68,6 +77,20 @@ NAME = (
     "nov(?:ember)?|dec(?:ember)?)"
 )
 CLOCK = rf"(?:[ T]({SECONDS}{FRACTION}|{MINUTES}))?"
+DAYS = "montuewedthufrisatsun"
+WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? )?"
+ZERO_ZONE = "(?: (?:GMT|UTC))?"
+HALF = r"([ap])\.?m\.?"
+SHORT = r"\d\d"
+PADDED_MONTH = r"(?:1[0-2]|0[1-9])"
+PADDED_DAY = r"(?:3[01]|[12]\d|0[1-9])"
+# How the fields look in a signature, where every digit is a 9 and every word an "a". Longer fields come first.
+SIGNS = [
+    (WEEKDAY, r"(?:a\.?,? )?"), (NAME, "a"), (ZERO_ZONE, "(?: a)?"), (HALF, r"a\.?(?:a\.?)?"),
+    (SECONDS, "99?:99?:99?"), (MINUTES, "99?:99?"), (FRACTION, r"(?:\.9{1,9})?"),
+    (MONTH, "99?"), (DAY, "99?"), (PADDED_MONTH, "99"), (PADDED_DAY, "99"), (YEAR, "9{4}"), (SHORT, "99"),
+    ("[ T]", "[ a]"), ("[T ]", "[ a]"), ("(?:Z|\\+00:?00)", r"(?:a|\+99:?99)"),
+]
 
 # Tried in this order; the first one that reads more than 70 % of a column is used for all of it.
 DATE_FORMATS = [
@@ -87,18 +110,33 @@ FALLBACK_FORMATS = [
     DateFormat("%Y/%m/%d %H:%M:%S", 3, f"^({YEAR})/({MONTH})/({DAY}) ({SECONDS})$", "$1-$2-$3 $4"),
     DateFormat("iso offset", 1, f"^({YEAR})-({MONTH})-({DAY}){CLOCK} ?([+-])(\\d\\d):?(\\d\\d)$",
                parts=("year", "month", "day", "time", "sign", "hours", "minutes")),
-    DateFormat("%m/%d/%Y %I:%M %p", 5, rf"(?i)^({MONTH})/({DAY})/({YEAR}){CLOCK} ?([ap])\.?m\.?$",
+    DateFormat("%m/%d/%Y %I:%M %p", 5, f"(?i)^({MONTH})/({DAY})/({YEAR}){CLOCK} ?{HALF}$",
                parts=("month", "day", "year", "time", "half")),
     DateFormat("%m-%d-%Y", 6, f"^({MONTH})[-.]({DAY})[-.]({YEAR})$", "$3-$1-$2"),
     DateFormat("%d-%m-%Y", 6, f"^({DAY})[-.]({MONTH})[-.]({YEAR})$", "$3-$2-$1"),
     DateFormat("%m-%d-%Y time", 7, f"^({MONTH})[-.]({DAY})[-.]({YEAR}){CLOCK}$", parts=("month", "day", "year", "time")),
     DateFormat("%d-%m-%Y time", 7, f"^({DAY})[-.]({MONTH})[-.]({YEAR}){CLOCK}$", parts=("day", "month", "year", "time")),
-    DateFormat("%d %b %Y", 8, f"(?i)^({DAY})[ -]({NAME})\\.?,?[ -]({YEAR}){CLOCK}$", parts=("day", "name", "year", "time")),
-    DateFormat("%b %d %Y", 8, f"(?i)^({NAME})\\.? ({DAY}),? ({YEAR}){CLOCK}$", parts=("name", "day", "year", "time")),
+    DateFormat("%d %b %Y", 8, f"(?i)^{WEEKDAY}({DAY})[ -]({NAME})\\.?,?[ -]({YEAR}){CLOCK}{ZERO_ZONE}$",
+               parts=("day", "name", "year", "time")),
+    DateFormat("%b %d %Y", 8, f"(?i)^{WEEKDAY}({NAME})\\.? ({DAY}),? ({YEAR}){CLOCK}{ZERO_ZONE}$",
+               parts=("name", "day", "year", "time")),
+    DateFormat("%m/%d/%y", 4, f"^({MONTH})/({DAY})/({SHORT})$", parts=("month", "day", "short")),
+    DateFormat("%d/%m/%y", 4, f"^({DAY})/({MONTH})/({SHORT})$", parts=("day", "month", "short")),
+    DateFormat("%m-%d-%y", 6, f"^({PADDED_MONTH})-({PADDED_DAY})-({SHORT})$", parts=("month", "day", "short")),
+    DateFormat("%d-%m-%y", 6, f"^({PADDED_DAY})-({PADDED_MONTH})-({SHORT})$", parts=("day", "month", "short")),
+    DateFormat("%d %b %y", 8, f"(?i)^{WEEKDAY}({DAY})[ -]({NAME})\\.?,?[ -]({SHORT})$", parts=("day", "name", "short")),
+    DateFormat("%d/%m/%Y %H:%M:%S", 5, f"^({DAY})/({MONTH})/({YEAR}){CLOCK}$", parts=("day", "month", "year", "time")),
+    DateFormat("%Y/%m/%d %H:%M", 3, f"^({YEAR})/({MONTH})/({DAY}) ({MINUTES})$", "$1-$2-$3 $4:00"),
+    DateFormat("%Y.%m.%d", 0, f"^({YEAR})\\.({MONTH})\\.({DAY})$", "$1-$2-$3"),
+    DateFormat("%Y-%m", 0, f"^({YEAR})-({PADDED_MONTH})$", "$1-$2-01"),
+    DateFormat("%Y/%m", 2, f"^({YEAR})/({PADDED_MONTH})$", "$1-$2-01"),
+    DateFormat("%m/%Y", 4, f"^({MONTH})/({YEAR})$", "$2-$1-01"),
+    DateFormat("%b %Y", 8, f"(?i)^({NAME})\\.?,?[ -]({YEAR})$", parts=("name", "year")),
 ]
 # ---- end of fixed values ----------------------------------------------------------------------
 
 ALL_FORMATS = {fmt.name: fmt for fmt in DATE_FORMATS + FALLBACK_FORMATS}
+FIRST_SHORT_YEAR = 69  # two digits from here on are of the 20th century
 
 
 def trim_text(col: Column) -> Column:
@@ -173,9 +211,14 @@ def _from_parts(col: Column, layout: DateFormat) -> Column:
     if month is None:
         at = F.instr(F.lit(MONTHS), F.lower(F.left(part["name"], F.lit(3))))
         month = F.floor((at + 2) / 3).cast("string")
-    time = part["time"]
+    year = part.get("year")
+    if year is None:
+        short = part["short"]
+        year = F.concat(F.when(short.try_cast("int") < FIRST_SHORT_YEAR, "20").otherwise("19"), short)
+    time = part.get("time", F.lit("00:00:00"))
     time = F.when(time == "", "00:00:00").when(time.rlike(r"^\d+:\d+$"), F.concat(time, F.lit(":00"))).otherwise(time)
-    moment = F.concat(part["year"], F.lit("-"), month, F.lit("-"), part["day"], F.lit(" "), time).try_cast("timestamp_ntz")
+    day = part.get("day", F.lit("1"))
+    moment = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), time).try_cast("timestamp_ntz")
     if "half" in part:
         hour = F.hour(moment)
         shift = F.when(F.lower(part["half"]) == "p", F.when(hour < 12, 12).otherwise(0)).otherwise(F.when(hour == 12, -12).otherwise(0))
@@ -195,15 +238,35 @@ def date_shape(col: Column) -> Column:
     there is a time. 8 with the name of a month, with or without a time.
     """
     fifth = F.substring(col, 5, 1)
-    family = F.when(fifth == "-", 0).when((fifth == "/") & ~F.contains(F.substring(col, 1, 3), F.lit("/")), 2)
+    family = F.when(fifth.isin("-", "."), 0).when((fifth == "/") & ~F.contains(F.substring(col, 1, 3), F.lit("/")), 2)
     early = F.substring(col, 2, 2)
     family = family.when(F.contains(early, F.lit("/")), 4)
-    named = F.lower(F.left(col, F.lit(3))).isin([MONTHS[i : i + 3] for i in range(0, 36, 3)])
-    named = named | (F.ascii(col).between(48, 57) & early.rlike("[ -]") & F.substring(col, 3, 2).rlike("[A-Za-z]"))
+    named = _begins_with_name(col) | (F.ascii(col).between(48, 57) & early.rlike("[ -]") & F.substring(col, 3, 2).rlike("[A-Za-z]"))
     dashed = F.ascii(col).between(48, 57) & early.rlike("[-.]")
     size = F.octet_length(col)  # known without reading the text; all layouts are ASCII
     timed = family.when(~named & dashed, 6) + F.when(size > 10, 1).otherwise(0)
-    return F.when(size.between(8, 40), F.when(named, 8).otherwise(timed))
+    return F.when(size.between(*DATE_SIZES), F.when(named, 8).otherwise(timed))
+
+
+DATE_SIZES = (6, 45)  # bytes of the shortest and longest cell that any layout reads
+
+
+def _begins_with_name(col: Column) -> Column:
+    names = [text[i : i + 3] for text in (MONTHS, DAYS) for i in range(0, len(text), 3)]
+    return F.lower(F.left(col, F.lit(3))).isin(names)
+
+
+def date_signature(col: Column) -> Column:
+    """The cell with a 9 for every digit and an "a" for every word where some layout has such cells, else NULL.
+
+    Layouts differ by their signatures but for the order of day and month, and there are a few hundred signatures
+    whatever the table holds, so cells can be counted by them before any layout is tried.
+    """
+    likely = F.octet_length(col).between(*DATE_SIZES) & (F.ascii(col).between(48, 57) | _begins_with_name(col))
+    digits = F.regexp_replace(col, "[0-9]", "9")
+    signature = F.regexp_replace(digits, "[A-Za-z]+", "a")
+    known = "|".join(dict.fromkeys(layout.signature for layout in DATE_FORMATS + FALLBACK_FORMATS))
+    return F.when(likely & signature.rlike(known), signature)
 
 
 def format_datetime(col: Column, pattern: str = "yyyy-MM-dd") -> Column:

@@ -1,15 +1,15 @@
 """Type inference and enforcement.
 
-One aggregate over the text columns counts, per column, how many cells read as boolean, number,
-integer or as each date layout. Both inference rules (shares of all rows for normalisation, shares of
+One aggregate over the text columns counts, per column, how many cells read as boolean, number or integer and how
+many look like each date layout; a second one, only over columns that look like dates, tries the likely layouts. Both inference rules (shares of all rows for normalisation, shares of
 non-null rows for detection) are decided on the driver from those counts, so normalising *and*
-enforcing a whole table costs a single scan and one lazy projection.
+enforcing a whole table costs at most two scans and one lazy projection.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -21,7 +21,8 @@ from ..functions.parsing import (
     NULL_TOKENS,
     TRUE_TOKENS,
     TRUE_TOKENS_EXTENDED,
-    date_shape,
+    DateFormat,
+    date_signature,
     is_integral,
     kind_of,
     null_if_token,
@@ -35,6 +36,7 @@ from .cells import quoted
 
 NORMALIZE_SHARE = 0.7  # of all rows, strictly more
 FORMAT_SHARE = 0.7  # a date layout must read more than this share
+POSSIBLE_SHARE = 0.5  # below all shares that choose a layout
 DETECT_SHARE = 0.8  # of non-null rows, at least
 LONGEST_FLAG = max(map(len, TRUE_TOKENS_EXTENDED + FALSE_TOKENS_EXTENDED))
 
@@ -95,51 +97,87 @@ class TypePlan:
 
 
 def count_cells(
-    df: DataFrame, columns: Sequence[str], tokens: Sequence[str] = NULL_TOKENS
+    df: DataFrame, columns: Sequence[str], tokens: Sequence[str] = NULL_TOKENS, forced: Sequence[str] = ()
 ) -> dict[str, CellCounts]:
-    """Counts for all text columns in one job.
+    """Counts for all text columns in one job, and in a second one for those that look like dates.
 
     The columns are unpivoted to (column, cell) rows first: the tests are then compiled once instead of
-    once per column, however wide the table is, and combined per task before a shuffle of a few rows.
+    once per column, however wide the table is, and combined per task before a shuffle of a few rows. Dates are
+    first counted by signature, which bounds what each layout can read. Only layouts that may read more than
+    ``POSSIBLE_SHARE`` of a column's cells, or any of a column in ``forced``, are then tried on the cells of that
+    column; the bound stands for the others.
     """
     layouts = DATE_FORMATS + FALLBACK_FORMATS
-    cells = df.select(F.posexplode(F.array(*map(quoted, columns))).alias("item", "raw"))
-    cell = null_if_token(F.col("raw"), tokens) if tokens else F.col("raw")
     # One projection per step: Spark keeps them apart, so each value is computed once per cell.
-    tested = (
-        cells.select("item", cell.alias("cell"))
-        .select("item", "cell", trim_text(F.col("cell")).alias("trimmed"))
-        .select(
-            "item",
-            "cell",
-            "trimmed",
-            F.when(F.octet_length("trimmed") <= LONGEST_FLAG, F.lower("trimmed")).alias("word"),
-            parse_number(F.col("cell")).alias("number"),
-            date_shape(F.col("trimmed")).alias("shape"),
-        )
+    tested = _cells(df, columns, tokens).select(
+        "item",
+        "cell",
+        "trimmed",
+        F.when(F.octet_length("trimmed") <= LONGEST_FLAG, F.lower("trimmed")).alias("word"),
+        parse_number(F.col("cell")).alias("number"),
     )
-    counted = tested.groupBy("item").agg(
+    signed = tested.select(
+        "item", "cell", "word", "number", F.when(F.col("number").isNull(), date_signature(F.col("trimmed"))).alias("signature")
+    )
+    tallies = ["rows", "present", "bools", "bools_extended", "numbers", "integers"]
+    by_signature = signed.groupBy("item", "signature").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("cell").alias("present"),
         F.count_if(F.col("word").isin(TRUE_TOKENS + FALSE_TOKENS)).alias("bools"),
         F.count_if(F.col("word").isin(TRUE_TOKENS_EXTENDED + FALSE_TOKENS_EXTENDED)).alias("bools_extended"),
         F.count("number").alias("numbers"),
         F.count_if(is_integral(F.col("number"))).alias("integers"),
-        *[
-            F.count(F.when(F.col("shape") == layout.shape, parse_datetime(F.col("trimmed"), layout))).alias(f"date{j}")
-            for j, layout in enumerate(layouts)
-        ],
     )
+    bounds = [
+        F.sum(F.when(F.col("signature").rlike(layout.signature), F.col("rows")).otherwise(0)).alias(f"date{j}")
+        for j, layout in enumerate(layouts)
+    ]
+    counted = by_signature.groupBy("item").agg(*[F.sum(name).alias(name) for name in tallies], *bounds)
     empty = CellCounts(0, 0, 0, 0, 0, 0, {layout.name: 0 for layout in layouts})
     result = dict.fromkeys(columns, empty)
     for row in counted.collect():  # one row per column
-        result[columns[row["item"]]] = CellCounts(
-            row["rows"], row["present"], row["bools"], row["bools_extended"], row["numbers"], row["integers"],
-            {layout.name: row[f"date{j}"] for j, layout in enumerate(layouts)},
-        )
+        dates = {layout.name: row[f"date{j}"] for j, layout in enumerate(layouts)}
+        result[columns[row["item"]]] = CellCounts(*[row[name] for name in tallies], dates)
+    possible = {}
+    for name, counts in result.items():
+        least = 0 if name in forced else counts.present * POSSIBLE_SHARE
+        likely = [layout for layout in layouts if counts.dates[layout.name] > least]
+        if likely:
+            possible[name] = likely
+    for name, read in _count_dates(df, possible, tokens).items():
+        result[name] = replace(result[name], dates={**result[name].dates, **read})
     return result
 
 
+def _cells(df: DataFrame, columns: Sequence[str], tokens: Sequence[str]) -> DataFrame:
+    """All cells of the columns: item (the column's place), cell (NULL for tokens) and the cell trimmed."""
+    cells = df.select(F.posexplode(F.array(*map(quoted, columns))).alias("item", "raw"))
+    cell = null_if_token(F.col("raw"), tokens) if tokens else F.col("raw")
+    return cells.select("item", cell.alias("cell")).select("item", "cell", trim_text(F.col("cell")).alias("trimmed"))
+
+
+def _count_dates(df: DataFrame, possible: Mapping[str, Sequence[DateFormat]], tokens: Sequence[str]) -> dict[str, dict[str, int]]:
+    """How many cells each possible layout reads, per column; one job, none without such columns."""
+    if not possible:
+        return {}
+    columns = list(possible)
+    items: dict[DateFormat, list[int]] = {}
+    for item, name in enumerate(columns):
+        for layout in possible[name]:
+            items.setdefault(layout, []).append(item)
+    read = [
+        F.count(F.when(F.col("item").isin(places), parse_datetime(F.col("trimmed"), layout))).alias(f"date{j}")
+        for j, (layout, places) in enumerate(items.items())
+    ]
+    counted = _cells(df, columns, tokens).groupBy("item").agg(*read).collect()  # one row per column
+    return {
+        columns[row["item"]]: {
+            layout.name: row[f"date{j}"] for j, layout in enumerate(items) if layout in possible[columns[row["item"]]]
+        }
+        for row in counted
+    }
+
+
 def _normalized_kind(counts: CellCounts) -> ColumnPlan:
     """Boolean, number, date, text, in that order, by shares of all rows."""
     share = lambda n: n / counts.rows if counts.rows else 0.0
@@ -203,7 +241,8 @@ def fit_types(
         wanted[name] = TYPE_ALIASES.get(target, target)
     text = [name for name, dtype in fields.items() if kind_of(dtype) == "text"]
     tokens = tuple(null_tokens) if normalize else ()
-    counts = count_cells(df, text, tokens) if text and (normalize or enforce) else {}
+    forced = [name for name, target in wanted.items() if target == "datetime"] if enforce else []
+    counts = count_cells(df, text, tokens, forced) if text and (normalize or enforce) else {}
 
     fractional = _fractional_columns(
         df, [n for n, t in wanted.items() if t == "int" and n in fields and n not in counts]

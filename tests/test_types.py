@@ -4,15 +4,17 @@ import string
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from sparkprep import (
     coerce_numeric, conversion_errors, detect_column_types, drop_empty_rows, enforce_types, fit_types,
     normalize_nulls, normalize_types, standardize_columns, trim_cells, validate_ranges,
 )
 from sparkprep.functions import parse_bool, parse_datetime, parse_integer, parse_number
+from sparkprep.functions.parsing import ALL_FORMATS
 from sparkprep.operators.names import standard_names
 from sparkprep.operators.types import apply_types
+from sparkprep.operators.validate import type_ok
 
 
 def column(spark, values, name="v"):
@@ -71,12 +73,61 @@ def test_parse_bool(spark):
         ("%m/%d/%Y %H:%M", "1/5/2024 13:04", datetime(2024, 1, 5, 13, 4)),
         ("iso", "2024-01-05T03:04:05.250", datetime(2024, 1, 5, 3, 4, 5, 250000)),
         ("iso utc", "2024-01-05T03:04:05Z", datetime(2024, 1, 5, 3, 4, 5)),
+        ("%m/%d/%y", "1/5/68", datetime(2068, 1, 5)),
+        ("%d/%m/%y", "31/12/69", datetime(1969, 12, 31)),
+        ("%d/%m/%y", "30/02/24", None),
+        ("%m-%d-%y", "1-2-10", None),
+        ("%Y-%m", "2024-13", None),
+        ("%b %Y", "Sept. 2024", datetime(2024, 9, 1)),
+        ("%d %b %Y", "Tues, 5 Jan 2024 03:04:05 GMT", datetime(2024, 1, 5, 3, 4, 5)),
+        ("%b %d %Y", "Friday, January 5, 2024", datetime(2024, 1, 5)),
+        ("%d %b %y", "5-Jan-24", datetime(2024, 1, 5)),
     ],
 )
 def test_parse_datetime(spark, layout, text, expected):
     assert values(column(spark, [text]).select(parse_datetime(F.col("v"), layout).alias("v"))) == [expected]
 
 
+# A cell for every layout, and one that has its signature but cannot be read.
+LAYOUT_CELLS = {
+    "%Y-%m-%d": "2024-1-25", "%m/%d/%Y": "1/25/2024", "%d/%m/%Y": "25/1/2024", "%Y/%m/%d": "2024/01/25",
+    "%Y-%m-%d %H:%M:%S": "2024-01-25 3:04:05", "%m/%d/%Y %H:%M": "1/25/2024 13:04", "iso": "2024-01-25T03:04:05.25",
+    "iso minutes": "2024-01-25T03:04", "iso utc": "2024-01-25 03:04:05+00:00", "%m/%d/%Y %H:%M:%S": "01/25/2024 03:04:05",
+    "%Y/%m/%d %H:%M:%S": "2024/01/25 03:04:05", "iso offset": "2024-01-25T03:04:05.5 -0330",
+    "%m/%d/%Y %I:%M %p": "1/25/2024 3:04 p.m.", "%m-%d-%Y": "01.25.2024", "%d-%m-%Y": "25-01-2024",
+    "%m-%d-%Y time": "01-25-2024 03:04", "%d-%m-%Y time": "25.01.2024 03:04:05", "%d %b %Y": "Thursday, 25 January 2024 03:04",
+    "%b %d %Y": "Thu. Jan. 25, 2024 03:04:05 UTC", "%m/%d/%y": "1/25/24", "%d/%m/%y": "25/1/24", "%m-%d-%y": "01-25-24",
+    "%d-%m-%y": "25-01-24", "%d %b %y": "25 Jan 24", "%d/%m/%Y %H:%M:%S": "25/01/2024 03:04:05", "%Y/%m/%d %H:%M": "2024/01/25 03:04",
+    "%Y.%m.%d": "2024.01.25", "%Y-%m": "2024-01", "%Y/%m": "2024/01", "%m/%Y": "1/2024", "%b %Y": "January 2024",
+}
+
+
+def test_every_layout_is_found_by_signature_and_by_shape(spark):
+    assert set(LAYOUT_CELLS) == set(ALL_FORMATS)
+    names = list(LAYOUT_CELLS)
+    one = spark.createDataFrame([tuple(LAYOUT_CELLS.values())], ", ".join(f"c{i} string" for i in range(len(names))))
+    read = normalize_types(one)
+    assert {t for _, t in read.dtypes} == {"timestamp_ntz"}
+    row = read.first()
+    assert {(v.year, v.month) for v in row} == {(2024, 1)}
+    assert all(v.day in (1, 25) for v in row)
+    cells = one.select(F.explode(F.array(*one.columns)).alias("cell"))
+    assert cells.where(~type_ok(F.col("cell"), T.StringType(), "datetime")).count() == 0
+
+
+def test_cells_that_only_look_like_dates(spark):
+    wrong = ["99/99/2024", "2024-13-45", "1.2.10", "10.20.30", "45 Foo 2024", "May contain nuts", "12 Main St", "2024-00", "3-4-5"]
+    columns = ", ".join(f"c{i} string" for i in range(len(wrong)))
+    assert {t for _, t in normalize_types(spark.createDataFrame([tuple(wrong)] * 3, columns)).dtypes} == {"string"}
+    # Of a forced column even rare layouts are counted by what they read, not by how the cells look.
+    cells = ["25/12/2024", "13/12/2024", "12/30/2024"] + ["word"] * 9
+    typed, _ = enforce_types(column(spark, cells), {"v": "datetime"})
+    assert values(typed)[:3] == [datetime(2024, 12, 25), datetime(2024, 12, 13), None]
+    assert values(normalize_types(column(spark, ["25/12/2024"] * 8 + ["word"] * 2)))[0] == datetime(2024, 12, 25)
+    empty = normalize_types(spark.createDataFrame([], "v string"))
+    assert (empty.dtypes, empty.count()) == ([("v", "string")], 0)
+
+
 def test_cells(spark):
     df = spark.createDataFrame([(" a ", None), ("", "null"), (None, None)], "x string, y string")
     assert [tuple(r) for r in trim_cells(df).collect()] == [("a", None), ("", "null"), (None, None)]
