@@ -2,12 +2,12 @@
 
 A rule is a host and the beginning of a path; it fits its host and all subdomains, and the longest fitting rule
 decides. Where none fits, the host decides: allowed pages make their host a trusted seed and blocked ones a blocked seed,
-by their share of the host's pages. Rounds scale a seed by ``1 - DAMPING``, with links or without. Trust flows along links;
-distrust flows against them, since whoever links to a blocked host is suspect. Both are means over a host's own links:
-distrust is the blocked share expected where a walk from the host along its links stops (after each step with
-probability ``1 - DAMPING``), trust the trusted share for a walk against links. So neither shrinks with the number of
-hosts that link to the same one. A host is blocked if its
-distrust is at least that of a share of ``LEAST`` and more than ``THRESHOLD`` of both together; a host without evidence is allowed.
+by their share of the host's pages. Personalised PageRank starts from the trusted seeds and goes along links, and from the
+blocked seeds against them, since whoever links to a blocked host is suspect; a host's rank is divided among the hosts
+that it goes to. Ranks shrink where many hosts share one, so they are held against the same walk started from all hosts alike:
+of what links bring to a host, the part that began at trusted (blocked) seeds. That part lies between 0 and 1 whatever the size of the
+graph. A host's trust and distrust are ``1 - DAMPING`` of its own share plus ``DAMPING`` of that part. A host is blocked if its
+distrust is at least that of an own share of ``LEAST`` and more than ``THRESHOLD`` of both together; a host without evidence is allowed.
 
 Pages are read twice, by column: links once, urls once. Links are reduced to edges between hosts with a count
 before anything iterates; each round is one join and one sum over edges, and its result is written to the shared
@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .text import column, if_small, keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)(?:href|src)\s{0,8}=\s{0,8}["']?\s{0,8}(?:[a-z][a-z0-9+.-]{0,15}:)?//([^/?#"'\s<>]+)"""
+LINK = r"""(?i)(?:href|src)\s*+=\s*+["']?\s*+(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s<>]+)"""
 
-#: Share of a score that is passed on in each round, and rounds.
+#: Share of a rank that is passed on in each round, and rounds (at least one).
 DAMPING = 0.7
 ROUNDS = 12
 
 THRESHOLD = 0.5
-#: The blocked share of a host's own pages that suffices without links; the rounds give it the score (1 - DAMPING) * LEAST.
+#: The blocked share of a host's own pages that suffices without links; its score is (1 - DAMPING) * LEAST.
 LEAST = 0.05
 
 #: Blocked hosts (some 50 bytes each) up to which they are broadcast.
@@ -83,36 +83,36 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return pairs.where("dst is not null and src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, shared: bool = True
-) -> DataFrame:
-    """Trust and distrust of every host, from seeds (host, trusted, blocked) over edges (src, dst, n).
-
-    ``shared``: a host's score is divided among those that it goes to, as PageRank does; else a host gets the mean of
-    those that its scores come from, and no score depends on how many others there are.
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """Per host, from seeds (host, trusted, blocked) over edges (src, dst, n): trust_rank and distrust_rank, the
+    personalised PageRanks along links and against them, and trust and distrust, which no number of hosts makes smaller.
     """
     edges = keep(edges, "url-edges")
     none = F.lit(0.0)
+    part = F.col("n") / F.col("all_n")
+    step = lambda a, b, t, d: (F.col(a).alias("from"), F.col(b).alias("to"), t.alias("t"), d.alias("d"))
     outward = edges.groupBy("src").agg(F.sum("n").alias("all_n"))
     inward = edges.groupBy("dst").agg(F.sum("n").alias("all_n"))
-    giver, taker = (outward, "src"), (inward, "dst")
-    if not shared:
-        giver, taker = taker, giver
-    along = edges.join(*giver).select(
-        F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("n") / F.col("all_n")).alias("t"), none.alias("d"))
-    against = edges.join(*taker).select(
-        F.col("dst").alias("from"), F.col("src").alias("to"), none.alias("t"), (F.col("n") / F.col("all_n")).alias("d"))
+    along = edges.join(outward, "src").select(*step("src", "dst", part, none))
+    against = edges.join(inward, "dst").select(*step("dst", "src", none, part))
     steps = keep(along.union(against), "url-steps")
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     seeds = keep(hosts.join(seeds, "host", "left").na.fill(0.0, ["trusted", "blocked"]), "url-seeds")
-    state = seeds.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
+    # Each rank (what seeds it, which weight carries it), and the same walk from all hosts alike.
+    ranks = {"trust": (F.col("trusted"), "t"), "distrust": (F.col("blocked"), "d")}
+    ranks |= {f"any_{name}": (F.lit(1.0), weight) for name, (_, weight) in ranks.items()}
+    state = seeds.select("host", *[seed.alias(name) for name, (seed, _) in ranks.items()])
     for _ in range(rounds):
         flow = steps.join(state, steps["from"] == state["host"]).groupBy("to").agg(
-            F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
-        after = seeds.join(flow, seeds["host"] == flow["to"], "left")
-        new = lambda seed, got: (1 - damping) * F.col(seed) + damping * F.coalesce(got, none)
-        state = keep(after.select("host", new("trusted", "t").alias("trust"), new("blocked", "d").alias("distrust")), "url-state")
-    return state
+            *[F.sum(F.col(weight) * F.col(name)).alias(f"{name}_in") for name, (_, weight) in ranks.items()])
+        after = seeds.join(flow, seeds["host"] == flow["to"], "left").na.fill(0.0, [f"{name}_in" for name in ranks])
+        state = keep(after.select("host", "trusted", "blocked", *[f"{name}_in" for name in ranks], *[
+            ((1 - damping) * seed + damping * F.col(f"{name}_in")).alias(name) for name, (seed, _) in ranks.items()
+        ]), "url-state")
+    linked = lambda name: F.when(F.col(f"any_{name}_in") > 0, F.col(f"{name}_in") / F.col(f"any_{name}_in")).otherwise(none)
+    score = lambda name: ((1 - damping) * ranks[name][0] + damping * linked(name)).alias(name)
+    return state.select(
+        "host", F.col("trust").alias("trust_rank"), F.col("distrust").alias("distrust_rank"), score("trust"), score("distrust"))
 
 
 def judge(pages: DataFrame, rules, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -121,7 +121,7 @@ def judge(pages: DataFrame, rules, page: str = "page_id", url: str = "url", html
     ruled = seen.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     share = lambda allow: F.avg(F.coalesce((F.col("r.allow") == allow).cast("double"), F.lit(0.0)))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trusted"), share(False).alias("blocked"))
-    state = propagate(keep(seeds, "url-hosts"), host_edges(pages, url, html), shared=False)
+    state = propagate(keep(seeds, "url-hosts"), host_edges(pages, url, html))
     suspect = (F.col("distrust") >= (1 - DAMPING) * LEAST) & (F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")))
     blocked = keep(state.where(suspect).select("host", F.lit(True).alias("suspect")), "url-blocked")
     judged = ruled.join(if_small(blocked, BROADCAST_HOSTS), "host", "left")

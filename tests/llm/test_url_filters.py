@@ -1,3 +1,4 @@
+import random
 import re
 
 from sparkprep.llm import url_filters as u
@@ -30,18 +31,63 @@ def test_hosts_paths_and_rules(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == urls.get(url, ("", "", None, "allow"))
 
 
-def plain(seeds, edges, rounds=u.ROUNDS, damping=u.DAMPING):
-    hosts = set(seeds) | {x for e in edges for x in e}
-    out = {h: sum(n for (a, _), n in edges.items() if a == h) for h in hosts}
-    into = {h: sum(n for (_, b), n in edges.items() if b == h) for h in hosts}
-    trust = {h: seeds.get(h, (0, 0))[0] for h in hosts}
-    distrust = {h: seeds.get(h, (0, 0))[1] for h in hosts}
+def walk(steps, hosts, seed, rounds=u.ROUNDS, damping=u.DAMPING):
+    """PageRank over steps {(from, to): weight} by hand: the rank, and what links brought in the last round."""
+    total = {h: sum(n for (a, _), n in steps.items() if a == h) for h in hosts}
+    rank = dict(seed)
     for _ in range(rounds):
-        t = {h: sum(n / out[a] * trust[a] for (a, b), n in edges.items() if b == h) for h in hosts}
-        d = {h: sum(n / into[b] * distrust[b] for (a, b), n in edges.items() if a == h) for h in hosts}
-        trust = {h: (1 - damping) * seeds.get(h, (0, 0))[0] + damping * t[h] for h in hosts}
-        distrust = {h: (1 - damping) * seeds.get(h, (0, 0))[1] + damping * d[h] for h in hosts}
-    return trust, distrust
+        got = dict.fromkeys(hosts, 0.0)
+        for (a, b), n in steps.items():
+            got[b] += n / total[a] * rank[a]
+        rank = {h: (1 - damping) * seed[h] + damping * got[h] for h in hosts}
+    return rank, got
+
+
+def plain(seeds, edges):
+    """host: (trust_rank, distrust_rank, trust, distrust)."""
+    hosts = set(seeds) | {x for e in edges for x in e}
+    sides = []
+    for k, steps in enumerate((edges, {(b, a): n for (a, b), n in edges.items()})):
+        seed = {h: seeds.get(h, (0, 0))[k] for h in hosts}
+        rank, got = walk(steps, hosts, seed)
+        _, every = walk(steps, hosts, dict.fromkeys(hosts, 1.0))
+        part = {h: got[h] / every[h] if every[h] else 0.0 for h in hosts}
+        sides.append((rank, {h: (1 - u.DAMPING) * seed[h] + u.DAMPING * part[h] for h in hosts}))
+    return {h: (sides[0][0][h], sides[1][0][h], sides[0][1][h], sides[1][1][h]) for h in hosts}
+
+
+def plain_verdicts(rows, rules):
+    """The whole operator by hand, for urls with a scheme and a host."""
+    split = {r[0]: re.fullmatch(r"[^:]*://([^/?#]*)([^?#]*).*", r[1]).groups() for r in rows}
+    fits = {}
+    for key, (host, path) in split.items():
+        found = [r for r in rules if (host.lower() == r.text.split("/")[0] or host.lower().endswith("." + r.text.split("/")[0]))
+                 and path.startswith("/" + r.text.split("/", 1)[1])]
+        fits[key] = max(found, key=lambda r: len(r.text)).allow if found else None
+    by_host, edges = {}, {}
+    for key, _, html, *_ in rows:
+        src = split[key][0].lower()
+        by_host.setdefault(src, []).append(fits[key])
+        for dst in {x.lower() for x in re.findall('"(?:[a-z]+:)?//([^/"]*)', html)} - {src}:
+            edges[src, dst] = edges.get((src, dst), 0) + 1
+    seeds = {h: (sum(x is True for x in v) / len(v), sum(x is False for x in v) / len(v)) for h, v in by_host.items()}
+    scores = plain(seeds, edges)
+    least = (1 - u.DAMPING) * u.LEAST
+    bad = {h for h, (_, _, t, d) in scores.items() if d >= least - 1e-12 and d > u.THRESHOLD * (t + d)}
+    return {k: "allow" if (fits[k] if fits[k] is not None else split[k][0].lower() not in bad) else "block" for k in split}
+
+
+def test_verdicts_on_random_graphs(spark):
+    rng = random.Random(4)
+    for size in (6, 25):
+        hosts = [f"h{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(size)]
+        rows = []
+        for i in range(8 * size):
+            links = [f"http://{rng.choice(hosts)}/{rng.choice(['de', 'en'])}/" for _ in range(rng.choice([0, 0, 1, 3]))]
+            rows.append(page(i, f"http://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'en', 'fr'])}/{i}", *links))
+        got = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+        assert got == plain_verdicts(rows, RULES)
+        assert set(got.values()) == {"allow", "block"}
 
 
 def test_links_carry_trust_and_distrust(spark):
@@ -59,9 +105,10 @@ def test_links_carry_trust_and_distrust(spark):
     assert edges == want
     seeds = spark.createDataFrame([("bad.com", 0.0, 1.0), ("good.org", 1.0, 0.0), ("farm0.net", 0.0, 0.0)], "host string, trusted double, blocked double")
     edge_rows = spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, n long")
-    trust, distrust = plain({"bad.com": (0, 1), "good.org": (1, 0), "farm0.net": (0, 0)}, want)
-    for r in u.propagate(seeds, edge_rows).collect():
-        assert abs(r["trust"] - trust[r["host"]]) < 1e-9 and abs(r["distrust"] - distrust[r["host"]]) < 1e-9
+    want = plain({"bad.com": (0, 1), "good.org": (1, 0), "farm0.net": (0, 0)}, want)
+    found = {r["host"]: (r["trust_rank"], r["distrust_rank"], r["trust"], r["distrust"]) for r in u.propagate(seeds, edge_rows).collect()}
+    assert set(found) == set(want)
+    assert all(abs(x - y) < 1e-9 for h in want for x, y in zip(found[h], want[h]))
     verdict = {r["page_id"]: r["verdict"] for r in u.judge(df, RULES).collect()}
     assert verdict[20] == verdict[12] == "block" and verdict[30] == verdict[31] == "allow"
 
@@ -86,3 +133,9 @@ def test_distrust_does_not_shrink_with_the_number_of_linkers(spark):
     verdict = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
     assert all(verdict[1000 + i] == "block" for i in range(3000))
     assert verdict[100] == "block" and verdict[101] == "allow"
+
+
+def test_links_with_many_blanks_and_long_schemes(spark):
+    html = "<a href" + " " * 30 + "=" + " " * 30 + '"' + "x" * 40 + "://Far.net/a\">" + "href = " * 20_000 + "</a>"
+    edges = u.host_edges(spark.createDataFrame([(1, "http://a.net/", html, 1, "s"), (2, "http://b.net/", None, 1, "s")], SCHEMA))
+    assert [tuple(r) for r in edges.collect()] == [("a.net", "far.net", 1)]
