@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from sparkprep import (
@@ -131,6 +133,29 @@ def profile_correlation(t):
     return found.withColumn("correlation", F.round("correlation", 6))
 
 
+# Sixty columns made from a row, each with other gaps; the last one is constant.
+WIDE = {
+    f"c{i}": f"CASE WHEN (l_partkey + {i}) % {i + 3} <> 0 THEN CAST(l_quantity * {i % 5} + l_extendedprice * {i % 3} "
+    f"+ (l_orderkey * {i + 1}) % {11 + i} * 100 + 1 AS DOUBLE) END"
+    for i in range(59)
+} | {"c59": "CAST(0.1 AS DOUBLE)"}
+_WIDE_PAIRS = ", ".join(
+    f"{{'column_a': '{a}', 'column_b': '{b}', 'correlation': "
+    + ("NULL::DOUBLE" if b == "c59" else f"round(corr({a}, {b}), 6)::DOUBLE") + "}"
+    for a, b in combinations(WIDE, 2)
+)
+
+
+@query(
+    f"SELECT r.column_a, r.column_b, r.correlation FROM (SELECT unnest([{_WIDE_PAIRS}]) AS r FROM (SELECT "
+    + ", ".join(f"{text} AS {name}" for name, text in WIDE.items()) + " FROM lineitem))"
+)
+def profile_correlation_wide(t):
+    """1,770 pairs, each over the rows where both columns are known, in one pass of matrix products."""
+    found = correlations(t.lineitem.select(*[F.expr(text).alias(name) for name, text in WIDE.items()]))
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
 @query("""
 SELECT * FROM (
   SELECT 'event_id' AS column, 'unique' AS alert, count(*)::DOUBLE AS value, true AS raised FROM {dirty_events}

@@ -11,6 +11,8 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.parsing import kind_of
@@ -317,7 +319,7 @@ def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 # ---- relations and warnings ---------------------------------------------------------------------
 
-PAIRS = 300  # pairs of columns in one aggregate
+PAIRS = 300  # pairs of columns up to which one aggregate holds them all
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -334,11 +336,63 @@ def _pearson(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float
     pairs = list(combinations(names, 2))
     if not pairs:
         return {}
-    found = {}
-    for start in range(0, len(pairs), PAIRS):
-        some = pairs[start : start + PAIRS]
-        row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(some)]).first()
-        found.update({pair: row[i] for i, pair in enumerate(some)})
+    if len(pairs) > PAIRS:
+        return _pearson_of_many(df, names)
+    row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return {pair: row[i] for i, pair in enumerate(pairs)}
+
+
+CONSTANT = 1e-12  # share of a sum of squares that rounding may leave of a spread of zero
+
+
+def _pearson_of_many(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """All pairs in one pass over the rows, after one that finds where the columns lie.
+
+    Each task multiplies its batches into matrices of columns by columns (32 bytes for each pair, whatever the number of
+    rows) and gives one row of sums for each pair. Columns are moved to their means and scaled to at most 1 first, so the
+    sums of distant or huge values keep their digits.
+    """
+    numbers = df.select(*[quoted(name).cast("double").alias(f"c{i}") for i, name in enumerate(names)])
+    places = numbers.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in numbers.columns for f in (F.min, F.max, F.avg)]).first()
+    low, high, mean = (np.array([np.nan if v is None else v for v in places[k::3]], dtype=float) for k in range(3))
+    with np.errstate(invalid="ignore"):
+        middle = np.where(low == high, low, mean)
+        scale = np.maximum(high - middle, middle - low)
+    scale[~(scale > 0)] = 1.0
+
+    def products(batches):
+        known_known = 0  # rows where both are known; then sums of x, of x squared and of x times y over those rows
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            known = ~np.isnan(x)
+            with np.errstate(invalid="ignore"):
+                x = np.where(known, (x - middle) / scale, 0.0)
+            known = known.astype(float)
+            if isinstance(known_known, int):
+                known_known, sums, squares, crossed = (np.zeros((x.shape[1],) * 2) for _ in range(4))
+            known_known += known.T @ known
+            sums += x.T @ known
+            squares += (x * x).T @ known
+            crossed += x.T @ x
+        if isinstance(known_known, int):
+            return
+        for i in range(len(known_known) - 1):
+            j = slice(i + 1, None)
+            yield pd.DataFrame({
+                "i": i, "j": np.arange(i + 1, len(known_known)), "n": known_known[i, j], "x": sums[i, j], "y": sums[j, i],
+                "xx": squares[i, j], "yy": squares[j, i], "xy": crossed[i, j],
+            })
+
+    parts = ["n", "x", "y", "xx", "yy", "xy"]
+    schema = "i int, j int, " + ", ".join(f"{part} double" for part in parts)
+    added = numbers.mapInPandas(products, schema).groupBy("i", "j").agg(*[F.sum(part).alias(part) for part in parts])
+    spread = lambda sum_, square: F.col(square) - F.col(sum_) * F.col(sum_) / F.col("n")
+    real = lambda sum_, square: spread(sum_, square) > CONSTANT * F.col(square)
+    together = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    value = F.when(real("x", "xx") & real("y", "yy"), F.try_divide(together, F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy"))))
+    found = dict.fromkeys(combinations(names, 2))
+    for row in added.where("n > 0").select("i", "j", value.alias("value")).collect():  # one row per pair of columns
+        found[names[row["i"]], names[row["j"]]] = row["value"]
     return found
 
 

@@ -1,7 +1,9 @@
 """Validation, quality, profiles, vectors."""
 
 import math
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -210,3 +212,29 @@ def test_vectorize_errors(spark):
         vectorize(spark.range(3), "magic")
     with pytest.raises(ValueError):
         vectorize(spark.range(0))
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 26))
+    base[:, 1] = base[:, 0] * 1e-9 + 1e9  # far from zero
+    base[:, 2] = -base[:, 0] * 1e200  # squares would overflow
+    base[:, 3] = 0.1  # constant
+    base[rng.random(base.shape) < 0.2] = np.nan
+    base[:, 4] = np.nan
+    base[:, 5] = np.where(np.arange(300) == 7, 3.0, np.nan)  # known once
+    base[:150, 6], base[150:, 7] = np.nan, np.nan  # never known together
+    base[:, 8] = np.where(np.isnan(base[:, 9]), base[:, 8], 0.3)  # constant where the next column is known
+    names = [f"a.{i}" for i in range(26)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in base], ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    found = {(r["column_a"], r["column_b"]): r["correlation"] for r in correlations(df).collect()}
+    assert list(found) == list(combinations(names, 2))
+    for (a, b), value in found.items():
+        i, j = names.index(a), names.index(b)
+        both = ~np.isnan(base[:, i]) & ~np.isnan(base[:, j])
+        x, y = base[both, i] / (1e200 if i == 2 else 1), base[both, j] / (1e200 if j == 2 else 1)
+        if len(x) < 2 or len(set(x)) == 1 or len(set(y)) == 1:
+            assert value is None, (a, b, value)
+        else:
+            assert value == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6), (a, b)
+    assert {r["correlation"] for r in correlations(df.limit(0)).collect()} == {None}
