@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.parsing import trim_text
 from ..operators.cells import quoted
@@ -37,42 +37,52 @@ def read_markdown_tables(spark: SparkSession, path: str | Sequence[str]) -> Data
     return markdown_rows(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
+RULE_LINE = r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$"
+
+
 def markdown_rows(docs: DataFrame) -> DataFrame:
     """Rows of the pipe tables in documents (path, text): path, table, row, header, cells.
 
-    ``table`` counts the tables of a document. A table is a header line, a line of dashes and the pipe
-    lines that follow. Windows run inside one document, which is one text cell to begin with.
+    ``table`` counts the tables of a document that have rows. A table is a header line, a line of dashes and the pipe
+    lines that follow. All work stays in the document's own row, each line is looked at a fixed number of times, and
+    nothing is shuffled. A null text has no tables.
     """
-    lines = docs.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    in_file = Window.partitionBy("path").orderBy("line_no")
-    line = F.trim("line")
-    dashes = line.rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$") & F.contains(line, F.lit("|"))
-    marked = lines.select(
-        "path",
-        "line_no",
-        "line",
-        F.contains(line, F.lit("|")).alias("is_pipe"),
-        dashes.alias("is_rule"),
-    ).withColumn("starts", F.col("is_pipe") & ~F.col("is_rule") & F.lead("is_rule", 1, False).over(in_file))
+    pipe = lambda line: F.contains(line, F.lit("|"))
+    rule = lambda line: pipe(line) & F.trim(line).rlike(RULE_LINE)
+    read = lambda line: F.struct(line.alias("text"), pipe(line).alias("pipe"), rule(line).alias("rule"))
+    lines = _settled(docs, F.transform(F.split("text", "\r?\n"), read), "lines")
+    following = F.slice("lines", F.lit(2), F.size("lines"))
     # A new block starts at a header line and wherever a line has no pipe.
-    block = F.sum(F.when(F.col("starts") | ~F.col("is_pipe"), 1).otherwise(0)).over(in_file)
-    blocks = marked.withColumn("block", block)
-    in_block = Window.partitionBy("path", "block").orderBy("line_no")
-    cells = F.transform(
-        F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.trim(c)
+    starts = F.zip_with("lines", following, lambda a, b: a["pipe"] & ~a["rule"] & F.coalesce(b["rule"], F.lit(False)))
+    cuts = F.zip_with(
+        F.transform("lines", lambda line, i: F.struct(i.alias("at"), line["pipe"].alias("pipe"))), starts,
+        lambda line, begins: F.struct(line["at"].alias("at"), begins.alias("begins"), (begins | ~line["pipe"]).alias("cut")),
+    )
+    blocks = _settled(lines, F.filter(cuts, lambda c: c["cut"]), "blocks", "lines")
+    ends = F.slice("blocks", F.lit(2), F.size("blocks"))
+    spans = F.zip_with(
+        "blocks", ends, lambda a, b: F.struct(a["begins"].alias("begins"), a["at"].alias("at"), b["at"].alias("end"))
     )
-    tables = (
-        blocks.withColumn("header", F.first(F.when(F.col("starts"), cells), ignorenulls=True).over(in_block))
-        .where(F.col("header").isNotNull() & F.col("is_pipe") & ~F.col("is_rule") & ~F.col("starts"))
-        .withColumn("cells", cells)
+    spans = _settled(blocks, F.filter(spans, lambda x: x["begins"]), "spans", "lines")
+    found = F.transform("spans", lambda x: F.slice(
+        "lines", x["at"] + 1, F.coalesce(x["end"], F.size("lines")) - x["at"]))
+    cells = lambda line: F.transform(
+        F.split(F.regexp_replace(F.trim(line["text"]), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.trim(c)
     )
+    tables = F.transform(found, lambda block: F.struct(
+        cells(F.get(block, F.lit(0))).alias("header"),
+        F.transform(F.filter(F.slice(block, F.lit(2), F.size(block)), lambda line: ~line["rule"]), cells).alias("rows"),
+    ))
+    tables = spans.select("path", F.posexplode(F.filter(tables, lambda x: F.size(x["rows"]) > 0)).alias("table", "found"))
     return tables.select(
-        "path",
-        (F.dense_rank().over(Window.partitionBy("path").orderBy("block")) - 1).alias("table"),
-        (F.row_number().over(in_block) - 1).alias("row"),
-        "header",
-        "cells",
-    )
+        "path", "table", F.col("found.header").alias("header"), F.posexplode("found.rows").alias("row", "cells")
+    ).select("path", "table", "row", "header", "cells")
+
+
+def _settled(df: DataFrame, value: Column, name: str, *keep: str) -> DataFrame:
+    """``path``, the columns to keep and a value that is computed once: as the one item of an exploded array, so that
+    the optimiser does not write its expression into the functions that run for every line."""
+    return df.select("path", *keep, F.explode(F.array(value)).alias(name))
 
 
 def markdown_table(rows: DataFrame, header: Sequence[str]) -> DataFrame:

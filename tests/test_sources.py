@@ -1,4 +1,6 @@
 import json
+import random
+import re
 import zipfile
 
 import pytest
@@ -10,6 +12,7 @@ from sparkprep import (
 )
 from sparkprep.operators.convert import csv_to_json, json_to_csv
 from sparkprep.sources import markdown_table, sniff_separator
+from sparkprep.sources.text import markdown_rows
 
 
 def put(tmp_path, name, text, binary=False):
@@ -324,3 +327,39 @@ def test_csv_folder_maps_columns_by_name(spark, tmp_path):
     put(tmp_path, "in/d.csv", "a,c\n5,v\n")
     with pytest.raises(ValueError, match="columns"):
         read_csv(spark, str(tmp_path / "in"))
+
+
+def plain_tables(text):
+    """(table, row, header, cells) of a document, by a loop over its lines."""
+    rule = lambda x: "|" in x and re.match(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$", x.strip(" "))
+    cells = lambda x: [c.strip(" ") for c in re.split(r"(?<!\\)\|", re.sub(r"^\||\|$", "", x.strip(" ")))]
+    lines, header, tables = re.split("\r?\n", text), None, []
+    for at, line in enumerate(lines):
+        if "|" not in line:
+            header = None
+        elif not rule(line) and at + 1 < len(lines) and rule(lines[at + 1]):
+            header = cells(line)
+            tables.append((header, []))
+        elif header is not None and not rule(line):
+            tables[-1][1].append(cells(line))
+    full = [t for t in tables if t[1]]
+    return [(k, i, head, row) for k, (head, rows) in enumerate(full) for i, row in enumerate(rows)]
+
+
+def test_markdown_tables_stay_in_their_row(spark):
+    rng = random.Random(9)
+    kinds = ["a | b", "|x|y|z|", "|---|---|", ":-: | -", "text", "", "| p \\| q | r |", "---", " |1| 2|", "|"]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    texts += ["", "|a|b|\r\n|-|-|\r\n|1|2|", "|a|\n|-|", "|h|g|\n|-|-|\n" + "| 1 | 2 |\n" * 20_000]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("null", None)], "path string, text string")
+    rows = markdown_rows(docs)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r["path"], []).append((r["table"], r["row"], r["header"], r["cells"]))
+    want = {str(i): plain_tables(t) for i, t in enumerate(texts)}
+    assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in want.items() if v}
+    # Documents of the same name stay apart.
+    twice = markdown_rows(spark.createDataFrame([("p", "|a|b|\n|-|-|\n|1|2|")] * 2, "path string, text string"))
+    assert [(r["table"], r["row"], r["cells"]) for r in twice.collect()] == [(0, 0, ["1", "2"])] * 2
+    assert markdown_rows(docs.limit(0)).count() == 0
