@@ -64,6 +64,17 @@ def csv_scan_separator(t):
     return _typed(read_any(t.spark, f"{t.scratch}/orders.csv"), t.orders)
 
 
+@query("SELECT c_custkey, c_name || ' Ærøskøbing é' AS c_name, c_mktsegment FROM customer")
+def csv_scan_encodings(t):
+    """One folder of files in UTF-8, UTF-16 and ISO-8859-1, each read in its own encoding."""
+    key = F.col("c_custkey")
+    named = t.customer.select("c_custkey", F.concat("c_name", F.lit(" Ærøskøbing é")).alias("c_name"), "c_mktsegment")
+    for i, encoding in enumerate(["UTF-8", "UTF-16", "ISO-8859-1"]):
+        part = named.where(key % 3 == i)
+        part.write.mode("append").options(header=True, encoding=encoding).csv(f"{t.scratch}/customer")
+    return read_csv(t.spark, f"{t.scratch}/customer", encoding=None).withColumn("c_custkey", key.cast("bigint"))
+
+
 @query("SELECT count(*) AS rows_initial, CAST(0 AS BIGINT) AS duplicates_removed, CAST(6 AS INTEGER) AS columns FROM orders")
 def clean_folder(t):
     """A whole run over a folder of CSV files with another separator."""

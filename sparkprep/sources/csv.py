@@ -16,7 +16,13 @@ SEPARATORS = [",", ";", "\t", "|"]
 
 
 def _options(sep: str, encoding: str) -> dict[str, str]:
-    return {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    return options | ({"multiLine": "true"} if _wide(encoding) else {})
+
+
+def _wide(encoding: str) -> bool:
+    """Whether a line feed is more than one byte, so that a file cannot be split at that byte."""
+    return encoding.upper().startswith("UTF-16")
 
 
 @contextmanager
@@ -74,6 +80,46 @@ def scan_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "
     return any(row["odd"] for row in rows), headers
 
 
+def detect_encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """Files by encoding: by byte-order mark, by zero bytes in the first line, by whether all bytes are valid UTF-8.
+
+    What is neither UTF-16 nor valid UTF-8 anywhere in the file is taken as ISO-8859-1, which can hold any bytes; other encodings
+    of one byte a character are not told apart from it. One pass over the bytes of all lines; one row for each file
+    comes back. Files without bytes are left out.
+    """
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 3))
+    first = F.struct(mark.alias("mark"), F.instr("value", "\0").alias("zero"))
+    with _missing_file(path):
+        lines = spark.read.text(path)  # the reader hands on the bytes as they are
+    seen = lines.select(
+        F.col("_metadata.file_path").alias("file"), place.alias("place"), first.alias("first"), F.is_valid_utf8("value").alias("valid")
+    )
+    files = seen.groupBy("file").agg(F.min_by("first", "place").alias("first"), F.bool_and("valid").alias("valid"))
+    found: dict[str, list[str]] = {}
+    for row in files.orderBy("file").collect():
+        mark, zero = row["first"]
+        if mark.startswith(("FFFE", "FEFF")):
+            encoding = "UTF-16"
+        elif zero and not mark.startswith("EFBBBF"):
+            encoding = "UTF-16BE" if zero == 1 else "UTF-16LE"
+        else:
+            encoding = "UTF-8" if row["valid"] else "ISO-8859-1"
+        found.setdefault(encoding, []).append(row["file"])
+    return found
+
+
+def _by_encoding(spark: SparkSession, found: dict[str, list[str]], header: Sequence[str] | None, sep: str, **options) -> DataFrame:
+    """Files of several encodings as one table, with the columns of the first file."""
+    groups = sorted(found.items(), key=lambda group: group[1][0])
+    parts = [read_csv(spark, files, sep=sep, encoding=encoding, header=header, **options) for encoding, files in groups]
+    names = parts[0].columns
+    for (_, files), part in zip(groups, parts):
+        if sorted(part.columns) != sorted(names):
+            raise ValueError(f"files do not share their columns: {files[0]} has {part.columns}, others have {names}")
+    return reduce(DataFrame.unionAll, [p.select(*[F.col("`" + n.replace("`", "``") + "`") for n in names]) for p in parts])
+
+
 def has_line_breaks(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> bool:
     """Whether a quoted cell may go over several lines."""
     return scan_lines(spark, path, encoding)[0]
@@ -104,7 +150,7 @@ def read_csv(
     *,
     on_bad_lines: str = "skip",
     sep: str | None = ",",
-    encoding: str = "UTF-8",
+    encoding: str | None = "UTF-8",
     multi_line: bool | None = None,
     header: Sequence[str] | None = None,
     null_tokens: Sequence[str] = READER_NULL_TOKENS,
@@ -113,7 +159,7 @@ def read_csv(
     """Read CSV files, a folder or a list of files that share a header, as text columns.
 
     ``skip``: lines with more fields than the header are left out, however many, shorter ones padded with
-    NULL. ``strict``: any line whose number of fields differs is left out. Reader null tokens become NULL,
+    NULL. ``encoding=None`` finds each file's encoding (``detect_encodings``); UTF-16 takes one task per file. ``strict``: any line whose number of fields differs is left out. Reader null tokens become NULL,
     fully empty rows disappear, cells are trimmed. ``sep=None`` looks for the separator in the header.
     Line breaks inside quotes take one task per file; whether there are any is looked up in the lines
     first, unless ``multi_line`` says so. Files without a header line need their names in ``header``.
@@ -126,6 +172,14 @@ def read_csv(
     path = path if isinstance(path, str) else list(path)
     if sep is None:
         sep = sniff_separator(spark, path)
+    if encoding is None:
+        found = detect_encodings(spark, path)
+        if len(found) > 1:
+            options = {"on_bad_lines": on_bad_lines, "multi_line": multi_line, "null_tokens": null_tokens, "same_header": same_header}
+            return _by_encoding(spark, found, header, sep, **options)
+        encoding = next(iter(found), "UTF-8")
+    if _wide(encoding):
+        multi_line = True
     names = list(header) if header else read_header(spark, path, sep, encoding)
     if multi_line is None or not (header or same_header):
         broken, headers = scan_lines(spark, path, encoding)
@@ -135,7 +189,7 @@ def read_csv(
             return _by_name(spark, headers, names, sep, encoding, **options)
     positions = [f"_c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*positions, "_damaged"]])
-    reader = spark.read.options(**_options(sep, encoding), multiLine=str(multi_line).lower()).schema(schema)
+    reader = spark.read.options(**_options(sep, encoding) | {"multiLine": str(multi_line).lower()}).schema(schema)
     raw = reader.option("columnNameOfCorruptRecord", "_damaged").csv(path, header=header is None)
     fits = F.col("_damaged").isNull()
     if on_bad_lines == "skip":

@@ -12,6 +12,7 @@ from sparkprep import (
 )
 from sparkprep.operators.convert import csv_to_json, json_to_csv
 from sparkprep.sources import markdown_table, sniff_separator
+from sparkprep.sources.csv import detect_encodings
 from sparkprep.sources.text import markdown_rows
 
 
@@ -363,3 +364,24 @@ def test_markdown_tables_stay_in_their_row(spark):
     twice = markdown_rows(spark.createDataFrame([("p", "|a|b|\n|-|-|\n|1|2|")] * 2, "path string, text string"))
     assert [(r["table"], r["row"], r["cells"]) for r in twice.collect()] == [(0, 0, ["1", "2"])] * 2
     assert markdown_rows(docs.limit(0)).count() == 0
+
+
+def test_csv_encodings_are_found_for_each_file(spark, tmp_path):
+    text = "name,city\nJosé,Århus\nZoë,\"Kö,ln\"\n"
+    written = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
+    want = [("José", "Århus"), ("Zoë", "Kö,ln")]
+    for name in written:
+        path = put(tmp_path, f"{name}.csv", text.encode(name), True)
+        assert list(detect_encodings(spark, path)) == [written[name]], name
+        df = read_csv(spark, path, encoding=None)
+        assert (df.columns, [tuple(r) for r in df.collect()]) == (["name", "city"], want), name
+    # A byte that is not UTF-8 in the last line decides as well; another order of columns; a file without bytes.
+    put(tmp_path, "late.csv", b"city,name\n" + b"Rome,Ann\n" * 5000 + b"K\xf6ln,Zo\xeb\n", True)
+    put(tmp_path, "none.csv", b"", True)
+    rows = read_csv(spark, str(tmp_path), encoding=None).groupBy("name", "city").count().collect()
+    assert {(r["name"], r["city"]): r["count"] for r in rows} == {want[0]: 6, want[1]: 6, ("Ann", "Rome"): 5000, ("Zoë", "Köln"): 1}
+    put(tmp_path, "other.csv", "name,town\nJosé,x\n".encode("latin-1"), True)
+    with pytest.raises(ValueError, match="share their columns"):
+        read_csv(spark, str(tmp_path), encoding=None)
+    with pytest.raises(FileNotFoundError):
+        read_csv(spark, str(tmp_path / "absent.csv"), encoding=None)
