@@ -1,11 +1,15 @@
 """Near duplicates: a Jaccard join over word shingles by a MinHash LSH forest, with exact verification.
 
-Texts whose sets of five-word shingles are equal form a class and are compared once. Each class has a label of
-``DEPTH`` MinHash values in each of ``TREES`` prefix tries; classes that share a prefix in any tree are
-candidates. The prefix starts at full length. After verification the recall is estimated from the links found:
-a link of similarity s is met with probability ``1 - (1 - s^length)^trees``, so found links stand for
-the sum of the reciprocals. While the estimate misses ``RECALL`` the prefix is shortened by one and the join is
-done again; the length at which even a pair at the threshold is met with that probability always suffices.
+Texts whose sets of five-word shingles are equal form a class and are compared once. Each class has a label in
+each of ``TREES`` prefix tries: one 64-bit number, whose ``DEPTH`` equal parts are the low bits of ``DEPTH`` MinHash
+values. Labels are computed and stored once; a prefix is a label shifted to the right, so sorted labels are the trie.
+Classes that share a prefix in any tree are candidates. A link of similarity s is met with probability
+``1 - (1 - s^length)^trees``, so the links found stand for the sum of the reciprocals. The join starts at whole labels. While, in
+any band of similarity of width ``BAND``, the links found fall short of ``RECALL`` of the links they stand for, the matched prefixes
+are shortened by one value. The *floor* is the length at which even a pair at the threshold is met with ``RECALL``: it always
+suffices, so only labels that meet another one at the floor are kept for the rounds (at the default parameters they go from 8
+values to at most 6). A round looks only at nodes that the shortening has joined from several, and counts only links that no
+longer prefix met, so nothing is counted twice.
 
 Candidates are verified on whole shingle sets, inside blocks of at most ``2 * CHUNK`` classes: the members of a trie
 node are dealt to chunks, and each pair of chunks is a block, so no task holds a whole large node. Nodes with the
@@ -34,9 +38,12 @@ from .text import column, if_small, keep, whole
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 32
-DEPTH = 6
+DEPTH = 8
 RECALL = 0.9999
 
+#: Width of the bands of similarity whose recall is estimated apart, so many close copies don't hide links lost at the threshold.
+BAND = 0.02
+
 #: Classes of one trie node that are verified together; two such chunks make a block.
 CHUNK = 256
 
@@ -94,53 +101,77 @@ def labels(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.n
     return least
 
 
-def _signed(docs: DataFrame, key: str, text: str, trees: int, length: int) -> DataFrame:
-    """Key, digest of the text, digest of its shingle set and a prefix of the given length for each tree."""
+def packed(values: np.ndarray) -> np.ndarray:
+    """One number for each row of MinHash values: their low bits, the first value's on top."""
+    bits = 64 // values.shape[1]
+    label = np.zeros(len(values), np.uint64)
+    for k in range(values.shape[1]):
+        label = (label << np.uint64(bits)) | (values[:, k] & np.uint64((1 << bits) - 1))
+    return label
+
+
+def _signed(docs: DataFrame, key: str, text: str, trees: int, depth: int) -> DataFrame:
+    """Key, digest of the text, digest of its shingle set and its label in each tree."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         known = _Words()
-        factors, offsets = _functions(trees, DEPTH)
-        use = np.arange(trees)[:, None] * DEPTH + np.arange(length)[None, :]
-        order = use.ravel()
-        factors, offsets = factors[order], offsets[order]
-        salt = _mixed(np.arange(1, trees + 1, dtype=np.uint64))
+        factors, offsets = _functions(trees, depth)
         for batch in batches:
-            digests, prefixes = [], []
+            digests, found = [], []
             for text in batch["text"]:
                 s = shingles(text, known)
                 if len(s):
-                    values = labels(s, factors, offsets).reshape(trees, length)
-                    prefix = salt.copy()
-                    for k in range(length):
-                        prefix = _mixed(prefix * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    prefixes.append(prefix.view(np.int64))
+                    found.append(packed(_mixed(labels(s, factors, offsets)).reshape(trees, depth)).view(np.int64))
                 else:
                     digests.append(None)
-                    prefixes.append(np.empty(0, np.int64))
-            yield pd.DataFrame({"id": batch["id"], "tid": batch["tid"], "digest": digests, "prefixes": prefixes})
+                    found.append(np.empty(0, np.int64))
+            yield pd.DataFrame({"id": batch["id"], "tid": batch["tid"], "digest": digests, "labels": found})
 
     taken = docs.select(column(key).alias("id"), F.unhex(F.md5(whole(column(text)))).alias("tid"), whole(column(text)).alias("text"))
     kind = dict(docs.dtypes)[key]
-    schema = f"id {kind}, tid binary, digest binary, prefixes array<bigint>"
+    schema = f"id {kind}, tid binary, digest binary, labels array<bigint>"
     ids = taken.withColumn("id", column("id").cast("string"))
     signed = ids.mapInPandas(sign, schema.replace(f"id {kind}", "id string", 1))
     return signed.withColumn("id", F.col("id").cast(kind))
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """Members of the blocks to verify: block, tree, side (0, 1 or 2 for both) and class."""
-    placed = classes.select("digest", F.posexplode("prefixes").alias("tree", "node"))
+def floor_length(threshold: float, recall: float, trees: int, depth: int) -> int:
+    """The longest prefix at which a pair at the threshold is met with probability ``recall``, at least 1."""
+    return next((k for k in range(depth, 1, -1) if 1 - (1 - threshold**k) ** trees >= recall), 1)
+
+
+def _prefix(length: int, depth: int):
+    """The first ``length`` values of a label."""
+    bits = 64 // depth
+    return F.shiftrightunsigned("label", bits * (depth - length))
+
+
+def _tries(classes: DataFrame, floor: int, depth: int) -> DataFrame:
+    """Digest, tree and label wherever another class has the same prefix of the floor's length."""
+    placed = classes.select("digest", F.posexplode("labels").alias("tree", "label"))
+    node = F.xxhash64("tree", _prefix(floor, depth))
+    placed = placed.withColumn("node", node)
     shared = keep(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "near-nodes")
-    placed = keep(placed.join(if_small(shared, BROADCAST_NODES), "node"), "near-placed")
+    return keep(placed.join(if_small(shared, BROADCAST_NODES), "node").select("digest", "tree", "label"), "near-tries")
+
+
+def _blocks(tries: DataFrame, length: int, depth: int) -> DataFrame:
+    """Members of the blocks to verify at this length: block, tree, side (0, 1 or 2 for both) and class.
+
+    Nodes with the same members are taken once, and not at all if a longer prefix had such a node.
+    """
+    placed = tries.withColumn("node", F.xxhash64("tree", _prefix(length, depth)))
+    child = _prefix(length + 1, depth) if length < depth else None
     nodes = placed.groupBy("node").agg(
         F.min("tree").alias("tree"), F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"),
-    )
-    first = nodes.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "node")).alias("f"))
-    nodes = first.select("f.tree", "f.node", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        (F.lit(False) if child is None else F.min(child) == F.max(child)).alias("old"),
+    ).where("n > 1")
+    first = nodes.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "node")).alias("f"), F.bool_or("old").alias("old"))
+    nodes = first.where("not old").select("f.tree", "f.node", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     members = placed.select("digest", "node").join(nodes, "node")
     members = members.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("chunks")).cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -149,11 +180,18 @@ def _blocks(classes: DataFrame) -> DataFrame:
     return spread.select("digest", block.alias("block"), "tree", side.alias("side"))
 
 
-def _verified(members: DataFrame, trees: int, length: int, threshold: float) -> DataFrame:
-    """Links of each class in each block: their number, the documents behind them, the sum of reciprocal
-    probabilities, and the smallest class that hangs together with it."""
+def _bands(threshold: float) -> int:
+    return int((1 - threshold) / BAND) + 1
+
+
+def _verified(members: DataFrame, trees: int, length: int, depth: int, floor: int, threshold: float) -> DataFrame:
+    """Links of each class in each block that no longer prefix met: their number, the documents behind them, their
+    number by band of similarity, the links they stand for by length (floor first) and band, and the smallest class that
+    hangs together with it."""
     least = Fraction(threshold).limit_denominator(1_000_000)
     p, q = least.numerator, least.denominator
+    bits, bands = 64 // depth, _bands(threshold)
+    down, longer = np.uint64(bits * (depth - length)), np.uint64(bits * (depth - length - 1)) if length < depth else None
 
     def block(rows: pd.DataFrame) -> pd.DataFrame | None:
         rows = rows.drop_duplicates("digest").sort_values("digest")
@@ -181,12 +219,23 @@ def _verified(members: DataFrame, trees: int, length: int, threshold: float) ->
         linked &= ~((sides[:, None] == sides[None, :]) & (sides[:, None] < 2))
         if not linked.any():
             return None
-        prefixes, tree = np.stack(rows["prefixes"].to_list()), int(rows["tree"].iloc[0])
+        own, tree = np.stack(rows["labels"].to_list()).view(np.uint64), int(rows["tree"].iloc[0])
         fresh = linked.copy()
-        for t in range(tree):
-            fresh &= prefixes[:, t][:, None] != prefixes[:, t][None, :]
+        for t in range(own.shape[1]):
+            differ = own[:, t][:, None] ^ own[:, t][None, :]
+            if longer is not None:
+                fresh &= differ >> longer != 0
+            if t < tree:
+                fresh &= differ >> down != 0
         similarity = common / np.maximum(1, sizes[:, None] + sizes[None, :] - common)
-        met = 1 - (1 - similarity**length) ** trees
+        a, b = np.nonzero(fresh)
+        near = similarity[a, b]
+        cell = a * bands + np.minimum(((near - threshold) / BAND).clip(0).astype(int), bands - 1)
+        stood = [
+            np.bincount(cell, 1 / np.maximum(1 - (1 - near**k) ** trees, 1e-9), m * bands).reshape(m, bands)
+            for k in range(floor, depth + 1)
+        ]
+        seen = np.bincount(cell, minlength=m * bands).reshape(m, bands)
         copies = rows["copies"].to_numpy()
         root = np.arange(m)
         while True:
@@ -199,7 +248,7 @@ def _verified(members: DataFrame, trees: int, length: int, threshold: float) ->
         some = linked.any(axis=1)
         return pd.DataFrame({
             "digest": digests[some], "texts": fresh.sum(axis=1)[some], "documents": (fresh * copies).sum(axis=1)[some],
-            "expected": np.where(fresh, 1 / np.maximum(met, 1e-9), 0).sum(axis=1)[some], "root": digests[root[some]],
+            "seen": list(seen[some].astype(float)), "stood": list(np.hstack(stood)[some]), "root": digests[root[some]],
         })
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +277,7 @@ def _verified(members: DataFrame, trees: int, length: int, threshold: float) ->
             close()
         yield from found
 
-    schema = "digest binary, texts bigint, documents bigint, expected double, root binary"
+    schema = "digest binary, texts bigint, documents bigint, seen array<double>, stood array<double>, root binary"
     dealt = members.repartition("block").sortWithinPartitions("block")
     return dealt.mapInPandas(verify, schema)
 
@@ -260,32 +309,41 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     trees: int = TREES,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """One row per document: its id, ``tid`` (digest of its text), ``copy_class`` (smallest id with the same shingles),
     ``near_group`` (smallest id of all that hang together by links), ``n_copies`` (documents of its class),
     ``n_links`` (other documents at the threshold or above, copies included) and ``n_linked_texts`` (other classes).
     ``head`` marks the rows that stand for their group: those with its smallest id and, of these, the smallest digest.
     """
-    length = DEPTH
-    while True:
-        signed = keep(_signed(docs, key, text, trees, length), "near-signed")
-        classes = keep(
-            signed.where("digest is not null").groupBy("digest").agg(
-                F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("rep"),
-                F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"),
-            ),
-            "near-classes",
-        )
-        members = keep(_blocks(classes), "near-members")
-        sets = _sets(docs, classes, members, key, text)
-        joined = members.join(sets, "digest")
-        links = keep(_verified(joined, trees, length, threshold), "near-links")
-        seen = links.agg(F.sum("texts").alias("found"), F.sum("expected").alias("expected")).first()
-        sure = 1 - (1 - threshold**length) ** trees >= recall
-        if sure or length == 1 or not seen["expected"] or seen["found"] / seen["expected"] >= recall:
+    floor = floor_length(threshold, recall, trees, depth)
+    signed = keep(_signed(docs, key, text, trees, depth), "near-signed")
+    classes = keep(
+        signed.where("digest is not null").groupBy("digest").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("rep"),
+            F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"),
+        ),
+        "near-classes",
+    )
+    tries = _tries(classes, floor, depth)
+    links = None
+    for length in range(depth, floor - 1, -1):
+        members = keep(_blocks(tries, length, depth), "near-members")
+        joined = members.join(_sets(docs, classes, members, key, text), "digest")
+        found = keep(_verified(joined, trees, length, depth, floor, threshold), "near-links")
+        links = found if links is None else links.union(found)
+        if length > floor and estimated_recall(links, length - floor, threshold) >= recall:
             break
-        length -= 1
-    return _assembled(signed, classes, links)
+    return _assembled(signed.drop("labels"), classes.drop("labels"), links)
+
+
+def estimated_recall(links: DataFrame, place: int, threshold: float) -> float:
+    """The least recall over the bands of similarity in which links were found; 1 without links."""
+    bands = _bands(threshold)
+    sums = [F.sum(F.col("seen")[i]).alias(f"seen{i}") for i in range(bands)]
+    sums += [F.sum(F.col("stood")[place * bands + i]).alias(f"stood{i}") for i in range(bands)]
+    told = links.agg(*sums).first()
+    return min((told[f"seen{i}"] / told[f"stood{i}"] for i in range(bands) if told[f"stood{i}"]), default=1.0)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
@@ -298,13 +356,13 @@ def _sets(docs: DataFrame, classes: DataFrame, members: DataFrame, key: str, tex
             yield batch
 
     wanted = members.select("digest").distinct().join(classes, "digest")
-    wanted = keep(wanted.select("digest", "rep.id", "rep.tid", "copies", "prefixes"), "near-wanted")
+    wanted = keep(wanted.select("digest", "rep.id", "rep.tid", "copies", "labels"), "near-wanted")
     texts = docs.select(column(key).alias("id"), whole(column(text)).alias("text"))
     texts = texts.withColumn("tid", F.unhex(F.md5("text")))
     few = if_small(wanted.select("digest", F.col("id").alias("rid"), "tid"), BROADCAST_CLASSES)
     found = texts.join(few, (texts["tid"] == few["tid"]) & texts["id"].eqNullSafe(few["rid"])).select("digest", "text")
     sets = found.mapInPandas(hashed, "digest binary, hashes binary")
-    return wanted.select("digest", "copies", "prefixes").join(sets, "digest")
+    return wanted.select("digest", "copies", "labels").join(sets, "digest")
 
 
 def _assembled(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
