@@ -161,21 +161,38 @@ def _tries(classes: DataFrame, floor: int, depth: int) -> DataFrame:
 def _blocks(tries: DataFrame, length: int, depth: int) -> DataFrame:
     """Members of the blocks to verify at this length: block, tree, side (0, 1 or 2 for both) and class.
 
-    Nodes with the same members are taken once, and not at all if a longer prefix had such a node.
+    Nodes with the same members are taken once, and not at all if a longer prefix had such a node. Of a node of more than
+    ``CHUNK`` classes the largest child, whose pairs the longer prefix has verified, meets the others only: its chunks come first
+    and make no blocks with each other.
     """
+    own, other = F.col("own"), F.col("other")
     placed = tries.withColumn("node", F.xxhash64("tree", _prefix(length, depth)))
-    child = _prefix(length + 1, depth) if length < depth else None
-    nodes = placed.groupBy("node").agg(
+    placed = placed.withColumn("child", _prefix(length + 1, depth) if length < depth else F.col("label"))
+    children = placed.groupBy("node", "child").agg(
         F.min("tree").alias("tree"), F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"),
-        (F.lit(False) if child is None else F.min(child) == F.max(child)).alias("old"),
+    )
+    nodes = children.groupBy("node").agg(
+        F.min("tree").alias("tree"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        F.count(F.lit(1)).alias("children"), F.max(F.struct(F.col("n").alias("size"), "child")).alias("largest"),
     ).where("n > 1")
-    first = nodes.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "node")).alias("f"), F.bool_or("old").alias("old"))
-    nodes = first.where("not old").select("f.tree", "f.node", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    members = placed.select("digest", "node").join(nodes, "node")
-    members = members.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("chunks")).cast("int"))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    old = F.lit(length < depth) & (F.col("children") == 1)
+    first = nodes.groupBy("n", "x", "y").agg(
+        F.min(F.struct("tree", "node", "largest")).alias("f"), F.bool_or(old).alias("old")
+    )
+    done = F.when(F.lit(length < depth) & (F.col("n") > CHUNK), F.col("f.largest.size")).otherwise(0)
+    nodes = first.where("not old").select(
+        "f.tree", "f.node", F.col("f.largest.child").alias("done"), F.ceil(done / CHUNK).cast("int").alias("before"),
+        F.ceil((F.col("n") - done) / CHUNK).cast("int").alias("after"),
+    )
+    members = placed.select("digest", "node", "child").join(nodes, "node")
+    verified = (F.col("before") > 0) & (F.col("child") == F.col("done"))
+    dealt = F.xxhash64("digest", F.lit(2))
+    chunk = F.when(verified, F.pmod(dealt, F.col("before"))).otherwise(F.col("before") + F.pmod(dealt, F.col("after")))
+    members = members.withColumn("own", chunk.cast("int"))
+    least = F.when(own < F.col("before"), F.col("before")).otherwise(F.lit(0))
+    spread = members.withColumn("other", F.explode(F.sequence(least, F.col("before") + F.col("after") - 1)))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
     block = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
     return spread.select("digest", block.alias("block"), "tree", side.alias("side"))
 

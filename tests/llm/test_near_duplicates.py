@@ -40,7 +40,7 @@ def case():
 
 
 def test_links_and_groups_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(n, "CHUNK", 16)  # so that the large groups take several blocks
+    monkeypatch.setattr(n, "CHUNK", 8)  # so that the large groups take several blocks, and several old chunks
     docs = case()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs.items()], SCHEMA).repartition(5)
     got = {r["id"]: (r["n_links"], r["near_group"]) for r in n.near_duplicates(df).collect()}
