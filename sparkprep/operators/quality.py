@@ -53,10 +53,11 @@ def measure_quality(
     type_errors: int = 0,
     validation_error_count: int | None = None,
     schema: Mapping[str, Mapping[str, Any]] | None = None,
+    duplicates: int | None = None,
 ) -> QualityScore:
     """Score a table.
 
-    ``before`` is the missing-data analysis made before handling. One aggregate gives everything about
+    ``before`` is the missing-data analysis made before handling; ``duplicates`` are not counted again where they are known. One aggregate gives everything about
     completeness, consistency and schema errors; duplicates and quartiles need their own jobs.
     """
     df = nan_to_null(df.drop(ROW_ID))
@@ -116,7 +117,8 @@ def measure_quality(
         column_scores.append(score)
     consistency = _clamp(sum(column_scores) / len(column_scores)) if column_scores else 100.0
 
-    duplicates = count_duplicates(df).first()["duplicate_rows"]
+    if duplicates is None:
+        duplicates = count_duplicates(df).first()["duplicate_rows"]
     ratios = [r[5] for r in outlier_rows(df, numeric)] if numeric else []
     accuracy = 100 - min(30, 100 * duplicates / rows)
     if ratios:

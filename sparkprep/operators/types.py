@@ -381,6 +381,33 @@ def detect_column_types(
     return {name: p.kind if p.kind != "keep" else "string" for name, p in plan.columns.items()}
 
 
+def first_row_types(df: DataFrame) -> dict[str, str]:
+    """What a preview shows for every column, told from the first row alone: boolean, numeric, datetime or text.
+
+    Text is a datetime if some layout reads it and it has more than eight characters. A missing value, and every
+    column of an empty table, is text. Sort the table first if "first" should not be left to the scan.
+    """
+    rows = df.limit(1).collect()
+    if not rows:
+        return dict.fromkeys(df.columns, "text")
+    first = df.sparkSession.createDataFrame(rows, df.schema)
+    dates = {c for c, p in fit_types(first, normalize=False).columns.items() if p.kind == "datetime"}
+    kinds = {}
+    for f, value in zip(df.schema, rows[0]):
+        if value is None:
+            kinds[f.name] = "text"
+        elif isinstance(f.dataType, T.BooleanType):
+            kinds[f.name] = "boolean"
+        elif isinstance(f.dataType, T.NumericType):
+            kinds[f.name] = "numeric"
+        elif isinstance(f.dataType, T.StringType):
+            kinds[f.name] = "datetime" if f.name in dates and len(value) > 8 else "text"
+        else:
+            dated = isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+            kinds[f.name] = "datetime" if dated else "text"
+    return kinds
+
+
 def enforce_types(
     df: DataFrame,
     type_map: Mapping[str, str] | None = None,

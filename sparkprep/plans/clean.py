@@ -200,6 +200,7 @@ def clean(source: DataFrame | str | list[str], config: CleanConfig | Mapping[str
         type_errors=len(plan.errors),
         validation_error_count=schema_errors,
         schema=config.validation_rules,
+        duplicates=0 if config.remove_duplicates else None,  # none are left, and dropping rows makes none
     )
     reports["quality"] = score.to_df(spark)
     if config.profile:

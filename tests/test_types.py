@@ -237,3 +237,13 @@ def test_number_pattern_matches_python(spark):
 def test_trim_is_pythons_strip(spark):
     cells = [w + "a b" + w for w in map(chr, range(0x3001)) if w.isspace()] + [c + "x" for c in string.whitespace]
     assert values(trim_cells(column(spark, cells))) == [c.strip() for c in cells]
+
+
+def test_first_row_types(spark):
+    from sparkprep.operators.types import first_row_types
+
+    rows = [(1, "01/02/2024", "1/2/24", "1", True, None, "x"), (2, "y", "y", "2024-01-01", False, 1.5, "2024-01-01")]
+    df = spark.createDataFrame(rows, "n long, d string, short string, one string, b boolean, gone double, t string").coalesce(1)
+    want = {"n": "numeric", "d": "datetime", "short": "text", "one": "text", "b": "boolean", "gone": "text", "t": "text"}
+    assert first_row_types(df.orderBy("n")) == want
+    assert set(first_row_types(df.where("false")).values()) == {"text"}
