@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sparkprep import (
     clean,
@@ -134,12 +134,22 @@ def csv_scan_column_orders(t):
     return read_csv(t.spark, f"{t.scratch}/events").select("event_id", "event_type", "user_id")
 
 
-def _events_json(t, begin, between, end, pretty=False):
-    """All events as JSON records in files of one list or row of objects each: the parts of a document, in order."""
+def _events_json(t, begin, between, line_end, end, pretty=False):
+    """All events as JSON records in files of one list or row of objects each, a record to a line.
+
+    Lines end as ``line_end`` says; if that is a brace, it is the record's own. A file holds no more than an eighth of a
+    million keys, so that no task has a growing share of the events.
+    """
     record = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"), {"pretty": str(pretty).lower()})
-    part = F.lit(begin), F.array_join(F.sort_array(F.collect_list(record)), between), F.lit(end)
-    files = t.events.groupBy(F.col("user_id") % 8).agg(F.concat(*part).alias("value")).select("value")
-    files.repartition(8).write.text(f"{t.scratch}/events")
+    if line_end == "}":
+        record = F.left(record, F.length(record) - 1)
+    of_file = Window.partitionBy("million", "eighth").orderBy("event_id")
+    first, last = F.row_number().over(of_file) == 1, F.lead(F.lit(True)).over(of_file).isNull()
+    split = t.events.withColumn("million", F.floor(F.col("event_id") / 1_000_000)).withColumn("eighth", F.col("user_id") % 8)
+    placed = split.select("million", "eighth", "event_id", record.alias("record"), first.alias("first"), last.alias("last"))
+    opened = F.concat(F.when(F.col("first"), begin).otherwise(""), "record", F.when(F.col("last"), end).otherwise(between))
+    lines = placed.sortWithinPartitions("million", "eighth", "event_id").select("million", "eighth", opened.alias("value"))
+    lines.write.partitionBy("million", "eighth").option("lineSep", line_end).text(f"{t.scratch}/events")
     return read_json(t.spark, f"{t.scratch}/events").select("event_id", "user_id", "event_type", "value", "props")
 
 
@@ -149,19 +159,19 @@ EVENTS_SQL = "SELECT event_id, user_id, event_type, value, props FROM events"
 @query(EVENTS_SQL)
 def json_lists(t):
     """Lists of objects, pretty-printed."""
-    return _events_json(t, "[", ",\n", "]", pretty=True)
+    return _events_json(t, "[", ",", "\n", "]", pretty=True)
 
 
 @query(EVENTS_SQL)
 def json_wrapped(t):
     """Lists under a wrapper key, behind other keys."""
-    return _events_json(t, '{"page": 1, "name": "a}b", "items": [', ", ", "]}")
+    return _events_json(t, '{"page": 1, "name": "a}b", "items": [', ",", " ", "]}")
 
 
 @query(EVENTS_SQL)
 def json_concatenated(t):
     """Pretty-printed objects, one right after the other."""
-    return _events_json(t, "", "", "", pretty=True)
+    return _events_json(t, "", "", "}", "", pretty=True)
 
 
 @query("""

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from sparkprep import (
     clean, flatten, read_any, read_csv, read_excel, read_json, read_markdown_tables, read_text_docs, with_row_id,
     write,
@@ -385,3 +386,20 @@ def test_csv_encodings_are_found_for_each_file(spark, tmp_path):
         read_csv(spark, str(tmp_path), encoding=None)
     with pytest.raises(FileNotFoundError):
         read_csv(spark, str(tmp_path / "absent.csv"), encoding=None)
+
+
+@pytest.mark.parametrize("name", ["json_lists", "json_concatenated"])
+def test_json_queries_hold_one_document_a_file(spark, tmp_path, name):
+    """Events in many partitions: no file may get two lists, and none is left without its rows."""
+    text = F.concat(F.lit("t"), F.col("id").cast("string"))
+    events = spark.range(0, 2_000_300, 2_003).select(
+        F.col("id").alias("event_id"), (F.col("id") % 13).alias("user_id"), text.alias("event_type"),
+        (F.col("id") / 4).alias("value"), F.format_string('{"k": "a}b, %s"}', text).alias("props"),
+    )
+    events.repartition(16).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(got.collect()) == sorted(events.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
