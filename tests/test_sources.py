@@ -388,7 +388,7 @@ def test_csv_encodings_are_found_for_each_file(spark, tmp_path):
         read_csv(spark, str(tmp_path / "absent.csv"), encoding=None)
 
 
-@pytest.mark.parametrize("name", ["json_lists", "json_concatenated"])
+@pytest.mark.parametrize("name", ["json_lists", "json_wrapped", "json_concatenated"])
 def test_json_queries_hold_one_document_a_file(spark, tmp_path, name):
     """Events in many partitions: no file may get two lists, and none is left without its rows."""
     text = F.concat(F.lit("t"), F.col("id").cast("string"))
