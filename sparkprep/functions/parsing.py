@@ -76,6 +76,7 @@ NAME = (
     "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|"
     "nov(?:ember)?|dec(?:ember)?)"
 )
+NAMED = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"  # no name of a day has these letters
 CLOCK = rf"(?:[ T]({SECONDS}{FRACTION}|{MINUTES}))?"
 DAYS = "montuewedthufrisatsun"
 WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? )?"
@@ -199,35 +200,44 @@ def parse_datetime(col: Column, fmt: str | DateFormat = DATE_FORMATS[0]) -> Colu
     """
     layout = ALL_FORMATS[fmt] if isinstance(fmt, str) else fmt
     if layout.parts:
-        return F.when(col.rlike(layout.pattern), _from_parts(col, layout))
-    iso = F.regexp_replace(col, layout.pattern, layout.iso) if layout.iso else col
-    return F.when(col.rlike(layout.pattern), iso.try_cast("timestamp_ntz"))
+        return _from_parts(col, layout)
+    if layout.iso:
+        return _rewritten(col, layout, layout.iso).try_cast("timestamp_ntz")
+    return F.when(col.rlike(layout.pattern), col.try_cast("timestamp_ntz"))
+
+
+def _rewritten(col: Column, layout: DateFormat, text: str) -> Column:
+    """The groups of a matching cell in another order; what is left of other cells, whose groups are empty, is no date.
+
+    One search for both: a test first would match each cell twice.
+    """
+    return F.regexp_replace(col, layout.pattern + r"|^[\s\S]+$", text)
 
 
 def _from_parts(col: Column, layout: DateFormat) -> Column:
-    """A matching cell put together from its named groups."""
-    part = {name: F.regexp_extract(col, layout.pattern, i + 1) for i, name in enumerate(layout.parts)}
-    month = part.get("month")
-    if month is None:
-        at = F.instr(F.lit(MONTHS), F.lower(F.left(part["name"], F.lit(3))))
-        month = F.floor((at + 2) / 3).cast("string")
-    year = part.get("year")
-    if year is None:
-        short = part["short"]
-        year = F.concat(F.when(short.try_cast("int") < FIRST_SHORT_YEAR, "20").otherwise("19"), short)
-    time = part.get("time", F.lit("00:00:00"))
-    time = F.when(time == "", "00:00:00").when(time.rlike(r"^\d+:\d+$"), F.concat(time, F.lit(":00"))).otherwise(time)
-    day = part.get("day", F.lit("1"))
-    moment = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), time).try_cast("timestamp_ntz")
-    if "half" in part:
-        hour = F.hour(moment)
-        shift = F.when(F.lower(part["half"]) == "p", F.when(hour < 12, 12).otherwise(0)).otherwise(F.when(hour == 12, -12).otherwise(0))
-        moment = moment + F.make_dt_interval(F.lit(0), shift)
-    if "sign" in part:
-        sign = F.when(part["sign"] == "-", 1).otherwise(-1)
-        moment = moment + F.make_dt_interval(
-            F.lit(0), sign * part["hours"].try_cast("int"), sign * part["minutes"].try_cast("int")
-        )
+    """A matching cell put together from its named groups.
+
+    Cells are searched once for all groups, and nothing found is used twice: Spark would search again for every use
+    inside a condition. What depends on one part is therefore told from the cell itself.
+    """
+    group = {name: f"${i + 1}" for i, name in enumerate(layout.parts)}
+    year = group.get("year") or group["short"]
+    text = f"{year}-{group.get('month', '#')}-{group.get('day', '1')} {group.get('time', '')}"
+    moment = _rewritten(col, layout, text)
+    if "name" in group:
+        at = F.instr(F.lit(MONTHS), F.lower(F.regexp_extract(col, NAMED, 1)))
+        moment = F.replace(moment, F.lit("#"), F.floor((at + 2) / 3).cast("string"))
+    end = F.rtrim(col, F.lit("\n\r\u0085\u2028\u2029"))  # a pattern's end may lie before a line break
+    if "short" in group:  # always the last field
+        moment = F.concat(F.when(F.right(end, F.lit(2)).try_cast("int") < FIRST_SHORT_YEAR, "20").otherwise("19"), moment)
+    moment = moment.try_cast("timestamp_ntz")
+    if "half" in group:
+        after = F.when(col.rlike("[ Tt](?:1[2-9]|2[0-3]):"), 0).otherwise(12)
+        before = F.when(col.rlike("[ Tt]12:"), -12).otherwise(0)
+        moment = moment + F.make_dt_interval(F.lit(0), F.when(col.rlike(r"(?i)p\.?m\.?$"), after).otherwise(before))
+    if "sign" in group:
+        offset = F.regexp_replace(F.right(end, F.lit(6)), r"^.?([+-]\d\d):?(\d\d)$", "$1$2").try_cast("int")
+        moment = moment - F.make_dt_interval(F.lit(0), (offset / 100).cast("int"), offset % 100)
     return moment
 
 
@@ -262,11 +272,20 @@ def date_signature(col: Column) -> Column:
     Layouts differ by their signatures but for the order of day and month, and there are a few hundred signatures
     whatever the table holds, so cells can be counted by them before any layout is tried.
     """
+    signature = rough_signature(col)
+    return F.when(is_known_signature(signature), signature)
+
+
+def rough_signature(col: Column) -> Column:
+    """The signature of cells whose length and first letters are those of dates."""
     likely = F.octet_length(col).between(*DATE_SIZES) & (F.ascii(col).between(48, 57) | _begins_with_name(col))
     digits = F.regexp_replace(col, "[0-9]", "9")
-    signature = F.regexp_replace(digits, "[A-Za-z]+", "a")
-    known = "|".join(dict.fromkeys(layout.signature for layout in DATE_FORMATS + FALLBACK_FORMATS))
-    return F.when(likely & signature.rlike(known), signature)
+    return F.when(likely, F.regexp_replace(digits, "[A-Za-z]+", "a"))
+
+
+def is_known_signature(signature: Column) -> Column:
+    """Whether some layout has such cells."""
+    return signature.rlike("|".join(dict.fromkeys(layout.signature for layout in DATE_FORMATS + FALLBACK_FORMATS)))
 
 
 def format_datetime(col: Column, pattern: str = "yyyy-MM-dd") -> Column:

@@ -22,14 +22,15 @@ from ..functions.parsing import (
     TRUE_TOKENS,
     TRUE_TOKENS_EXTENDED,
     DateFormat,
-    date_signature,
     is_integral,
+    is_known_signature,
     kind_of,
     null_if_token,
     parse_bool,
     parse_datetime,
     parse_integer,
     parse_number,
+    rough_signature,
     trim_text,
 )
 from .cells import quoted
@@ -116,9 +117,9 @@ def count_cells(
         F.when(F.octet_length("trimmed") <= LONGEST_FLAG, F.lower("trimmed")).alias("word"),
         parse_number(F.col("cell")).alias("number"),
     )
-    signed = tested.select(
-        "item", "cell", "word", "number", F.when(F.col("number").isNull(), date_signature(F.col("trimmed"))).alias("signature")
-    )
+    rough = F.when(F.col("number").isNull(), rough_signature(F.col("trimmed")))
+    signed = tested.select("item", "cell", "word", "number", rough.alias("rough"))
+    signed = signed.withColumn("signature", F.when(is_known_signature(F.col("rough")), F.col("rough")))
     tallies = ["rows", "present", "bools", "bools_extended", "numbers", "integers"]
     by_signature = signed.groupBy("item", "signature").agg(
         F.count(F.lit(1)).alias("rows"),
