@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparkprep import embed_text, one_hot, standardize, vector_info, vectorize, read_vectors, write_vectors
+from sparkprep.operators.vectors import vector_entries, vector_width
 
 from .registry import query
 
@@ -95,11 +96,13 @@ def vectorize_hybrid(t):
     """A number, a boolean and an embedded text column."""
     lines = t.flagged_lineitem.withColumn("note", F.concat(F.lit("order "), F.col("l_orderkey").cast("string")))
     vectors, _ = vectorize(lines, "hybrid", ["l_quantity", "is_bulk", "note"])
-    cells = vector_to_array("features")
-    text = F.slice(cells, 3, 512)
-    square = F.aggregate(text, F.lit(0.0), lambda s, x: s + x * x)
+    vectors = vectors.select("l_orderkey", "l_linenumber", vector_entries(F.col("features")).alias("cells"), vector_width(F.col("features")).alias("width"))
+    added = lambda chosen, value: F.aggregate(
+        "cells", F.lit(0.0), lambda s, cell: s + F.when(chosen(cell["place"]), value(cell["value"])).otherwise(0.0)
+    )
+    square = added(lambda place: place >= 2, lambda x: x * x)
     return vectors.select(
-        "l_orderkey", "l_linenumber", cells[1].alias("flag"), F.size(cells).alias("width"),
+        "l_orderkey", "l_linenumber", added(lambda place: place == 1, lambda x: x).alias("flag"), "width",
         F.round(F.sqrt(square), 6).alias("text_norm"),
     )
 

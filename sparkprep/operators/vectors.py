@@ -116,6 +116,18 @@ def categories_of(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> li
     return sorted(v[0] for v in values) if len(values) <= limit else None
 
 
+def vector_entries(col: Column) -> Column:
+    """The stored cells of a vector as (place, value), from 0 on: a sparse vector is not spread over its width."""
+    vector = F.unwrap_udt(col)
+    places = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+    return F.arrays_zip(places.alias("place"), vector["values"].alias("value"))
+
+
+def vector_width(col: Column) -> Column:
+    vector = F.unwrap_udt(col)
+    return F.coalesce(vector["size"], F.size(vector["values"]))
+
+
 def one_hot(df: DataFrame, column: str) -> DataFrame:
     """Add a 0/1 column per category except the first; missing cells are 0 everywhere."""
     categories = categories_of(df, column)
