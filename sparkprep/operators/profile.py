@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.parsing import kind_of
+from ..session import compiled_in_parts
 from .cells import nan_to_null, quoted
 from .dedupe import count_duplicates
 from .missing import MissingAnalysis, analyze_missing
@@ -324,7 +324,6 @@ PAIRS = 300  # pairs of columns up to which one aggregate holds them all
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where both are known."""
-    df = nan_to_null(df)
     names = list(columns or columns_of(df, "numeric"))
     return df.sparkSession.createDataFrame(
         [(a, b, value) for (a, b), value in _pearson(df, names).items()],
@@ -338,7 +337,7 @@ def _pearson(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float
         return {}
     if len(pairs) > PAIRS:
         return _pearson_of_many(df, names)
-    row = df.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = nan_to_null(df).agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {pair: row[i] for i, pair in enumerate(pairs)}
 
 
@@ -348,51 +347,73 @@ CONSTANT = 1e-12  # share of a sum of squares that rounding may leave of a sprea
 def _pearson_of_many(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float | None]:
     """All pairs in one pass over the rows, after one that finds where the columns lie.
 
-    Each task multiplies its batches into matrices of columns by columns (32 bytes for each pair, whatever the number of
-    rows) and gives one row of sums for each pair. Columns are moved to their means and scaled to at most 1 first, so the
-    sums of distant or huge values keep their digits.
+    A row goes to Python as one array, NaN where a cell is unknown. Each task multiplies its batches into matrices of columns
+    by columns (32 bytes for each pair, whatever the number of rows) and gives one row of sums for each pair. Columns are moved
+    to their means and scaled to at most 1 first, so the sums of distant or huge values keep their digits.
     """
-    numbers = df.select(*[quoted(name).cast("double").alias(f"c{i}") for i, name in enumerate(names)])
-    places = numbers.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in numbers.columns for f in (F.min, F.max, F.avg)]).first()
-    low, high, mean = (np.array([np.nan if v is None else v for v in places[k::3]], dtype=float) for k in range(3))
-    with np.errstate(invalid="ignore"):
-        middle = np.where(low == high, low, mean)
-        scale = np.maximum(high - middle, middle - low)
-    scale[~(scale > 0)] = 1.0
+    cells = [F.coalesce(quoted(name).cast("double"), F.lit(math.nan)) for name in names]
+    rows, width = df.select(F.array(*cells).alias("cells")), len(names)
 
-    def products(batches):
-        known_known = 0  # rows where both are known; then sums of x, of x squared and of x times y over those rows
+    def matrices(batches):
         for batch in batches:
-            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            yield batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+    def places(batches):
+        import pyarrow as pa
+
+        low, high, total, n = np.full(width, np.nan), np.full(width, np.nan), np.zeros(width), np.zeros(width)
+        for x in matrices(batches):
+            low, high = np.fmin(low, np.fmin.reduce(x, axis=0, initial=np.nan)), np.fmax(high, np.fmax.reduce(x, axis=0, initial=np.nan))
+            total += np.nansum(x, axis=0)
+            n += np.count_nonzero(~np.isnan(x), axis=0)
+        known = np.flatnonzero(n)
+        found = [known.astype(np.int32), low[known], high[known], total[known], n[known]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["i", "low", "high", "total", "n"])
+
+    def products(batches):
+        import pyarrow as pa
+
+        known_known = None  # rows where both are known; then sums of x, of x squared and of x times y over those rows
+        for x in matrices(batches):
             known = ~np.isnan(x)
             with np.errstate(invalid="ignore"):
                 x = np.where(known, (x - middle) / scale, 0.0)
             known = known.astype(float)
-            if isinstance(known_known, int):
-                known_known, sums, squares, crossed = (np.zeros((x.shape[1],) * 2) for _ in range(4))
+            if known_known is None:
+                known_known, sums, squares, crossed = (np.zeros((width, width)) for _ in range(4))
             known_known += known.T @ known
             sums += x.T @ known
             squares += (x * x).T @ known
             crossed += x.T @ x
-        if isinstance(known_known, int):
+        if known_known is None:
             return
-        for i in range(len(known_known) - 1):
-            j = slice(i + 1, None)
-            yield pd.DataFrame({
-                "i": i, "j": np.arange(i + 1, len(known_known)), "n": known_known[i, j], "x": sums[i, j], "y": sums[j, i],
-                "xx": squares[i, j], "yy": squares[j, i], "xy": crossed[i, j],
-            })
-
-    parts = ["n", "x", "y", "xx", "yy", "xy"]
-    schema = "i int, j int, " + ", ".join(f"{part} double" for part in parts)
-    added = numbers.mapInPandas(products, schema).groupBy("i", "j").agg(*[F.sum(part).alias(part) for part in parts])
-    spread = lambda sum_, square: F.col(square) - F.col(sum_) * F.col(sum_) / F.col("n")
-    real = lambda sum_, square: spread(sum_, square) > CONSTANT * F.col(square)
-    together = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
-    value = F.when(real("x", "xx") & real("y", "yy"), F.try_divide(together, F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy"))))
-    found = dict.fromkeys(combinations(names, 2))
-    for row in added.where("n > 0").select("i", "j", value.alias("value")).collect():  # one row per pair of columns
-        found[names[row["i"]], names[row["j"]]] = row["value"]
+        for i in range(width - 1):
+            j = np.arange(i + 1, width)
+            found = [known_known[i, j], sums[i, j], sums[j, i], squares[i, j], squares[j, i], crossed[i, j]]
+            numbers = [np.full(len(j), i, np.int32), j.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in numbers + found], names=["i", "j", *parts])
+
+    with compiled_in_parts(df.sparkSession):
+        by_task = rows.mapInArrow(places, "i int, low double, high double, total double, n double")
+        by_column = by_task.groupBy("i").agg(F.min("low"), F.max("high"), F.sum("total") / F.sum("n"))
+        low, high, mean = np.full((3, width), np.nan)
+        for i, *place in by_column.collect():  # one row per column
+            low[i], high[i], mean[i] = place
+        with np.errstate(invalid="ignore"):
+            middle = np.where(low == high, low, mean)
+            scale = np.maximum(high - middle, middle - low)
+        scale[~(scale > 0)] = 1.0
+
+        parts = ["n", "x", "y", "xx", "yy", "xy"]
+        schema = "i int, j int, " + ", ".join(f"{part} double" for part in parts)
+        added = rows.mapInArrow(products, schema).groupBy("i", "j").agg(*[F.sum(part).alias(part) for part in parts])
+        spread = lambda sum_, square: F.col(square) - F.col(sum_) * F.col(sum_) / F.col("n")
+        real = lambda sum_, square: spread(sum_, square) > CONSTANT * F.col(square)
+        together = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+        value = F.when(real("x", "xx") & real("y", "yy"), F.try_divide(together, F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy"))))
+        found = dict.fromkeys(combinations(names, 2))
+        for row in added.where("n > 0").select("i", "j", value.alias("value")).collect():  # one row per pair of columns
+            found[names[row["i"]], names[row["j"]]] = row["value"]
     return found
 
 

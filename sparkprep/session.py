@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -37,6 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def compiled_in_parts(spark: SparkSession) -> Iterator[None]:
+    """Jobs on many columns, in methods that the JVM compiles.
+
+    Whole-stage code puts all expressions of a row into one method. The JVM never compiles one of more than 8,000 bytes of
+    code, and interpreted it is ten times as slow; Spark then makes several small methods, if told that limit.
+    """
+    key, limit = "spark.sql.codegen.hugeMethodLimit", 8_000
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(limit, int(before or limit))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -238,3 +239,33 @@ def test_correlations_of_many_columns(spark):
         else:
             assert value == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6), (a, b)
     assert {r["correlation"] for r in correlations(df.limit(0)).collect()} == {None}
+
+
+def test_correlations_of_many_columns_run_in_methods_that_are_compiled(spark):
+    """The tasks of both passes run under the JVM's limit, and the session is as before, even after an error."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+
+    def checked(limit, fail=False):
+        def rows(batches):
+            from pyspark import TaskContext
+
+            found = TaskContext.get().getLocalProperty(key)
+            assert found is not None and int(found) <= limit and not fail
+            yield from batches
+
+        numbers = spark.range(2000).select(*[((F.col("id") + i) % (i + 3)).cast("double").alias(f"c{i}") for i in range(26)])
+        return numbers.mapInPandas(rows, numbers.schema)
+
+    assert len({r["correlation"] for r in correlations(checked(8000)).collect()}) > 300
+    assert spark.conf.get(key) == before
+    with pytest.raises(PythonException):
+        correlations(checked(8000, fail=True))
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "500")  # a lower limit stays
+    try:
+        correlations(checked(500))
+        assert spark.conf.get(key) == "500"
+    finally:
+        spark.conf.unset(key)
+    assert spark.conf.get(key) == before
